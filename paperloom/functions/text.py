@@ -115,11 +115,23 @@ def share_vocabulary(left: Column, right: Column) -> Column:
     return F.size(F.array_intersect(words(left), words(right)))
 
 
+def shingles(items: Column, n: int, glue: str) -> Column:
+    """Runs of ``n`` neighbouring items joined by ``glue``.
+
+    Built by zipping the list with its own shifts: a lambda that sliced the list
+    would evaluate the list again for every position.
+    """
+    runs = items
+    for shift in range(1, n):
+        later = F.slice(items, shift + 1, F.greatest(F.size(items) - shift, F.lit(0)))
+        runs = F.zip_with(runs, later, lambda a, b: F.concat(a, F.lit(glue), b))
+    return F.filter(runs, lambda r: r.isNotNull())
+
+
 def trigrams(text: Column) -> Column:
     """Distinct character trigrams of the lower-case text padded with blanks."""
     padded = F.concat(F.lit("  "), F.lower(text), F.lit(" "))
-    starts = F.sequence(F.lit(1), F.length(padded) - 2)
-    return F.array_distinct(F.transform(starts, lambda i: padded.substr(i, F.lit(3))))
+    return F.array_distinct(shingles(F.split(padded, ""), 3, ""))
 
 
 def jaccard(a: Column, b: Column) -> Column:
