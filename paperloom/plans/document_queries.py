@@ -48,7 +48,7 @@ def latex_clean(spark, folder):
 def latex_source(spark, folder):
     """One LaTeX paper per document: its lines become sections, every third one a subsection."""
     docs = plain_documents(spark, folder)
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda l: F.length(l) > 0)
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda l: F.trim(l)), lambda l: F.length(l) > 0)
     section = lambda l, i: F.concat(
         F.when(i % 3 == 2, F.lit("\\subsection{")).otherwise(F.lit("\\section*{")),
         (i + 1).cast("string"), F.lit(". Part "), (i + 1).cast("string"), F.lit("}\n\n"),
@@ -142,7 +142,7 @@ def markdown_sections(spark, folder):
 
 def markdown_source(spark, folder):
     docs = plain_documents(spark, folder)
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda l: F.length(l) > 0)
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda l: F.trim(l)), lambda l: F.length(l) > 0)
     part = lambda l, i: F.concat(
         F.repeat(F.lit("#"), (i + 1) % 3 + 2), F.lit(" Part "), (i + 1).cast("string"), F.lit("\n\n"), l,
         F.lit("\n\n```code```\n\nA paragraph that is long enough\n"),
