@@ -72,9 +72,18 @@ def fixed_window(events: DataFrame, limit: int, window: float, **columns) -> Dat
 
 
 def window_counts(events: DataFrame, *, key: str, clock: str, window: int) -> DataFrame:
-    """Upper bound of a sliding log: requests of the key in the last ``window`` whole seconds."""
-    recent = Window.partitionBy(key).orderBy(F.col(clock).cast("long")).rangeBetween(-window, 0)
-    return events.withColumn("recent", F.count(F.lit(1)).over(recent))
+    """Upper bound of a sliding log: requests of the key in the last ``window`` whole seconds.
+
+    Time is cut into buckets as wide as the window and every row also looks ahead
+    into the next bucket, so a hot key is spread over its buckets.
+    """
+    second = F.floor(F.col(clock)).cast("long")
+    bucket = F.floor(second / F.lit(window)).cast("long")
+    copies = F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own")), F.struct((bucket + 1).alias("b"), F.lit(False).alias("own")))
+    doubled = events.withColumn("__second", second).withColumn("__c", F.explode(copies))
+    recent = Window.partitionBy(key, "__c.b").orderBy("__second").rangeBetween(-window, 0)
+    counted = doubled.withColumn("recent", F.count(F.lit(1)).over(recent)).where("__c.own")
+    return counted.drop("__second", "__c")
 
 
 __all__ = ["fixed_window", "limiter", "sliding_log", "window_counts"]

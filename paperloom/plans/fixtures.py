@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
 from paperloom.operators import search
-from paperloom.sources.tables import load
+from paperloom.sources.tables import load, spread
 
 EMBED_DIM = 64
 
@@ -102,7 +102,7 @@ def mean_vectors(vectors: DataFrame, group: str | None = None) -> DataFrame:
 
 
 def chunk_terms(spark: SparkSession, folder: str) -> DataFrame:
-    docs = load(spark, folder, "documents")
+    docs = spread(load(spark, folder, "documents").select("doc_id", "text"))
     return docs.select(F.col("doc_id").alias("chunk_id"), tx.tokens(F.col("text")).alias("terms"))
 
 
@@ -111,7 +111,7 @@ def benchmark_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    docs = load(spark, folder, "documents")
+    docs = spread(load(spark, folder, "documents").select("doc_id", "text"))
     return search.embed_texts(docs, EMBED_DIM, id_col="doc_id", text_col="text").withColumnRenamed("doc_id", "chunk_id")
 
 
