@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from paperloom.functions.binding import let
 from paperloom.functions.lexicon import TOPIC_KEYWORDS
 from paperloom.functions.text import string_array
 from paperloom.settings import DEFAULTS
@@ -33,11 +34,16 @@ def semantic(similarity: Column) -> Column:
 
 def topic(text: Column) -> Column:
     """Topic with most keyword hits; ties go to the topic listed first, no hit is ``other``."""
-    lowered = F.lower(text)
     names = list(TOPIC_KEYWORDS)
-    hits = F.array(*[F.size(F.filter(string_array(TOPIC_KEYWORDS[n]), lambda k: F.contains(lowered, k))) for n in names])
-    best = F.element_at(string_array(names), F.array_position(hits, F.array_max(hits)).cast("int"))
-    return F.when(F.array_max(hits) > 0, best).otherwise(F.lit("other"))
+
+    def hits(lowered: Column) -> Column:
+        return F.array(*[F.size(F.filter(string_array(TOPIC_KEYWORDS[n]), lambda k: F.contains(lowered, k))) for n in names])
+
+    def winner(votes: Column) -> Column:
+        first = F.get(string_array(names), (F.array_position(votes, F.array_max(votes)) - 1).cast("int"))
+        return F.when(F.array_max(votes) > 0, first).otherwise(F.lit("other"))
+
+    return let(let(F.lower(text), hits), winner)
 
 
 def under_represented_bonus(share: Column, target: Column) -> Column:

@@ -8,9 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from paperloom.functions.binding import let
+
 NON_WORD = r"[^\p{L}\p{N}]+"
 # Python-style white space: Java's own \s is ASCII only.
-SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}]"
+# The outer range lets plain letters fail at once.
+SPACE = (
+    r"[[\x{09}-\x{20}\x{85}-\x{3000}]&&"
+    r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]"
+)
 
 
 def _not_blank(token: Column) -> Column:
@@ -77,12 +83,12 @@ def html_escape(text: Column) -> Column:
 
 
 def contains_any(text: Column, needles: list[str]) -> Column:
-    return F.exists(string_array(needles), lambda k: F.contains(text, k))
+    return let(text, lambda t: F.exists(string_array(needles), lambda k: F.contains(t, k)))
 
 
 def matching(text: Column, needles: list[str]) -> Column:
     """The needles found in ``text``, in list order."""
-    return F.filter(string_array(needles), lambda k: F.contains(text, k))
+    return let(text, lambda t: F.filter(string_array(needles), lambda k: F.contains(t, k)))
 
 
 def string_array(values: list[str]) -> Column:

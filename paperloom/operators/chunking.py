@@ -35,10 +35,13 @@ def _units(max_tokens: int, count: Callable[[Column], Column]) -> Column:
     """Paragraphs of all sections in order; a paragraph above the limit becomes its sentences."""
     def paragraph_units(section: Column, s: Column) -> Column:
         def one(text: Column, p: Column) -> Column:
-            unit = lambda t, kind: F.struct(
-                s.alias("section"), p.alias("paragraph"), F.lit(kind).alias("kind"), count(t).cast("int").alias("size"), t.alias("text")
+            unit = lambda t, size, kind: F.struct(
+                s.alias("section"), p.alias("paragraph"), F.lit(kind).alias("kind"), size.alias("size"), t.alias("text")
             )
-            return F.when(count(text) <= max_tokens, F.array(unit(text, 0))).otherwise(F.transform(tx.sentences(text), lambda t: unit(t, 1)))
+            whole = lambda n: F.when(n <= max_tokens, F.array(unit(text, n, 0))).otherwise(
+                F.transform(tx.sentences(text), lambda t: unit(t, count(t).cast("int"), 1))
+            )
+            return let(count(text).cast("int"), whole)
 
         return F.flatten(F.transform(section["paragraphs"], one))
 

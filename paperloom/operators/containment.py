@@ -2,31 +2,62 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from paperloom import kernels
 from paperloom.functions import text as tx
+from paperloom.session import cut_lineage
 
 GRAM = 3
+# Passages up to this many characters in all travel to the tasks as one automaton.
+AUTOMATON_CHARS = 8_000_000
+# Candidate pairs up to this many rows (two keys each) are broadcast to the texts.
+BROADCAST_PAIRS = 2_000_000
+
+
+def contains_join(docs: DataFrame, passages: DataFrame, *, doc_id: str, doc_text: str, passage_id: str, passage_text: str) -> DataFrame:
+    """Exact substring join ``(doc_id, passage_id)``.
+
+    A passage set of checked size is searched for in one pass over the texts,
+    which never move; a larger one goes through an equi-join on anchors.
+    """
+    asked = passages.where(F.length(passage_text) > 0).select(passage_id, passage_text)
+    size = asked.agg(F.coalesce(F.sum(F.length(passage_text)), F.lit(0)).alias("n")).first()["n"]
+    columns = {"doc_id": doc_id, "doc_text": doc_text, "passage_id": passage_id, "passage_text": passage_text}
+    if size <= AUTOMATON_CHARS and kernels.has_automaton():
+        return automaton_join(docs, asked, **columns)
+    return anchor_join(docs, asked, **columns)
+
+
+def automaton_join(docs: DataFrame, passages: DataFrame, *, doc_id: str, doc_text: str, passage_id: str, passage_text: str) -> DataFrame:
+    """All passages at once, one scan of each text."""
+    rows = passages.select(passage_id, passage_text).collect()  # size checked by the caller
+    schema = T.StructType().add(doc_id, docs.schema[doc_id].dataType).add(passage_id, passages.schema[passage_id].dataType)
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
+    find = kernels.passage_scan([(r[0], r[1]) for r in rows], arrow)
+    return docs.where(F.col(doc_text).isNotNull()).select(doc_id, doc_text).mapInArrow(find, schema)
 
 
 def _grams(words: Column, n: int) -> Column:
     return F.array_distinct(tx.shingles(words, n, " "))
 
 
-def contains_join(docs: DataFrame, passages: DataFrame, *, doc_id: str, doc_text: str, passage_id: str, passage_text: str) -> DataFrame:
-    """Exact substring join ``(doc_id, passage_id)``.
+def anchor_join(docs: DataFrame, passages: DataFrame, *, doc_id: str, doc_text: str, passage_id: str, passage_text: str) -> DataFrame:
+    """Substring join for passage sets of any size.
 
     A text that holds a passage also holds the passage's inner words in a row
-    (its first and last word may be cut).  Each passage is therefore looked up by
-    one anchor, its longest run of three inner words, through an equi-join on
-    narrow rows; only the candidates are compared as whole texts.  Passages too
-    short for a run of three are anchored on one inner word, or compared directly
-    when they have none: those are few and the planner checks their size.
+    (its first and last word may be cut).  Each passage is looked up by one
+    anchor, its longest run of three inner words, through an equi-join on narrow
+    rows; only candidates are compared as whole texts.  Passages too short for a
+    run are anchored on one inner word, or compared directly when they have none.
     """
     inner = tx.words(F.col(passage_text))
     inner = F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))
-    keyed = passages.where(F.length(passage_text) > 0).select(F.col(passage_id), F.col(passage_text).alias("__passage"), inner.alias("__inner"))
+    keyed = passages.select(F.col(passage_id), F.col(passage_text).alias("__passage"), inner.alias("__inner"))
     longest = lambda grams: F.element_at(F.array_sort(grams, lambda a, b: F.length(b) - F.length(a)), 1)
 
     def candidates(n: int, which: Column) -> DataFrame:
@@ -35,9 +66,11 @@ def contains_join(docs: DataFrame, passages: DataFrame, *, doc_id: str, doc_text
         return grams.join(anchors, "__gram").select(doc_id, passage_id)
 
     size = F.size("__inner")
-    by_gram = candidates(GRAM, size >= GRAM).unionByName(candidates(1, (size >= 1) & (size < GRAM)))
+    pairs = cut_lineage(candidates(GRAM, size >= GRAM).unionByName(candidates(1, (size >= 1) & (size < GRAM))))
+    few = len(pairs.limit(BROADCAST_PAIRS + 1).groupBy().count().where(F.col("count") <= BROADCAST_PAIRS).take(1)) == 1
     texts = docs.select(doc_id, F.col(doc_text).alias("__text"))
-    verified = by_gram.join(texts, doc_id).join(keyed.select(passage_id, "__passage"), passage_id)
+    near = texts.join(F.broadcast(pairs) if few else pairs, doc_id)
+    verified = near.join(keyed.select(passage_id, "__passage"), passage_id)
     found = verified.where(F.contains("__text", F.col("__passage"))).select(doc_id, passage_id)
     tiny = keyed.where(size < 1).select(passage_id, "__passage")
     direct = texts.join(tiny, F.contains("__text", F.col("__passage"))).select(doc_id, passage_id)

@@ -95,21 +95,10 @@ def dense_search_one(vectors: DataFrame, query: list[float], k: int, *, id_col:
     return top_k(scored, k, *leg_order())
 
 
-def _term_matrix(rows: list) -> tuple[list, list, np.ndarray]:
-    vocabulary = sorted({t for r in rows for t in r["terms"]})
-    index = {t: i for i, t in enumerate(vocabulary)}
-    matrix = np.zeros((max(1, len(vocabulary)), len(rows)))
-    for j, row in enumerate(rows):
-        for term, weight in zip(row["terms"], row["weights"]):
-            matrix[index[term], j] += weight
-    return [r["query_id"] for r in rows], vocabulary or [None], matrix
-
-
 def _term_row_bytes(queries: DataFrame) -> int:
-    """Bytes one query adds to the terms x queries matrix, judged by its vocabulary."""
-    widest = queries.agg(F.max(F.size("terms")).alias("n"), F.count(F.lit(1)).alias("q")).first()
-    terms = (widest["n"] or 1) * max(1, widest["q"] or 1)
-    return 8 * min(terms, 200_000)
+    """Bytes of the longest query's postings: a term, a query number and a weight each."""
+    longest = queries.agg(F.max(F.size("terms")).alias("n")).first()["n"]
+    return 64 * max(1, longest or 1)
 
 
 def term_queries(df: DataFrame, query_id: str, text: str) -> DataFrame:
@@ -138,8 +127,8 @@ def sparse_search(
     schema = _leg_schema(queries.schema["query_id"].dataType, source.schema["chunk_id"].dataType)
     parts = []
     for rows in _blocks(queries.select("query_id", "terms", "weights"), _term_row_bytes(queries)):
-        ids, vocabulary, matrix = _term_matrix(rows)
-        run = kernels.sparse_scan(ids, vocabulary, matrix, k, keep_zero, weighted, _arrow(schema))
+        asked = kernels.QueryTerms([tuple(r) for r in rows])
+        run = kernels.sparse_scan(asked, k, keep_zero, weighted, _arrow(schema))
         parts.append(source.mapInArrow(run, schema))
     return _finish(parts, k)
 
@@ -158,8 +147,7 @@ def text_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     )
     parts = []
     for rows in _blocks(asked, _term_row_bytes(asked)):
-        ids, vocabulary, matrix = _term_matrix(rows)
-        run = kernels.all_terms_scan(ids, vocabulary, matrix, k, _arrow(schema))
+        run = kernels.all_terms_scan(kernels.QueryTerms([tuple(r) for r in rows]), k, _arrow(schema))
         parts.append(source.mapInArrow(run, schema))
     return _finish(parts, k)
 

@@ -4,8 +4,10 @@ A fold such as a rate limiter decides each row from the state the key's earlier
 rows left behind.  The time line of every key is cut into slices; all slices are
 folded at once, each from a guessed start state (empty at first).  A slice's end
 state is the true start of the next one, so slices whose guess was wrong are
-folded again until none is left.  The result is the sequential one, and a slice
-is as small as the traffic of one key in one slice of time.
+folded again.  A slice is as small as the traffic of one key in one slice of time.
+Keys that never pause long enough to forget, so that slices keep correcting each
+other, are walked in order instead: sorted by the shuffle and streamed through a
+task with a short state.  Either way the result is the sequential one.
 
 States are short: at most ``limit`` time stamps.
 """
@@ -22,6 +24,9 @@ from paperloom import kernels
 from paperloom.session import cut_lineage
 
 
+SPECULATIVE_ROUNDS = 3
+
+
 def limiter(
     events: DataFrame, *, key: str, order: str, clock: str, slice_width: float, decide: Callable[[list, list], tuple[list, list]],
 ) -> DataFrame:
@@ -42,8 +47,7 @@ def limiter(
     first = sliced.withColumn("__start", empty)
     states = cut_lineage(first.groupBy(key, "__slice").applyInPandas(fold, state_schema))
     by_time = Window.partitionBy(key).orderBy("__slice")
-    # A wrong guess can only travel forward, one slice per round at worst, so this ends.
-    while True:
+    for _ in range(SPECULATIVE_ROUNDS):
         # One row per key and slice: far fewer than events, and states are short.
         before = F.coalesce(F.lag("__end").over(by_time), empty)
         wanted = states.withColumn("__want", decide.carried(before, F.col("__slice") * F.lit(slice_width)))
@@ -53,9 +57,15 @@ def limiter(
             break
         redone = sliced.join(wrong, [key, "__slice"]).groupBy(key, "__slice").applyInPandas(fold, state_schema)
         states = cut_lineage(states.join(wrong.select(key, "__slice"), [key, "__slice"], "left_anti").unionByName(redone))
-    ready = sliced.join(states.select(key, "__slice", "__start"), [key, "__slice"])
-    flags = ready.groupBy(key, "__slice").applyInPandas(flag, flag_schema)
-    return events.join(flags, order)
+    # Keys still unsettled are saturated: each decision really hangs on the one before.
+    before = F.coalesce(F.lag("__end").over(by_time), empty)
+    wanted = states.withColumn("__want", decide.carried(before, F.col("__slice") * F.lit(slice_width)))
+    unsettled = wanted.where(~F.col("__want").eqNullSafe(F.col("__start"))).select(key).distinct()
+    settled_states = states.select(key, "__slice", "__start").join(unsettled, key, "left_anti")
+    parallel = sliced.join(settled_states, [key, "__slice"]).groupBy(key, "__slice").applyInPandas(flag, flag_schema)
+    chained = sliced.join(unsettled, key, "left_semi").repartition(key).sortWithinPartitions(key, clock, order)
+    walked = chained.select(key, order, clock).mapInPandas(kernels.limiter_walk(key, order, clock, decide), flag_schema)
+    return events.join(parallel.unionByName(walked), order)
 
 
 def sliding_log(events: DataFrame, limit: int, window: float, **columns) -> DataFrame:

@@ -12,7 +12,7 @@ from paperloom.functions import verdicts as vd
 from paperloom.operators import changes, curation
 from paperloom.plans import fixtures as fx
 from paperloom.plans.registry import query
-from paperloom.sources.tables import load
+from paperloom.sources.tables import load, spread
 
 REFERENCE = dt.date(2001, 9, 1)
 
@@ -56,7 +56,7 @@ scored AS (SELECT *, round(0.4 * least(1.0, cit / 5) + 0.3 * rec + 0.2 * sem + 0
   WHEN list_bool_or(list_transform({sql_list(STRONG)}, lambda k: contains(lower(text), k))) THEN 'keep' ELSE 'edge' END AS stage FROM documents""",
 )
 def keyword_split3(spark, folder):
-    docs = load(spark, folder, "documents")
+    docs = spread(load(spark, folder, "documents").select("doc_id", "text"))
     return curation.rule_split(docs, F.col("text"), negative=NEGATIVE, strong=STRONG).select("doc_id", "stage")
 
 
@@ -68,7 +68,7 @@ def keyword_split3(spark, folder):
   FROM documents) GROUP BY stage""",
 )
 def rule_split_fixed_lists(spark, folder):
-    staged = curation.rule_split(load(spark, folder, "documents"), F.col("text"))
+    staged = curation.rule_split(spread(load(spark, folder, "documents").select("doc_id", "text")), F.col("text"))
     return staged.groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -78,7 +78,7 @@ def rule_split_fixed_lists(spark, folder):
   list_filter({sql_list(STRONG)}, lambda k: contains(lower(text), k)) AS m FROM documents) WHERE len(m) > 0""",
 )
 def keyword_matches(spark, folder):
-    out, _ = curation.partition_by_keywords(load(spark, folder, "documents"), F.col("text"), STRONG)
+    out, _ = curation.partition_by_keywords(spread(load(spark, folder, "documents").select("doc_id", "text")), F.col("text"), STRONG)
     return out.select("doc_id", F.array_join("matched", "|").alias("matched"), F.size("matched").alias("n"))
 
 
@@ -101,7 +101,7 @@ def topic_sql():
 
 @query("topic_classify", f"WITH {topic_sql()} SELECT doc_id, topic FROM topics")
 def topic_classify(spark, folder):
-    return load(spark, folder, "documents").select("doc_id", sc.topic(F.col("text")).alias("topic"))
+    return spread(load(spark, folder, "documents").select("doc_id", "text")).select("doc_id", sc.topic(F.col("text")).alias("topic"))
 
 
 @query(
@@ -109,7 +109,7 @@ def topic_classify(spark, folder):
     f"""WITH {topic_sql()} SELECT topic, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM topics)::DOUBLE, 6) AS percent FROM topics GROUP BY topic""",
 )
 def topic_hist(spark, folder):
-    topics = load(spark, folder, "documents").select(sc.topic(F.col("text")).alias("topic"))
+    topics = spread(load(spark, folder, "documents").select("doc_id", "text")).select(sc.topic(F.col("text")).alias("topic"))
     return curation.shares(topics, "topic").select("topic", "n", F.round(F.col("share") * 100, 6).alias("percent"))
 
 

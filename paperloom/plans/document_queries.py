@@ -12,7 +12,11 @@ from paperloom.functions import latex as lx
 from paperloom.functions import text as tx
 from paperloom.operators import chunking, parsing, quality, sections
 from paperloom.plans.registry import query
-from paperloom.sources.tables import load
+from paperloom.sources.tables import load, spread
+
+def documents(spark, folder):
+    return spread(load(spark, folder, "documents"))
+
 
 # Letters, digits, blanks and full stops survive every cleaning step unchanged.
 SAFE = r"[^\p{L}\p{N} .\n]"
@@ -20,7 +24,7 @@ SAFE = r"[^\p{L}\p{N} .\n]"
 
 def plain_documents(spark, folder):
     """Documents reduced to characters no cleaning step touches."""
-    docs = load(spark, folder, "documents")
+    docs = documents(spark, folder)
     text = F.regexp_replace(F.regexp_replace("text", SAFE, ""), " +", " ")
     return docs.select("doc_id", "lang", "source", text.alias("text"))
 
@@ -35,7 +39,7 @@ ln AS (SELECT doc_id, trim(l) AS line, i FROM (SELECT doc_id, unnest(string_spli
 SELECT doc_id, md5(trim(t || ' end (lang) x + y q-' || chr(8212) || ' "quoted" tail')) AS cleaned FROM t JOIN documents USING (doc_id)""".replace("(lang)", "' || lang || '"),
 )
 def latex_clean(spark, folder):
-    docs = load(spark, folder, "documents")
+    docs = documents(spark, folder)
     text = F.trim(F.regexp_replace(F.regexp_replace(F.translate("text", "\n", " "), r"[^\p{L}\p{N} .]", ""), " +", " "))
     marked = F.concat(
         F.lit(r"\noindent\textbf{"), text, F.lit(r"}\cite{a,b} \label{sec:x}end \emph{\textit{"), F.col("lang"),
@@ -228,7 +232,7 @@ SELECT doc_id, true AS passed, ((n >= 50 AND a / n::DOUBLE < 0.5)::INTEGER + (n
   n::INTEGER AS total_characters, words::INTEGER AS total_words FROM m""",
 )
 def quality_report(spark, folder):
-    return quality.document_report(load(spark, folder, "documents"), "doc_id", "text")
+    return quality.document_report(documents(spark, folder), "doc_id", "text")
 
 
 @query(
@@ -240,7 +244,7 @@ UNION ALL SELECT 'special_chars', 'warning', count(*) FROM m WHERE n >= 20 AND r
 )
 def quality_issues(spark, folder):
     noisy = F.concat("text", F.lit(" "), F.repeat(F.lit("#*"), (F.col("doc_id") % 300).cast("int")))
-    rows = quality.issue_rows(load(spark, folder, "documents").select("doc_id", noisy.alias("text")), "doc_id", "text")
+    rows = quality.issue_rows(documents(spark, folder).select("doc_id", noisy.alias("text")), "doc_id", "text")
     return rows.groupBy("issue_type", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -250,7 +254,7 @@ def quality_issues(spark, folder):
   AND length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) / length(text)::DOUBLE >= 0.3 AS valid FROM documents""",
 )
 def valid_text(spark, folder):
-    return load(spark, folder, "documents").select("doc_id", quality.is_valid(F.col("text")).alias("valid"))
+    return documents(spark, folder).select("doc_id", quality.is_valid(F.col("text")).alias("valid"))
 
 
 @query(
@@ -258,7 +262,7 @@ def valid_text(spark, folder):
     r"""SELECT doc_id, len(string_split(text, '$')) - 1 > 0.02 * len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS heavy FROM documents""",
 )
 def math_heavy(spark, folder):
-    return load(spark, folder, "documents").select("doc_id", lx.math_heavy(F.col("text"), 0.02).alias("heavy"))
+    return documents(spark, folder).select("doc_id", lx.math_heavy(F.col("text"), 0.02).alias("heavy"))
 
 
 @query(
@@ -277,7 +281,7 @@ def fixed_text(spark, folder):
   list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ss FROM documents))""",
 )
 def sentence_split(spark, folder):
-    rows = load(spark, folder, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("p", "s"))
+    rows = documents(spark, folder).select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("p", "s"))
     return rows.select("doc_id", (F.col("p") + 1).alias("pos"), F.md5("s").alias("sentence"))
 
 
@@ -287,7 +291,7 @@ def sentence_split(spark, folder):
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents)) WHERE length(p) >= 20""",
 )
 def paragraph_split(spark, folder):
-    rows = load(spark, folder, "documents").select("doc_id", F.posexplode(tx.lines(F.col("text"))).alias("p", "t"))
+    rows = documents(spark, folder).select("doc_id", F.posexplode(tx.lines(F.col("text"))).alias("p", "t"))
     return rows.where(F.length("t") >= 20).select("doc_id", (F.col("p") + 1).alias("pos"), F.length("t").alias("n"))
 
 
@@ -325,7 +329,7 @@ sized AS (SELECT b.doc_id, b.i, b.form, b.a, b.b, CASE b.form WHEN 'truncated' T
 def chunk_source(spark, folder):
     """Each document is one section whose lines are its paragraphs."""
     body = F.struct(F.lit("Body").alias("title"), tx.lines(F.col("text")).alias("paragraphs"))
-    return load(spark, folder, "documents").select("doc_id", F.array(body).alias("sections"))
+    return documents(spark, folder).select("doc_id", F.array(body).alias("sections"))
 
 
 @query(

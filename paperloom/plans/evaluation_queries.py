@@ -10,7 +10,7 @@ from paperloom.operators.containment import contains_join
 from paperloom.plans import fixtures as fx
 from paperloom.plans.registry import query
 from paperloom.session import cut_lineage
-from paperloom.sources.tables import load
+from paperloom.sources.tables import load, spread
 
 MODES = ("dense", "sparse", "text", "hybrid")
 ORDER = ["dense", "dense+rerank", "sparse", "sparse+rerank", "hybrid", "hybrid+rerank"]
@@ -67,7 +67,7 @@ AVERAGED = ", ".join(f"round(avg({c}), 8) AS avg_{c}" for c in COLUMNS) + ", cou
 def judgements(spark, folder):
     """Relevant documents of each benchmark item: those whose text holds its passage."""
     pairs = contains_join(
-        load(spark, folder, "documents"), load(spark, folder, "benchmark"),
+        spread(load(spark, folder, "documents").select("doc_id", "text")), load(spark, folder, "benchmark"),
         doc_id="doc_id", doc_text="text", passage_id="item_id", passage_text="text",
     )
     return pairs.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id"))

@@ -10,7 +10,7 @@ from paperloom.functions import vectors as vx
 from paperloom.operators import fusion, ranking, rerank, search
 from paperloom.plans import fixtures as fx
 from paperloom.plans.registry import query
-from paperloom.sources.tables import load
+from paperloom.sources.tables import load, spread
 
 COSINE = "round(list_cosine_similarity(embedding::DOUBLE[], qv), 10)"
 
@@ -138,7 +138,7 @@ kept AS (SELECT doc_id, term, weight, row_number() OVER (PARTITION BY doc_id ORD
 
 @query("sparse_truncate128", f"WITH {SPARSE_TOP} SELECT * FROM kept")
 def sparse_truncate128(spark, folder):
-    encoded = search.encode_sparse(load(spark, folder, "documents"), 128, id_col="doc_id", text_col="text")
+    encoded = search.encode_sparse(spread(load(spark, folder, "documents").select("doc_id", "text")), 128, id_col="doc_id", text_col="text")
     pairs = F.posexplode(F.arrays_zip("terms", "weights")).alias("pos", "entry")
     return encoded.select("doc_id", pairs).select(
         "doc_id", F.col("entry.terms").alias("term"), F.col("entry.weights").alias("weight"), (F.col("pos") + 1).alias("rank")
@@ -152,7 +152,7 @@ s AS (SELECT item_id, doc_id, sum(q.tf * k.weight) AS score FROM qry_tf q JOIN k
 SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s QUALIFY rank <= 10""",
 )
 def sparse_truncated_topk(spark, folder):
-    encoded = search.encode_sparse(load(spark, folder, "documents"), 128, id_col="doc_id", text_col="text")
+    encoded = search.encode_sparse(spread(load(spark, folder, "documents").select("doc_id", "text")), 128, id_col="doc_id", text_col="text")
     docs = encoded.withColumnRenamed("doc_id", "chunk_id")
     return fx.as_items(search.sparse_search(docs, fx.benchmark_terms(spark, folder), 10))
 

@@ -18,7 +18,7 @@ def read_parsed(spark: SparkSession, path: str, paper_id: str | None = None) ->
     return docs if paper_id is None else docs.where(F.col("paper_id") == paper_id)
 
 
-def read_json_list(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_json_list(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A JSON array of objects per file."""
     return spark.read.schema(schema).option("multiLine", "true").json(path)
 

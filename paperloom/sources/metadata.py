@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +29,6 @@ class Search:
     keywords: Sequence[str] = ()
     start: dt.date | None = None
     end: dt.date | None = None
-    order: list[Column] = field(default_factory=lambda: [F.desc("published"), F.asc("paper_id")])
 
     def query_string(self, with_dates: bool = True) -> str:
         """The text form a remote search service understands."""
@@ -56,6 +55,11 @@ class Search:
         conditions += self.date_conditions()
         return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
+    @property
+    def order(self) -> list[Column]:
+        """Newest first."""
+        return [F.desc("published"), F.asc("paper_id")]
+
     def date_conditions(self) -> list[Column]:
         out = []
         if self.start:
