@@ -11,27 +11,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def latest(incoming: DataFrame, key: Sequence[str], version: str | None = None) -> DataFrame:
+    """One row per key, the newest version; ``max_by`` combines map-side, so a hot key stays cheap."""
+    rest = [c for c in incoming.columns if c not in key]
+    payload = F.struct(*rest) if rest else F.struct(F.lit(0).alias("__none"))
+    age = F.struct(F.col(version), payload) if version else payload
+    best = incoming.groupBy(*key).agg(F.max_by(payload, age).alias("__row"))
+    return best.select(*[F.col(c) if c in key else F.col(f"__row.{c}").alias(c) for c in incoming.columns])
+
+
 def upsert(target: DataFrame, incoming: DataFrame, key: Sequence[str], version: str | None = None) -> DataFrame:
     """Incoming rows replace target rows with the same key; the newest version wins among them.
 
-    One aggregation: ``max_by`` combines map-side, so a key repeated by a third of
-    the incoming rows arrives at its task once per map task.
+    Only the incoming side is aggregated.  The target takes part in an anti join
+    on the keys, which is a broadcast when the change set is small.
     """
-    columns = target.columns
-    age = F.lit(0) if version is None else F.col(version)
-    old = target.select(*columns, F.lit(0).alias("__side"), age.alias("__age"))
-    new = incoming.select(*columns, F.lit(1).alias("__side"), age.alias("__age"))
-    rest = [c for c in columns if c not in key]
-    payload = F.struct(*rest) if rest else F.lit(0)
-    winner = F.max_by(payload, F.struct("__side", "__age", payload)).alias("__row")
-    merged = old.unionByName(new).groupBy(*key).agg(winner)
-    return merged.select(*[F.col(c) if c in key else F.col(f"__row.{c}").alias(c) for c in columns])
+    fresh = latest(incoming.select(*target.columns), key, version)
+    return target.join(fresh.select(*key), list(key), "left_anti").select(*target.columns).unionByName(fresh)
 
 
 def insert_ignore(target: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Append rows whose key is new; an existing row always stays."""
-    fresh = incoming.select(*target.columns).dropDuplicates(list(key))
-    return target.unionByName(fresh.join(target.select(*key), list(key), "left_anti"))
+    """Append rows whose key is new; an existing row always stays.
+
+    The keys already there are found from the target's side, where a small change
+    set can be broadcast, instead of shuffling the target's keys.
+    """
+    fresh = latest(incoming.select(*target.columns), key)
+    there = target.select(*key).join(fresh.select(*key), list(key), "left_semi")
+    return target.unionByName(fresh.join(there, list(key), "left_anti"))
 
 
 def update(target: DataFrame, changes: DataFrame, key: Sequence[str], *, touched: str | None = None, now: Column | None = None) -> DataFrame:

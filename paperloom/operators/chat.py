@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.operators.listing import with_titles
 from paperloom.operators.ranking import first_per_group, top_k_per_group
 from paperloom.settings import DEFAULTS
 
@@ -80,10 +81,8 @@ def prompt(question: Column, context: Column, history: Column) -> Column:
 
 def sources(hits: DataFrame, papers: DataFrame, *, key: str = "paper_id") -> DataFrame:
     """Display rows of the answer's sources: title (id when unknown), snippet, rounded score."""
-    titles = papers.select(key, F.col("title").alias("__title"))
-    return hits.join(titles, key, "left").select(
-        "query_id", "rank", key,
-        F.coalesce("__title", F.col(key).cast("string")).alias("title"),
+    return with_titles(hits, papers, default=F.col(key).cast("string"), key=key).select(
+        "query_id", "rank", key, "title",
         F.substring("content", 1, _C.snippet_chars).alias("snippet"),
         F.bround("score", 3).alias("similarity"),
     )

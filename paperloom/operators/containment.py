@@ -10,13 +10,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from paperloom import kernels
 from paperloom.functions import text as tx
-from paperloom.session import cut_lineage
+from paperloom.session import broadcast_if_small
 
 GRAM = 3
 # Passages up to this many characters in all travel to the tasks as one automaton.
 AUTOMATON_CHARS = 8_000_000
-# Candidate pairs up to this many rows (two keys each) are broadcast to the texts.
-BROADCAST_PAIRS = 2_000_000
 
 
 def contains_join(docs: DataFrame, passages: DataFrame, *, doc_id: str, doc_text: str, passage_id: str, passage_text: str) -> DataFrame:
@@ -66,10 +64,9 @@ def anchor_join(docs: DataFrame, passages: DataFrame, *, doc_id: str, doc_text:
         return grams.join(anchors, "__gram").select(doc_id, passage_id)
 
     size = F.size("__inner")
-    pairs = cut_lineage(candidates(GRAM, size >= GRAM).unionByName(candidates(1, (size >= 1) & (size < GRAM))))
-    few = len(pairs.limit(BROADCAST_PAIRS + 1).groupBy().count().where(F.col("count") <= BROADCAST_PAIRS).take(1)) == 1
+    pairs = broadcast_if_small(candidates(GRAM, size >= GRAM).unionByName(candidates(1, (size >= 1) & (size < GRAM))))
     texts = docs.select(doc_id, F.col(doc_text).alias("__text"))
-    near = texts.join(F.broadcast(pairs) if few else pairs, doc_id)
+    near = texts.join(pairs, doc_id)
     verified = near.join(keyed.select(passage_id, "__passage"), passage_id)
     found = verified.where(F.contains("__text", F.col("__passage"))).select(doc_id, passage_id)
     tiny = keyed.where(size < 1).select(passage_id, "__passage")

@@ -12,6 +12,7 @@ from paperloom.functions import text as tx
 from paperloom.functions import vectors as vx
 from paperloom.functions.lexicon import NEGATIVE_PHRASES, STRONG_INDICATORS, TARGET_SHARES, TOPIC_KEYWORDS
 from paperloom.operators.ranking import ranked_top_k, top_k, top_k_per_group
+from paperloom.session import broadcast_if_small
 from paperloom.settings import DEFAULTS
 
 
@@ -70,8 +71,8 @@ def with_bonus(df: DataFrame, topic_col: str, *, targets: Mapping[str, float] |
     """Attach the under-representation bonus of each row's group.
 
     The histogram is aggregated first (map-side combined), so a group holding a
-    third of the rows is a counter, not a partition; joining it back is a
-    broadcast as soon as the planner sees how few groups there are.
+    third of the rows is a counter; it is counted and broadcast back, so the rows
+    themselves are never shuffled by group.
     """
     if targets is None:
         share = 1.0 / (len(TOPIC_KEYWORDS) + 1) if equal_share is None else equal_share
@@ -80,7 +81,7 @@ def with_bonus(df: DataFrame, topic_col: str, *, targets: Mapping[str, float] |
         entries = F.create_map(*[F.lit(x) for pair in targets.items() for x in pair])
         target = F.coalesce(F.try_element_at(entries, F.col(topic_col)), F.lit(0.1))
     bonus = shares(df, topic_col).select(topic_col, sc.under_represented_bonus(F.col("share"), target).alias("bonus"))
-    return df.join(bonus, topic_col)
+    return df.join(broadcast_if_small(bonus), topic_col)
 
 
 def score_papers(df: DataFrame, reference: Column, *, topic_col: str = "topic", equal_share: float | None = None) -> DataFrame:

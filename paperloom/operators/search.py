@@ -21,6 +21,7 @@ from paperloom import kernels
 from paperloom.functions import text as tx
 from paperloom.functions import vectors as vx
 from paperloom.operators.ranking import top_k, top_k_per_group
+from paperloom.session import broadcast_if_small
 from paperloom.settings import DEFAULTS
 
 
@@ -220,7 +221,8 @@ def encode_sparse(docs: DataFrame, k: int, *, id_col: str, text_col: str) -> Dat
 def with_content(hits: DataFrame, docs: DataFrame, *, id_col: str, columns: list[str]) -> DataFrame:
     """Late materialisation: fetch payload columns for ranked ids, keeping their order column.
 
-    The hit side is small by construction; AQE broadcasts it once it has seen its size.
+    Hits are queries x k rows: counted, then broadcast, so the payload is scanned
+    in place and only its matching rows move.
     """
     payload = docs.select(F.col(id_col).alias("chunk_id"), *columns)
-    return hits.join(payload, "chunk_id", "inner")
+    return payload.join(broadcast_if_small(hits), "chunk_id", "inner")

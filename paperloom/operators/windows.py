@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.dates import date_windows, window_of
 from paperloom.operators.ranking import first_per_group, top_k_per_group
+from paperloom.session import broadcast_if_small
 
 
 def window_scan(
@@ -28,7 +29,8 @@ def window_scan(
     )
     start = bounds.select("start").first()["start"]  # one-row parameter table
     tagged = rows.withColumn("__no", window_of(F.col(day_col), F.lit(start), days))
-    hits = tagged.join(numbered, "__no").where(F.col(day_col).between(F.col("window_start"), F.col("window_end"))).drop("__no")
+    # One row per window of the range: counted, then broadcast, so rows stay where they are.
+    hits = tagged.join(broadcast_if_small(numbered), "__no").where(F.col(day_col).between(F.col("window_start"), F.col("window_end"))).drop("__no")
     if per_window is not None:
         hits = top_k_per_group(hits, ["window_start"], per_window, [F.desc(day_col), F.asc(id_col)], rank="__r").drop("__r")
     return first_per_group(hits, [id_col], [F.asc("window_start")])

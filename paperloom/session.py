@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "paperloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,6 +49,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(tempfile.mkdtemp(prefix="paperloom-checkpoint-"))
 
 
+# A side of a join up to this many narrow rows is shipped whole to every executor.
+BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Materialise a side that ought to be small, count it, and broadcast it only then.
+
+    The planner cannot know the size of a top-k or a histogram beforehand and would
+    shuffle the large side first; a side that turns out large is joined by shuffle.
+    """
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if kept.count() <= max_rows else kept
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, unlike a local one."""
     ensure_checkpoint_dir(df.sparkSession)
