@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from paperloom import kernels
 from paperloom.functions import text as tx
-from paperloom.functions.binding import let
+from paperloom.functions.binding import let, unnest
 from paperloom.settings import ChunkSettings
 
 CHUNK = "struct<content:string,section_title:string,chunk_type:string,form:string,token_count:int>"
@@ -84,7 +84,7 @@ def chunk_documents(
     if settings.include_equations and "equations" in docs.columns:
         parts.append(_equation_chunks(settings))
     numbered = rows.select(key, let(F.concat(*parts), lambda cs: mark_overlaps(cs, settings.overlap_tokens)).alias("__chunks"))
-    exploded = numbered.select(key, F.posexplode("__chunks").alias("chunk_index", "c"))
+    exploded = unnest(numbered, [key], F.col("__chunks"), "c", "chunk_index")
     return exploded.select(
         F.concat(F.col(key).cast("string"), F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"),
         F.col(key), "chunk_index", "c.*", F.length("c.content").alias("char_count"),

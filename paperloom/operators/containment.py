@@ -10,6 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from paperloom import kernels
 from paperloom.functions import text as tx
+from paperloom.functions.binding import unnest
 from paperloom.session import broadcast_if_small
 
 GRAM = 3
@@ -60,7 +61,7 @@ def anchor_join(docs: DataFrame, passages: DataFrame, *, doc_id: str, doc_text:
 
     def candidates(n: int, which: Column) -> DataFrame:
         anchors = keyed.where(which).select(passage_id, longest(_grams(F.col("__inner"), n)).alias("__gram"))
-        grams = docs.select(doc_id, F.explode(_grams(tx.words(F.col(doc_text)), n)).alias("__gram"))
+        grams = unnest(docs, [doc_id], _grams(tx.words(F.col(doc_text)), n), "__gram")
         return grams.join(anchors, "__gram").select(doc_id, passage_id)
 
     size = F.size("__inner")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from paperloom.functions import scores as sc
 from paperloom.functions import text as tx
 from paperloom.functions import vectors as vx
+from paperloom.functions import verdicts as vd
+from paperloom.functions.binding import unnest
 from paperloom.functions.lexicon import NEGATIVE_PHRASES, STRONG_INDICATORS, TARGET_SHARES, TOPIC_KEYWORDS
 from paperloom.operators.ranking import ranked_top_k, top_k, top_k_per_group
 from paperloom.session import broadcast_if_small
@@ -154,3 +156,39 @@ def diversity(df: DataFrame, topic_col: str, date_col: str) -> DataFrame:
 def ranked_papers(df: DataFrame, n: int, citation_col: str, date_col: str, id_col: str) -> DataFrame:
     """Best ``n`` by citations, then date; a missing date sorts last."""
     return ranked_top_k(df, n, [F.desc(citation_col), F.desc_nulls_last(date_col), F.asc(id_col)])
+
+
+def verify_edges(edges: DataFrame, answer: Column, max_verify: int, *, order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """Ask about the first ``max_verify`` edge cases: ``(accepted, left unasked)``.
+
+    The budget is part of the operator; what it leaves out is returned, not lost.
+    ``answer`` is the model's text for a row, null where no model answered, which
+    rejects the row.
+    """
+    ranked = ranked_top_k(edges, max_verify, order, rank="__ask")
+    asked = ranked.withColumn("__answer", answer)
+    verdict = asked.withColumn("relevance_reason", vd.reason(F.col("__answer"))).where(vd.is_relevant(F.col("__answer")))
+    unasked = edges.join(ranked.select("paper_id"), "paper_id", "left_anti")
+    return verdict.drop("__answer", "__ask"), unasked
+
+
+def by_verdict(df: DataFrame, suitable: Column) -> tuple[DataFrame, DataFrame]:
+    """``(suitable, unsuitable)``; a missing verdict counts as unsuitable."""
+    good = F.coalesce(suitable, F.lit(False))
+    return df.where(good), df.where(~good)
+
+
+def suggested_keywords(df: DataFrame, keywords: Column, min_length: int = 3) -> DataFrame:
+    """Distinct keywords proposed by verdicts, lower-cased and trimmed, short ones dropped."""
+    rows = unnest(df, [], F.coalesce(keywords, F.array().cast("array<string>")), "k")
+    cleaned = rows.select(F.lower(F.trim("k")).alias("keyword"))
+    return cleaned.where(F.length("keyword") >= min_length).distinct()
+
+
+def collection_stats(df: DataFrame, stage_col: str = "stage") -> DataFrame:
+    """Collected, kept, edge and dropped counts with the share that was kept."""
+    return df.agg(
+        F.count(F.lit(1)).alias("collected"),
+        *[F.count_if(F.col(stage_col) == s).alias(n) for s, n in (("keep", "kept"), ("edge", "edges"), ("drop", "dropped"))],
+        F.round(F.count_if(F.col(stage_col) == "keep") / F.greatest(F.count(F.lit(1)), F.lit(1)), 6).alias("kept_share"),
+    )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from paperloom import kernels
 from paperloom.functions import latex as lx
-from paperloom.functions.binding import let
+from paperloom.functions.binding import let, unnest
 from paperloom.functions.text import SPACE, strip
 
 MARK, FIELD = "\u001e", "\u001f"
@@ -333,7 +333,7 @@ def numbered(df: DataFrame, key: str = "paper_id") -> DataFrame:
     per_section = F.transform("sections", lambda s: F.transform(s["paragraphs"], lambda p: F.struct(
         s["order"].alias("section_order"), s["level"].alias("level"), s["title"].alias("section_title"),
         p["order"].alias("order"), p["content"].alias("content"))))
-    rows = df.select(key, F.posexplode(F.flatten(per_section)).alias("n", "p"))
+    rows = unnest(df, [key], F.flatten(per_section), "p", "n")
     return rows.select(
         key,
         F.concat(F.col(key), F.lit("_sec_"), F.col("p.section_order")).alias("section_id"),

@@ -124,7 +124,7 @@ def sparse_search(
     term eligible, as a relational scan would; an index never returns them.
     """
     weighted = "weights" in docs.columns
-    source = docs.where(F.col("terms").isNotNull()).select("chunk_id", "terms", *(["weights"] if weighted else []))
+    source = docs.select("chunk_id", "terms", *(["weights"] if weighted else []))
     schema = _leg_schema(queries.schema["query_id"].dataType, source.schema["chunk_id"].dataType)
     parts = []
     for rows in _blocks(queries.select("query_id", "terms", "weights"), _term_row_bytes(queries)):
@@ -139,7 +139,7 @@ def text_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     ``docs`` is ``(chunk_id, terms)`` with repeats, ``queries`` is ``(query_id, terms)``.
     """
-    source = docs.where(F.size("terms") > 0).select("chunk_id", "terms")
+    source = docs.select("chunk_id", "terms")
     schema = _leg_schema(queries.schema["query_id"].dataType, source.schema["chunk_id"].dataType)
     asked = queries.select(
         "query_id",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import latex as lx
 from paperloom.functions import text as tx
+from paperloom.functions.binding import unnest
 from paperloom.operators import chunking, parsing, quality, sections
 from paperloom.plans.registry import query
 from paperloom.sources.tables import load, spread
@@ -107,7 +108,7 @@ SELECT doc_id, n::INTEGER AS section_order, CASE WHEN n % 3 = 0 THEN 2 ELSE 1 EN
 def latex_sections(spark, folder):
     """The last section also holds the tail of the document: paragraphs from the sixth on."""
     source = latex_source(spark, folder)
-    found = source.select("doc_id", F.explode(parsing.latex_sections(parsing.body(F.col("content")))).alias("s"))
+    found = unnest(source, ["doc_id"], parsing.latex_sections(parsing.body(F.col("content"))), "s")
     rows = found.select("doc_id", "s.order", "s.level", "s.title", F.explode("s.paragraphs").alias("p"))
     return rows.where(F.col("p.order") <= 5).select(
         "doc_id", F.col("order").alias("section_order"), "level", "title", F.col("p.order").alias("paragraph_order"), F.md5("p.content").alias("content")
@@ -140,7 +141,7 @@ SELECT doc_id, n::INTEGER AS section_order, (n % 3 + 1)::INTEGER AS level, 'Part
 )
 def markdown_sections(spark, folder):
     md = parsing.markdown_sections(F.col("markdown"))
-    rows = markdown_source(spark, folder).select("doc_id", F.explode(md).alias("s")).where(F.col("s.title") != "Tail")
+    rows = unnest(markdown_source(spark, folder), ["doc_id"], md, "s").where(F.col("s.title") != "Tail")
     return rows.select("doc_id", F.col("s.order").alias("section_order"), "s.level", "s.title", F.size("s.paragraphs").alias("n_paragraphs"))
 
 
@@ -281,7 +282,7 @@ def fixed_text(spark, folder):
   list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ss FROM documents))""",
 )
 def sentence_split(spark, folder):
-    rows = documents(spark, folder).select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("p", "s"))
+    rows = unnest(documents(spark, folder), ["doc_id"], tx.sentences(F.col("text")), "s", "p")
     return rows.select("doc_id", (F.col("p") + 1).alias("pos"), F.md5("s").alias("sentence"))
 
 
@@ -291,7 +292,7 @@ def sentence_split(spark, folder):
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents)) WHERE length(p) >= 20""",
 )
 def paragraph_split(spark, folder):
-    rows = documents(spark, folder).select("doc_id", F.posexplode(tx.lines(F.col("text"))).alias("p", "t"))
+    rows = unnest(documents(spark, folder), ["doc_id"], tx.lines(F.col("text")), "t", "p")
     return rows.where(F.length("t") >= 20).select("doc_id", (F.col("p") + 1).alias("pos"), F.length("t").alias("n"))
 
 

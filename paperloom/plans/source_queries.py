@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from paperloom import kernels, schemas
+from paperloom.functions.binding import unnest
 from paperloom.operators import search
 from paperloom.plans import fixtures as fx
 from paperloom.plans import limiter_queries, search_queries  # noqa: F401  (their oracles are reused below)
@@ -81,7 +82,7 @@ def keyword_file(spark, folder):
         F.lit("ignored line\n* Biomedical / anything\n"), F.replace("p_name", F.lit(" "), F.lit("\n\n")), F.lit("\n"), F.upper(F.element_at(F.split("p_name", " "), 1)),
         F.lit("\n\n** Own topic: "), F.col("p_partkey").cast("string"), F.lit(" *\n  Some Keyword \n"),
     )
-    rows = load(spark, folder, "part").select("p_partkey", F.explode(files.keyword_blocks(text)).alias("b"))
+    rows = unnest(load(spark, folder, "part"), ["p_partkey"], files.keyword_blocks(text), "b")
     return rows.select("p_partkey", "b.category", F.size("b.keywords").alias("n"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from paperloom import kernels, schemas
 from paperloom.functions import text as tx
+from paperloom.functions.binding import unnest
 from paperloom.functions.lexicon import CATEGORY_HEADINGS
 
 
@@ -64,7 +65,7 @@ def keyword_blocks(text: Column) -> Column:
 def read_keyword_text(spark: SparkSession, path: str) -> DataFrame:
     """Keyword text files as ``(category, keyword, pos)``."""
     files = spark.read.text(path, wholetext=True)
-    blocks = files.select(F.explode(keyword_blocks(F.col("value"))).alias("b"))
+    blocks = unnest(files, [], keyword_blocks(F.col("value")), "b", "block")
     return blocks.select("b.category", F.posexplode("b.keywords").alias("pos", "keyword"))
 
 
