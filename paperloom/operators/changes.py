@@ -6,6 +6,7 @@ Writers put the result into a new folder and switch over, see ``sources.store``.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +78,14 @@ def whitelisted(df: DataFrame, allowed: Sequence[str]) -> DataFrame:
     return df.select(*[c for c in allowed if c in df.columns])
 
 
+def vector_rows(chunks: DataFrame) -> DataFrame:
+    """Rows for the vector store: only vectors that are there, empty ones become null, rows without any are left out."""
+    kinds = [c for c in ("dense", "dense_second", "sparse", "token_embeddings") if c in chunks.columns]
+    present = [F.when(F.size(c) > 0, F.col(c)).alias(c) for c in kinds]
+    rows = chunks.select("chunk_id", "paper_id", *present)
+    return rows.where(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in kinds]))
+
+
 def parse_vector(raw: Column) -> Column:
     """Vectors stored as JSON text."""
     return F.from_json(raw, "array<double>")
@@ -98,10 +107,7 @@ def migrate(chunks: DataFrame, existing: DataFrame | None = None) -> DataFrame:
         parse_vector(F.col("dense_json")).alias("dense"),
         parse_sparse(F.col("sparse_json")).alias("sparse"),
     )
-    sparse = F.when(F.size("sparse") > 0, F.col("sparse"))
-    dense = F.when(F.size("dense") > 0, F.col("dense"))
-    rows = rows.select("chunk_id", "paper_id", dense.alias("dense"), sparse.alias("sparse"))
-    rows = rows.where(F.col("dense").isNotNull() | F.col("sparse").isNotNull())
+    rows = vector_rows(rows)
     return rows if existing is None else rows.join(existing.select("chunk_id"), "chunk_id", "left_anti")
 
 

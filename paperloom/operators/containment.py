@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,12 +28,20 @@ def contains_join(docs: DataFrame, passages: DataFrame, *, doc_id: str, doc_text
     """
     asked = passages.where(F.length(passage_text) > 0).select(passage_id, passage_text)
     size = asked.agg(F.coalesce(F.sum(F.length(passage_text)), F.lit(0)).alias("n")).first()["n"]
-    columns = {"doc_id": doc_id, "doc_text": doc_text, "passage_id": passage_id, "passage_text": passage_text}
+    columns: dict[str, str] = {"doc_id": doc_id, "doc_text": doc_text, "passage_id": passage_id, "passage_text": passage_text}
     if size <= AUTOMATON_CHARS and kernels.has_automaton():
         return automaton_join(docs, asked, **columns)
     return anchor_join(docs, asked, **columns)
 
 
+def automaton_blocks(docs: DataFrame, passages: DataFrame, chars: int, **columns: str) -> DataFrame:
+    """One scan per block of passages; blocks are hash slices below the size limit."""
+    n_blocks = max(1, -(-2 * chars // AUTOMATON_CHARS)) if chars > AUTOMATON_CHARS else 1
+    slot = F.pmod(F.xxhash64(columns["passage_text"]), F.lit(n_blocks))
+    parts = [automaton_join(docs, passages if n_blocks == 1 else passages.where(slot == i), **columns) for i in range(n_blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def automaton_join(docs: DataFrame, passages: DataFrame, *, doc_id: str, doc_text: str, passage_id: str, passage_text: str) -> DataFrame:
     """All passages at once, one scan of each text."""
     rows = passages.select(passage_id, passage_text).collect()  # size checked by the caller
@@ -52,7 +62,7 @@ def anchor_join(docs: DataFrame, passages: DataFrame, *, doc_id: str, doc_text:
     (its first and last word may be cut).  Each passage is looked up by one
     anchor, its longest run of three inner words, through an equi-join on narrow
     rows; only candidates are compared as whole texts.  Passages too short for a
-    run are anchored on one inner word, or compared directly when they have none.
+    run are anchored on one inner word; those without any go through automata.
     """
     inner = tx.words(F.col(passage_text))
     inner = F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))
@@ -71,5 +81,11 @@ def anchor_join(docs: DataFrame, passages: DataFrame, *, doc_id: str, doc_text:
     verified = near.join(keyed.select(passage_id, "__passage"), passage_id)
     found = verified.where(F.contains("__text", F.col("__passage"))).select(doc_id, passage_id)
     tiny = keyed.where(size < 1).select(passage_id, "__passage")
-    direct = texts.join(tiny, F.contains("__text", F.col("__passage"))).select(doc_id, passage_id)
+    chars = tiny.agg(F.coalesce(F.sum(F.length("__passage")), F.lit(0)).alias("n")).first()["n"]
+    if chars == 0:
+        return found
+    if kernels.has_automaton():
+        direct = automaton_blocks(docs, tiny, chars, doc_id=doc_id, doc_text=doc_text, passage_id=passage_id, passage_text="__passage")
+    else:
+        direct = texts.join(tiny, F.contains("__text", F.col("__passage"))).select(doc_id, passage_id)
     return found.unionByName(direct)

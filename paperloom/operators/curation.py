@@ -13,6 +13,7 @@ from paperloom.functions import vectors as vx
 from paperloom.functions import verdicts as vd
 from paperloom.functions.binding import unnest
 from paperloom.functions.lexicon import NEGATIVE_PHRASES, STRONG_INDICATORS, TARGET_SHARES, TOPIC_KEYWORDS
+from paperloom.operators.containment import contains_join
 from paperloom.operators.ranking import ranked_top_k, top_k, top_k_per_group
 from paperloom.session import broadcast_if_small
 from paperloom.settings import DEFAULTS
@@ -38,12 +39,10 @@ def keyword_matches(df: DataFrame, text: Column, keywords: list[str], out: str =
 
 
 def keyword_matches_table(df: DataFrame, keywords: DataFrame, *, id_col: str, text_col: str, keyword_col: str = "keyword") -> DataFrame:
-    """``(id, keyword)`` pairs where the keyword comes from a table instead of a list.
-
-    For keyword tables; the planner sees the table's size and picks how to ship it.
-    """
+    """``(id, keyword)`` pairs where the keywords come from a table of any size."""
     lowered = df.select(id_col, F.lower(text_col).alias("__text"))
-    return lowered.join(keywords.select(keyword_col).distinct(), F.contains("__text", F.col(keyword_col))).select(id_col, keyword_col)
+    listed = keywords.select(F.col(keyword_col), F.col(keyword_col).alias("__needle")).distinct()
+    return contains_join(lowered, listed, doc_id=id_col, doc_text="__text", passage_id=keyword_col, passage_text="__needle")
 
 
 def partition_by_keywords(df: DataFrame, text: Column, keywords: list[str]) -> tuple[DataFrame, DataFrame]:

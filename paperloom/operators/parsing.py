@@ -286,6 +286,8 @@ def html_to_markdown(html: Column) -> Column:
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", "")
     for level in range(1, 5):
         out = F.regexp_replace(out, rf"(?is)<h{level}[^>]*>(.*?)</h{level}>", "\n\n" + "#" * level + " $1\n\n")
+    # A paragraph that opens with a bold line is a section in all but name.
+    out = F.regexp_replace(out, r"(?is)<p><b>(.*?)<br>", "\n\n## $1\n\n")
     out = F.regexp_replace(out, r"(?i)<(p|div|article|br)\b[^>]*>", "\n\n")
     out = F.regexp_replace(out, r"<[^>]+>", "")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):

@@ -24,7 +24,7 @@ from paperloom import kernels
 from paperloom.session import cut_lineage
 
 
-SPECULATIVE_ROUNDS = 3
+SPECULATIVE_ROUNDS = 2
 
 
 def limiter(

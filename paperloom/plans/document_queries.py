@@ -115,18 +115,23 @@ def latex_sections(spark, folder):
     )
 
 
-@query("page_markdown")
+PAGE_TITLE = r"""trim(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'))"""
+
+
+@query(
+    "page_markdown",
+    rf"""SELECT page_id, {PAGE_TITLE} AS title, len(regexp_extract_all(html, '(?is)<p><b>.*?<br>'))::INTEGER AS total_sections FROM pages""",
+)
 def page_markdown(spark, folder):
-    """Pages parsed as Markdown documents: title, sections, paragraphs."""
-    pages = load(spark, folder, "pages")
+    """Pages parsed as Markdown documents."""
+    pages = spread(load(spark, folder, "pages"))
     parsed = parsing.counts(parsing.parse_markdown(pages.select("page_id", parsing.html_to_markdown(F.col("html")).alias("markdown"))))
-    return parsed.select("page_id", "title", "abstract", "total_sections", "total_paragraphs", "total_equations", "total_tables")
+    return parsed.select("page_id", "title", "total_sections")
 
 
 @query(
     "page_title",
-    r"""SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS title
-FROM pages WHERE html LIKE '%<h1%'""",
+    f"SELECT page_id, {PAGE_TITLE} AS title FROM pages WHERE html LIKE '%<h1%'",
 )
 def page_title(spark, folder):
     pages = load(spark, folder, "pages").where(F.contains("html", F.lit("<h1")))
@@ -303,7 +308,7 @@ sent AS (SELECT doc_id, pi, si, s, len(list_filter(regexp_split_to_array(s, '\s+
   (SELECT doc_id, pi, list_filter(list_transform(string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ss FROM wc WHERE w > 512))),
 units AS (SELECT doc_id, pi, 0 AS si, 0 AS kind, p AS t, w FROM wc WHERE w <= 512 UNION ALL SELECT doc_id, pi, si, 1, s, w FROM sent),
 seq AS (SELECT doc_id, kind, pi, w, t, row_number() OVER (PARTITION BY doc_id ORDER BY pi, si) AS i, sum(w) OVER (PARTITION BY doc_id ORDER BY pi, si) AS cum FROM units),
-docs AS (SELECT doc_id, list(kind ORDER BY i) AS ks, list(pi ORDER BY i) AS ps, list(w ORDER BY i) AS ws, list_prepend(0, list(cum ORDER BY i)) AS cs, sum(w) AS total, count(*) AS n FROM seq GROUP BY doc_id)"""
+docs AS (SELECT doc_id, list(kind ORDER BY i) AS ks, list(pi ORDER BY i) AS ps, list(w ORDER BY i) AS ws, list_prepend(0, list(cum ORDER BY i)) AS cs, list(t ORDER BY i) AS ts, sum(w) AS total, count(*) AS n FROM seq GROUP BY doc_id)"""
 
 WALK_SQL = f"""WITH RECURSIVE {UNITS_SQL},
 walk AS (SELECT doc_id, 0::BIGINT AS i, 1::BIGINT AS st, 0::BIGINT AS tok, 0::BIGINT AS carry, []::STRUCT(form VARCHAR, a BIGINT, b BIGINT, c BIGINT)[] AS out FROM docs WHERE total > 512
@@ -352,7 +357,26 @@ def chunk_stats(spark, folder):
     return chunking.chunk_stats(chunking.chunk_documents(chunk_source(spark, folder), key="doc_id")).drop("with_overlap")
 
 
-@query("chunk_overlaps")
+def _sql_words(text):
+    return rf"list_filter(regexp_split_to_array({text}, '\s+'), lambda w: w <> '')"
+
+
+@query(
+    "chunk_overlaps",
+    f"""{WALK_SQL},
+built AS (SELECT b.doc_id, b.i, b.a, b.b, 'text' AS chunk_type, CASE form WHEN 'truncated' THEN array_to_string(({_sql_words("ts[a]")})[1:512], ' ')
+  WHEN 'sentences' THEN array_to_string(ts[a:b], ' ')
+  ELSE CASE WHEN c > 0 AND ws[c] <= 50 THEN ts[c] || chr(10) || chr(10)
+    WHEN c > 0 THEN array_to_string(({_sql_words("ts[c]")})[ws[c] - 49:ws[c]], ' ') || chr(10) || chr(10) ELSE '' END
+    || array_to_string(ts[a:b], chr(10) || chr(10)) END AS content FROM borders b JOIN docs USING (doc_id)),
+summary AS (SELECT doc_id, 0 AS i, 0 AS a, 0 AS b, 'abstract' AS chunk_type, trim(p) AS content FROM wc WHERE pi = 1 AND w >= 100),
+every AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, a, b) - 1 AS n FROM (SELECT * FROM built UNION ALL SELECT * FROM summary)),
+ends AS (SELECT doc_id, n, list_distinct({_sql_words("left(content, 200)")}) AS h, list_distinct({_sql_words("right(content, 200)")}) AS t FROM every),
+links AS (SELECT y.doc_id, y.n, len(list_intersect(x.t, y.h)) > 5 AS touch FROM ends x JOIN ends y ON x.doc_id = y.doc_id AND x.n = y.n - 1)
+SELECT e.doc_id || '_chunk_' || e.n AS chunk_id, chunk_type, len({_sql_words("content")})::INTEGER AS token_count, length(content)::INTEGER AS char_count,
+  coalesce(p.touch, false) AS has_overlap_before, coalesce(q.touch, false) AS has_overlap_after
+FROM every e LEFT JOIN links p ON p.doc_id = e.doc_id AND p.n = e.n LEFT JOIN links q ON q.doc_id = e.doc_id AND q.n = e.n + 1""".replace("ends AS (SELECT doc_id, n, list_distinct", "edges AS (SELECT doc_id, n, list_distinct").replace("FROM ends x JOIN ends y", "FROM edges x JOIN edges y"),
+)
 def chunk_overlaps(spark, folder):
     """Chunks with abstract and their overlap flags."""
     docs = chunk_source(spark, folder).withColumn("abstract", F.get(F.col("sections")[0]["paragraphs"], F.lit(0)))

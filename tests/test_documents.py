@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperloom import kernels
 from paperloom.functions import latex as lx
 from paperloom.functions import text as tx
-from paperloom.operators import chunking, parsing, quality, sections
+from paperloom.operators import chunking, containment, parsing, quality, sections
 from paperloom.operators.containment import anchor_join, automaton_join
 from paperloom.settings import ChunkSettings
 from paperloom.sources import files
@@ -167,7 +167,8 @@ def test_containment_paths_agree(spark):
     d = spark.createDataFrame(docs, "doc_id int, text string")
     p = spark.createDataFrame(passages, "item_id int, passage string")
     columns = dict(doc_id="doc_id", doc_text="text", passage_id="item_id", passage_text="passage")
-    for join in (automaton_join, anchor_join):
+    blocks = lambda d, p, **c: containment.automaton_blocks(d, p, 40_000_000, **c)
+    for join in (automaton_join, anchor_join, blocks):
         got = join(d, p, **columns).collect()
         assert len(got) == len(want) and {(r["doc_id"], r["item_id"]) for r in got} == want
 

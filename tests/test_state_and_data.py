@@ -124,6 +124,12 @@ def test_keyed_changes(spark):
     assert [r[0] for r in raw.select(changes.parse_sparse(F.col("s"))).collect()] == [{1: 0.5, 2: 1.0}, {7: 0.25}]
 
 
+def test_vector_rows_skip_empty(spark):
+    df = spark.createDataFrame([("a", "p", [1.0], None), ("b", "p", [], {1: 0.5}), ("c", "p", [], {}), ("d", "p", None, None)], "chunk_id string, paper_id string, dense array<double>, sparse map<int,double>")
+    got = {r["chunk_id"]: (r["dense"], r["sparse"]) for r in changes.vector_rows(df).collect()}
+    assert got == {"a": ([1.0], None), "b": (None, {1: 0.5})}
+
+
 def test_store_versions(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
