@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -24,21 +24,20 @@ def register_scorer(name: str, scorer: PairScorer) -> None:
 
 
 def register_model(name: str, load: Callable[[], Callable[[list[str], list[str]], list[float]]]) -> None:
-    """Add a model: ``load`` runs once per Python worker and returns a batch scoring function.
+    """Add a model: ``load`` runs once per task and returns a batch scoring function.
 
     A batch the model fails on scores 0, so one bad batch cannot fail the job.
     """
 
-    def score(query: pd.Series, content: pd.Series) -> pd.Series:
-        state = globals().setdefault("_LOADED_MODELS", {})
-        if name not in state:
-            state[name] = load()
-        try:
-            return pd.Series(state[name](query.tolist(), content.tolist()), dtype="float64")
-        except Exception:
-            return pd.Series([0.0] * len(query), dtype="float64")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = load()
+        for query, content in batches:
+            try:
+                yield pd.Series(model(query.tolist(), content.tolist()), dtype="float64")
+            except Exception:
+                yield pd.Series([0.0] * len(query), dtype="float64")
 
-    udf = F.pandas_udf(score, T.DoubleType())
+    udf = F.pandas_udf(score, T.DoubleType(), F.PandasUDFType.SCALAR_ITER)
     register_scorer(name, lambda query, content: udf(query, content))
 
 

@@ -32,7 +32,8 @@ def limiter(
 ) -> DataFrame:
     """Add ``admitted`` to ``events``.
 
-    ``clock`` is a double in seconds, ``order`` breaks ties between equal clocks.
+    ``clock`` is a double in seconds; ``order`` is the unique event id, which also
+    breaks ties between equal clocks.
     ``decide(state, clocks)`` returns one flag per clock and the state afterwards;
     ``decide.carried(state, start)`` drops what no longer matters at a later start.
     """
