@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.functions import text as tx
-from paperloom.operators import coverage, dashboard, evaluation, fusion, ranking, rerank, search
+from paperloom.operators import coverage, dashboard, evaluation, fusion, rerank, search
 from paperloom.operators.containment import contains_join
 from paperloom.plans import fixtures as fx
 from paperloom.plans.registry import query

@@ -17,8 +17,8 @@ def spread(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     slots = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= slots:
-        return df
     split_bytes = int(str(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df if size >= split_bytes * slots else df.repartition(slots)
+    if size >= split_bytes * slots or len(df.inputFiles()) >= slots:
+        return df
+    return df.repartition(slots)

@@ -21,7 +21,7 @@ def one(spark, build, *texts):
 
 def test_latex_clean_steps(spark):
     cases = {
-        r"See \cite{a} and \ref{b}.": "See  and .".replace("  ", " "),
+        r"See \cite{a} and \ref{b}.": "See and .",
         r"\textbf{bold} \emph{it}": "bold it",
         r"\foo{\bar{deep}}": "deep",
         r"a---b--c": "a\u2014b\u2013c",
@@ -84,7 +84,7 @@ def test_quality(spark):
     report = quality.document_report(spark.createDataFrame([(1, bad), (2, run), (3, "#" * 60)], "id int, t string"), "id", "t")
     got = {r["id"]: r for r in report.collect()}
     assert not got[1]["passed"] and got[2]["passed"] and got[2]["special_runs"] == 1 and got[3]["low_alnum"] == 1
-    assert one(spark, quality.fixed, "a\ufffd  b  ##### c\u0000") == ["a b   c".replace("   ", "   ")]
+    assert one(spark, quality.fixed, "a\ufffd  b  ##### c\u0000") == ["a b   c"]
     assert one(spark, quality.is_valid, "w " * 10, "w " * 9, "\ufffd " + "w " * 10, "") == [True, False, False, False]
 
 
@@ -107,11 +107,11 @@ def test_image_formats(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 3), st.integers(0, 1), st.integers(1, 60)), max_size=40))
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(1, 60)), max_size=40))
 def test_packing_invariants(raw):
     """Units appear in order, chunks stay within limit plus carry, sections do not mix."""
-    units = sorted((s, p, k if False else 0, n) for s, p, k, n in raw)
-    section, size = [u[0] for u in units], [u[3] for u in units]
+    units = sorted(raw)
+    section, size = [u[0] for u in units], [u[1] for u in units]
     out = kernels.pack_document(section, [(0, i) for i in range(len(units))], size, 50, 10, 5)
     last = -1
     for c in out:
