@@ -87,8 +87,8 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every ``width`` consecutive words and its row; a shorter row is one shingle as a whole."""
+def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row, first word and size of every run of ``width`` words; a shorter row is one run as a whole."""
     size = np.bincount(rows, minlength=n_rows)
     first = np.concatenate([[0], np.cumsum(size)])
     span = np.minimum(size, width)
@@ -101,7 +101,7 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, width: int) -> t
         has = span[row] > k
         part[has] = hashes[start[has] + k]
         out = mix(out * np.uint64(_BASE) + part)
-    return out, row
+    return out, row, start, span[row]
 
 
 def append_columns(df: DataFrame, text: str, fields: list[T.StructField], prepare: Callable, keep: list[str] | None = None) -> DataFrame:
