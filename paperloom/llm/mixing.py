@@ -50,8 +50,8 @@ def flight(share: list[float], size: list[float], rng: random.Random, land: bool
     """Move ``share`` in place to zeros and ones along directions that keep its sum and its size total.
 
     Three open units at a time span one such direction; each step closes one of them at
-    least.  At most two stay open, unless ``land``: then the number may give way (the
-    size total still holds) and the last unit is drawn by its share.
+    least.  At most two stay open; with ``land`` the number gives way, the size total
+    still holds, and one unit at most stays open.
     """
     def step(units: list[int], u: list[float]) -> None:
         up = min((1.0 - share[k]) / x if x > 0 else share[k] / -x for k, x in zip(units, u) if x)
@@ -72,21 +72,16 @@ def flight(share: list[float], size: list[float], rng: random.Random, land: bool
             scale = max(map(abs, u))
             step(window, [x / scale for x in u] if scale else [1.0, -1.0, 0.0])
             window = [k for k in window if 0.0 < share[k] < 1.0]
-    while land and window:
-        if len(window) == 2:
-            a, b = (size[k] for k in window)
-            scale = max(a, b)
-            step(window, [b / scale, -a / scale] if scale else [1.0, -1.0])
-        else:
-            step(window, [1.0])
-        window = [k for k in window if 0.0 < share[k] < 1.0]
+    if land and len(window) == 2:
+        a, b = (size[k] for k in window)
+        scale = max(a, b)
+        step(window, [b / scale, -a / scale] if scale else [1.0, -1.0])
 
 
 def flyer(seed: int, turn: int):
     """The flight of one block, its draws fixed by the block."""
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
-        # Large units first, so that the last open ones are small and landing moves few words.
-        pdf = pdf.sort_values(["size", "order", "id"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["order", "id", "size"], kind="stable")
         share = pdf["share"].tolist()
         draws = random.Random(f"{seed}/{turn}/{pdf['block'].iloc[0]}/{pdf['stratum'].iloc[0]}")
         flight(share, pdf["size"].astype(float).tolist(), draws, bool(pdf["blocks"].iloc[0] == 1))
@@ -98,6 +93,8 @@ def flyer(seed: int, turn: int):
 def cube_sample(units: DataFrame, seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``units`` (``stratum, id, size, share``) with ``share`` moved to 0 or 1, balanced within each stratum.
 
+    One unit per stratum may keep a share between: the landing problem, a part of it.
+
     Each stratum is cut by a hash into blocks of about ``block_rows`` units, so one that
     holds a third of all rows is spread like any other; every block flies on its own and
     leaves at most two open units, which meet in the next round.  Rounds go on until a
@@ -110,19 +107,23 @@ def cube_sample(units: DataFrame, seed: int = 0, block_rows: int = BLOCK_ROWS) -
         open_ = (F.col("share") > 0) & (F.col("share") < 1)
         if turn == 0:
             done.append(rest.where(~open_))
-        rest = rest.where(open_)
+            rest = rest.where(open_)
         counts = rest.groupBy("stratum").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("blocks"))
         last = counts.agg(F.max("blocks")).first()[0]
         if last is None:
             break
         placed = rest.join(counts, "stratum").select(
-            "stratum", "id", "size", "share", "blocks", F.pmod(F.xxhash64("id", F.lit(seed), F.lit(turn)), F.col("blocks").cast("long")).cast("int").alias("block"))
+            "stratum", "id", "size", "share", "blocks", F.pmod(F.xxhash64("id", "size", F.lit(seed), F.lit(turn)), F.col("blocks").cast("long")).cast("int").alias("block"))
 
         flown = cut_lineage(placed.withColumn("order", F.xxhash64("id", F.lit(seed))).groupBy("stratum", "block").applyInPandas(flyer(seed, turn), schema))
-        done.append(flown.where(~open_))
-        rest = flown
         if last == 1:
+            done.append(flown)
             break
+        # Strata that fit one block have landed; of the others the open units go on.
+        flying = flown.join(counts, "stratum")
+        landed = ~open_ | (F.col("blocks") == 1)
+        done.append(flying.where(landed).drop("blocks"))
+        rest = flying.where(~landed).drop("blocks")
     out = done[0]
     for part in done[1:]:
         out = out.unionAll(part)
@@ -133,7 +134,8 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     """How many words the mix takes of each document: ``doc_id, size, source_size, target, taken``.
 
     A document is taken whole as often as its source's target holds the source, and once
-    more for a balanced sample that makes up the rest; never above ``cap`` times.  Texts
+    more for a balanced sample that makes up the rest; of one document per source a part
+    of the words is taken, so that the total meets the target; never above ``cap`` times.  Texts
     do not leave their scan: only keys and sizes are shuffled.  A null or empty text has
     size 0 and gives nothing; a null source is one source, the last; repeated rows are
     taken one by one; null keys are kept; an empty table gives an empty one.
@@ -152,4 +154,4 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     units = rows.join(per_source, "stratum").select("stratum", F.col("doc_id").alias("id"), "size", share.alias("share"))
     drawn = cube_sample(units, seed, block_rows)
     return drawn.join(per_source, "stratum").select(
-        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("share").cast("long"))).alias("taken"))
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("whole") + F.round(F.col("size") * F.col("share")).cast("long")).alias("taken"))
