@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat_format, decontaminate, fingerprint, language, mixing, quality, secrets, toxicity
+from paperloom.llm import chat_format, decontaminate, fingerprint, language, mixing, near_dedup, quality, secrets, toxicity
 from paperloom.sources.tables import load
 
 THRESHOLD = 0.7
@@ -44,6 +44,11 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.resample(docs, docs.join(good, "doc_id", "left_semi"))
 
 
+@query
+def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(load(spark, folder, "documents"), width=3, percent=85)
+
+
 @query
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
