@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat_format, decontaminate, fingerprint, language, mixing, near_dedup, quality, secrets, toxicity
+from paperloom.llm import chat_format, decontaminate, fingerprint, language, mixing, near_dedup, quality, secrets, suffix_dedup, toxicity
 from paperloom.sources.tables import load
 
 THRESHOLD = 0.7
@@ -89,6 +89,11 @@ def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(load(spark, folder, "documents"))
 
 
+@query
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(load(spark, folder, "documents"))
+
+
 @query
 def op10_phrase_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.beside_next(load(spark, folder, "documents"))
