@@ -113,15 +113,18 @@ def append_columns(df: DataFrame, text: str, fields: list[T.StructField], prepar
     """
     names = {f.name for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
-    source = df.select(*[f"`{c}`" for c in kept], df[f"`{text}`"].cast("string").alias("__text"))
-    schema = T.StructType([source.schema[c] for c in kept] + fields)
+    source = df.select(*[f"`{c}`" for c in kept])
+    schema = T.StructType([*source.schema.fields, *fields])
     width = len(kept)
+    at = kept.index(text) if text in kept else width
+    if at == width:
+        source = df.select(*[f"`{c}`" for c in kept], df[f"`{text}`"].alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = prepare()
         for batch in batches:
             if batch.num_rows:
-                made = compute(batch.column(width))
+                made = compute(batch.column(at))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=[*kept, *[f.name for f in fields]])
 
     return source.mapInArrow(run, schema)
