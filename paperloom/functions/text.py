@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paperloom.functions.binding import let
+from paperloom.functions.lexicon import STOP_WORDS
 
 NON_WORD = r"[^\p{L}\p{N}]+"
 # Python-style white space: Java's own \s is ASCII only.
@@ -28,6 +29,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NON_WORD), _not_blank)
 
 
+def content_tokens(text: Column) -> Column:
+    """Tokens without the words a full-text query ignores; no stemming."""
+    return F.filter(tokens(text), lambda t: ~t.isin(STOP_WORDS))
+
+
 def words(text: Column) -> Column:
     """White-space separated words; an empty text has none."""
     return F.filter(F.split(text, SPACE + "+"), _not_blank)

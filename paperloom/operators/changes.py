@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 
 
 def latest(incoming: DataFrame, key: Sequence[str], version: str | None = None) -> DataFrame:
-    """One row per key, the newest version; ``max_by`` combines map-side, so a hot key stays cheap."""
+    """One row per key, the newest version; ``max_by`` combines map-side, so a hot key stays cheap.
+
+    Versions are told apart by their number and then by the JSON form of the row, since
+    maps (sparse vectors) have no order of their own.
+    """
     rest = [c for c in incoming.columns if c not in key]
     payload = F.struct(*rest) if rest else F.struct(F.lit(0).alias("__none"))
-    age = F.struct(F.col(version), payload) if version else payload
+    form = F.to_json(payload)
+    age = F.struct(F.col(version), form) if version else form
     best = incoming.groupBy(*key).agg(F.max_by(payload, age).alias("__row"))
     return best.select(*[F.col(c) if c in key else F.col(f"__row.{c}").alias(c) for c in incoming.columns])
 
@@ -130,5 +135,15 @@ def keyword_changes(keywords: DataFrame, *, add: Mapping[str, Sequence[str]] | N
     return kept.unionByName(fresh.select("category", "keyword"))
 
 
+def keyword_log(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What an edit did: ``category, keyword, action`` (added, removed) per keyword that came or went."""
+    def pairs(df: DataFrame, mark: str) -> DataFrame:
+        return df.select("category", F.lower(F.trim("keyword")).alias("keyword")).distinct().withColumn(mark, F.lit(True))
+
+    both = pairs(before, "was").join(pairs(after, "is"), ["category", "keyword"], "full_outer")
+    changed = both.where(F.col("was").isNull() | F.col("is").isNull())
+    return changed.select("category", "keyword", F.when(F.col("was").isNull(), "added").otherwise("removed").alias("action"))
+
+
 def keyword_stats(keywords: DataFrame) -> DataFrame:
     return keywords.groupBy("category").agg(F.count(F.lit(1)).alias("n"))

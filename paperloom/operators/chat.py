@@ -11,16 +11,12 @@ from paperloom.settings import DEFAULTS
 
 _C = DEFAULTS.chat
 
-# Fixed value: instructions that precede every answer.
+# Instructions that precede every answer.
 SYSTEM_TEXT = (
-    "You are an AI research assistant specialized in Large Language Models (LLMs) and deep learning.\n"
-    "You answer questions based on the provided research paper excerpts.\n\n"
-    "Guidelines:\n"
-    "- Cite sources using [1], [2], etc. notation\n"
-    "- Be concise but comprehensive\n"
-    "- If the context doesn't contain relevant information, say so\n"
-    "- Focus on technical accuracy\n"
-    "- Highlight key findings and methodologies"
+    "Answer the question from the numbered excerpts below and from nothing else.\n"
+    "Put the number of the excerpt, as in [1], behind every statement taken from it.\n"
+    "Where the excerpts hold no answer, state that instead of guessing.\n"
+    "Keep to a few exact sentences; name results and how they were obtained."
 )
 
 
@@ -70,12 +66,11 @@ def history_text(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: st
 
 def prompt(question: Column, context: Column, history: Column) -> Column:
     past = F.when(
-        F.coalesce(F.length(history), F.lit(0)) > 0, F.concat(F.lit("\n\nPrevious conversation:\n"), history)
+        F.coalesce(F.length(history), F.lit(0)) > 0, F.concat(F.lit("\n\nEarlier turns:\n"), history)
     ).otherwise(F.lit(""))
     return F.concat(
-        F.lit(SYSTEM_TEXT + "\n\nContext from research papers:\n"), context, F.lit("\n"), past,
-        F.lit("\nUser Question: "), question,
-        F.lit("\n\nPlease provide a comprehensive answer based on the context above:"),
+        F.lit(SYSTEM_TEXT + "\n\nExcerpts:\n"), context, F.lit("\n"), past,
+        F.lit("\nQuestion: "), question, F.lit("\n\nAnswer:"),
     )
 
 

@@ -56,6 +56,12 @@ def chunk_documents(
     ``sections`` is ``array<struct<title, paragraphs:array<string>>>``.  ``count``
     is the tokenizer; white-space words unless another column function is given.
     """
+    # A document without a list has an empty one; so has a section.
+    lists = {c: F.coalesce(c, F.array().cast(docs.schema[c].dataType)) for c in ("sections", "equations") if c in docs.columns}
+    docs = docs.withColumns(lists)
+    filled = F.transform(F.filter("sections", lambda s: s.isNotNull()), lambda s: s.withField("paragraphs", F.filter(
+        F.coalesce(s["paragraphs"], F.array().cast("array<string>")), lambda p: p.isNotNull())))
+    docs = docs.withColumn("sections", filled)
     rows = docs.withColumn("__units", _units(settings.max_tokens, count))
     u = F.col("__units")
     pack = kernels.pack_udf(settings.max_tokens, settings.overlap_tokens, settings.min_tokens)

@@ -53,12 +53,11 @@ def partition_by_keywords(df: DataFrame, text: Column, keywords: list[str]) -> t
 
 
 def semantic_filter(df: DataFrame, vector_col: str, anchor: list[float], *, threshold: float | None = None, cap: int | None = None, id_col: str) -> DataFrame:
-    """Rows at least ``threshold`` close to the anchor, best first, at most ``cap``."""
+    """Rows at least ``threshold`` close to the anchor; with ``cap`` only that many, the best first."""
     threshold = DEFAULTS.score.semantic_threshold if threshold is None else threshold
-    cap = DEFAULTS.score.semantic_cap if cap is None else cap
     similarity = F.round(vx.cosine(F.col(vector_col), vx.vector_literal(anchor)), 10)
     scored = df.withColumn("similarity", similarity).where(F.col("similarity") >= threshold)
-    best = top_k(scored, cap, F.desc("similarity"), F.asc(id_col))
+    best = scored if cap is None else top_k(scored, cap, F.desc("similarity"), F.asc(id_col))
     return best.withColumn("similarity", F.bround("similarity", 4))
 
 
@@ -81,8 +80,8 @@ def with_bonus(df: DataFrame, topic_col: str, *, targets: Mapping[str, float] |
     else:
         entries = F.create_map(*[F.lit(x) for pair in targets.items() for x in pair])
         target = F.coalesce(F.try_element_at(entries, F.col(topic_col)), F.lit(0.1))
-    bonus = shares(df, topic_col).select(topic_col, sc.under_represented_bonus(F.col("share"), target).alias("bonus"))
-    return df.join(broadcast_if_small(bonus), topic_col)
+    bonus = shares(df, topic_col).select(F.col(topic_col).alias("__topic"), sc.under_represented_bonus(F.col("share"), target).alias("bonus"))
+    return df.join(broadcast_if_small(bonus), F.col(topic_col).eqNullSafe(F.col("__topic"))).drop("__topic")
 
 
 def score_papers(df: DataFrame, reference: Column, *, topic_col: str = "topic", equal_share: float | None = None) -> DataFrame:

@@ -52,6 +52,11 @@ def ready_for_parsing(df: DataFrame, n: int, *, order: Sequence[Column], status_
     return top_k(df.where(usable), n, *order)
 
 
+def with_abstract(df: DataFrame, *, abstract_col: str = "abstract", min_chars: int = 50) -> DataFrame:
+    """Papers whose abstract is there and long enough to ask questions about."""
+    return df.where(F.length(F.trim(abstract_col)) >= min_chars)
+
+
 def lacking(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str) -> DataFrame:
     """Parents without a single child row (anti join)."""
     return parents.join(children.select(F.col(child_key).alias(parent_key)), parent_key, "left_anti")

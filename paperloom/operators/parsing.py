@@ -90,13 +90,17 @@ def latex_sections(content: Column) -> Column:
 
 
 def _matches(content: Column, pattern: str) -> Column:
-    """Every match with its capture and up to 100 characters either side (from a window of 200)."""
-    marked = F.regexp_replace(content, F.lit("(?s)" + pattern), F.lit(f"{MARK}$0{FIELD}$1{MARK}"))
-    # Places alternate: gap, match, gap, match, ..., gap.
+    """Every match with its capture and up to 100 characters either side, from the 200 characters next to it.
 
-    def entry(part: Column, i: Column, raw: Column) -> Column:
-        left = F.right(F.array_join(F.slice(raw, F.greatest(i - 20, F.lit(1)), F.least(i, F.lit(20))), ""), F.lit(200))
-        right = F.left(F.array_join(F.slice(raw, i + 2, F.lit(20)), ""), F.lit(200))
+    Marks split the text into gap, match, gap, ...; the place of a match in the text is
+    the length of the pieces before it, so its surroundings are cut from the text itself.
+    """
+    marked = F.regexp_replace(content, F.lit("(?s)" + pattern), F.lit(f"{MARK}$0{FIELD}$1{MARK}"))
+    def entry(part: Column, i: Column, ends: Column) -> Column:
+        stop = F.get(ends, i)
+        start = stop - F.length(F.get(F.split(part, FIELD), F.lit(0)))
+        left = content.substr(F.greatest(start - 199, F.lit(1)), F.least(start, F.lit(200)))
+        right = content.substr(stop + 1, F.lit(200))
         return F.struct(
             F.get(F.split(part, FIELD), F.lit(0)).alias("whole"),
             F.get(F.split(part, FIELD), F.lit(1)).alias("inner"),
@@ -106,8 +110,9 @@ def _matches(content: Column, pattern: str) -> Column:
         )
 
     def around(parts: Column) -> Column:
-        raw = F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.get(F.split(p, FIELD), F.lit(0))).otherwise(p))
-        return let(raw, lambda texts: F.transform(parts, lambda p, i: entry(p, i, texts)))
+        sizes = F.transform(parts, lambda p, i: F.length(F.when(i % 2 == 1, F.get(F.split(p, FIELD), F.lit(0))).otherwise(p)))
+        ends = F.aggregate(sizes, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n)))
+        return let(ends, lambda e: F.transform(parts, lambda p, i: entry(p, i, e)))
 
     return F.filter(let(F.split(marked, MARK), around), lambda e: e["is_match"])
 
@@ -202,7 +207,7 @@ def markdown_abstract(md: Column) -> Column:
     found = rf"(?is)(?:^|\n)#+{SPACE}*Abstract{SPACE}*\n(.*?)(?=\n#|\z)"
     blocks = F.split(md, rf"\n##?{SPACE}+", 3)
     second = F.get(blocks, F.lit(1))
-    fallback = F.when((F.size(blocks) > 2) & (F.length(second) > 100), lx.clean(F.substring(second, 1, 2000)))
+    fallback = F.when((F.size(blocks) > 2) & (F.length(second) > 100), lx.clean(second))
     return F.when(F.rlike(md, F.lit(found)), lx.clean(strip(F.regexp_extract(md, found, 1)))).otherwise(F.coalesce(fallback, F.lit("")))
 
 

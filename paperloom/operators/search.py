@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from paperloom import kernels
 from paperloom.functions import text as tx
+from paperloom.functions.lexicon import STOP_WORDS
 from paperloom.functions import vectors as vx
 from paperloom.operators.ranking import top_k, top_k_per_group
 from paperloom.session import broadcast_if_small
@@ -87,6 +88,18 @@ def dense_search(
     return _finish(parts, k)
 
 
+def equation_search(equations: DataFrame, queries: DataFrame, k: int, dim: int, *, threshold: float | None = None) -> DataFrame:
+    """Best described equations for each query vector: ``(query_id, chunk_id, score, rank)`` and the equation's columns.
+
+    ``equations`` is ``(equation_id, paper_id, latex, text_description, embedding)``; rows
+    without a description or a vector are not searched.
+    """
+    described = equations.where(F.length(F.trim("text_description")) > 0)
+    hits = dense_search(described, queries, k, dim, id_col="equation_id", threshold=threshold)
+    shown = equations.select(F.col("equation_id").alias("chunk_id"), "paper_id", "latex", "text_description")
+    return hits.join(shown, "chunk_id")
+
+
 def dense_search_one(vectors: DataFrame, query: list[float], k: int, *, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
     """Single-vector search as a plain expression: no Python in the plan."""
     score = vx.cosine(F.col(vector_col), vx.vector_literal(query))
@@ -153,10 +166,19 @@ def text_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return _finish(parts, k)
 
 
-def text_search_one(docs: DataFrame, query: list[str], k: int, *, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
-    """One full-text query as a plain expression."""
-    terms = F.array_distinct(tx.string_array([t.lower() for t in query]))
-    toks = tx.tokens(F.col(text_col))
+def text_search_one(
+    docs: DataFrame, query: list[str], k: int, *, id_col: str = "chunk_id", text_col: str = "content", ignore_stop_words: bool = False,
+) -> DataFrame:
+    """One full-text query as a plain expression.
+
+    With ``ignore_stop_words`` they count neither in the query nor in the texts, as in
+    a text index; a query of nothing else then finds nothing.
+    """
+    asked = [t.lower() for t in query if not (ignore_stop_words and t.lower() in STOP_WORDS)]
+    if not asked:
+        docs = docs.limit(0)
+    terms = F.array_distinct(tx.string_array(asked))
+    toks = tx.content_tokens(F.col(text_col)) if ignore_stop_words else tx.tokens(F.col(text_col))
     scored = docs.select(F.col(id_col).alias("chunk_id"), toks.alias("toks")).where(
         F.size(F.array_except(terms, F.col("toks"))) == 0
     )

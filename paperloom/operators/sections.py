@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.lexicon import DEFAULT_SECTION_WEIGHT, EXCLUDED_TITLES, SECTION_WEIGHTS
 from paperloom.functions.text import SPACE, strip
+from paperloom.session import cut_lineage
 
 _EXCLUDED = "(?i)^(?:" + "|".join(EXCLUDED_TITLES) + ")$"
 
@@ -46,10 +47,14 @@ def section_stats(df: DataFrame, sections: str = "sections") -> DataFrame:
 def nested_excluded(rows: DataFrame) -> DataFrame:
     """For hand-made nested input as ``(section_id, parent_id, title)`` rows: drop excluded sections with their subtree.
 
-    Levels go down to six, so six semi-joins reach every descendant.
+    Repeats until no further section falls, so any depth is reached; a ring of parents
+    ends as well, since a section falls once.
     """
-    flagged = rows.withColumn("__out", is_excluded(F.col("title")))
-    for _ in range(6):
-        gone = flagged.where("__out").select(F.col("section_id").alias("parent_id")).distinct().withColumn("__up", F.lit(True))
-        flagged = flagged.join(gone, "parent_id", "left").withColumn("__out", F.col("__out") | F.col("__up").isNotNull()).drop("__up")
+    flagged = cut_lineage(rows.withColumn("__out", F.coalesce(is_excluded(F.col("title")), F.lit(False))))
+    before, now = -1, flagged.where("__out").count()
+    while now != before:
+        gone = flagged.where("__out").select(F.col("section_id").alias("__gone")).distinct()
+        joined = flagged.join(gone, F.col("parent_id") == F.col("__gone"), "left")
+        flagged = cut_lineage(joined.withColumn("__out", F.col("__out") | F.col("__gone").isNotNull()).drop("__gone"))
+        before, now = now, flagged.where("__out").count()
     return flagged.where(~F.col("__out")).drop("__out")

@@ -217,12 +217,12 @@ def diversity_whole(spark, folder):
 @query(
     "semantic_filter",
     f"""WITH {fx.CENTROID_CTES}, s AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], qv), 10) AS similarity FROM embeddings, overall)
-SELECT vec_id, round_even(similarity, 4) AS similarity FROM s WHERE similarity >= 0.05 ORDER BY s.similarity DESC, vec_id LIMIT 100""",
+SELECT vec_id, round_even(similarity, 4) AS similarity FROM s WHERE similarity >= 0.05""",
 )
 def semantic_filter(spark, folder):
     vectors = load(spark, folder, "embeddings")
     anchor = fx.mean_vectors(vectors).first()["query_vector"]
-    return curation.semantic_filter(vectors, "embedding", anchor, threshold=0.05, cap=100, id_col="vec_id").select("vec_id", "similarity")
+    return curation.semantic_filter(vectors, "embedding", anchor, threshold=0.05, id_col="vec_id").select("vec_id", "similarity")
 
 
 @query(
@@ -280,6 +280,33 @@ def verdict_json(spark, folder):
     return rows.select("doc_id", F.col("v.suitable").alias("suitable"), F.lower(F.trim(F.get("v.ng_keywords", F.lit(0)))).alias("keyword"))
 
 
+@query(
+    "keyword_log",
+    """WITH k AS (SELECT DISTINCT lower(p_type) AS category, lower(word) AS keyword FROM (SELECT p_type, unnest(string_split(p_name, ' ')) AS word FROM part))
+SELECT category, keyword, 'removed' AS action FROM k WHERE keyword IN ('red', 'bolt')
+UNION ALL SELECT 'extra', kw, 'added' FROM (SELECT unnest(['quark', 'zonk']) AS kw)""",
+)
+def keyword_log(spark, folder):
+    parts = load(spark, folder, "part")
+    table = parts.select(F.lower("p_type").alias("category"), F.explode(F.split(F.lower("p_name"), " ")).alias("keyword")).distinct()
+    return changes.keyword_log(table, changes.keyword_changes(table, add={"extra": ["Quark ", "zonk", "QUARK"]}, remove=["Red", "bolt"]))
+
+
+@query(
+    "bonus_null_topic",
+    """WITH t AS (SELECT doc_id, CASE WHEN toxic = 1 THEN NULL ELSE 'q' || quality END AS topic FROM labels),
+s AS (SELECT topic, count(*) / (SELECT count(*) FROM t)::DOUBLE AS share FROM t GROUP BY topic)
+SELECT doc_id, t.topic, round(s.share, 8) AS share FROM t JOIN s ON s.topic IS NOT DISTINCT FROM t.topic""",
+)
+def bonus_null_topic(spark, folder):
+    """Rows without a topic are a group like any other."""
+    topic = F.when(F.col("toxic") != 1, F.concat(F.lit("q"), F.col("quality").cast("string")))
+    rows = load(spark, folder, "labels").select("doc_id", topic.alias("topic"))
+    boosted = curation.with_bonus(rows, "topic")
+    share = curation.shares(rows, "topic").select(F.col("topic").alias("own"), "share")
+    return boosted.join(share, F.col("topic").eqNullSafe(F.col("own"))).select("doc_id", "topic", F.round("share", 8).alias("share"))
+
+
 @query(
     "keyword_changes",
     """WITH k AS (SELECT DISTINCT lower(p_type) AS category, lower(word) AS keyword FROM (SELECT p_type, unnest(string_split(p_name, ' ')) AS word FROM part)),

@@ -342,9 +342,9 @@ PROMPT_HEAD = chat.SYSTEM_TEXT.replace("'", "''")
   FROM bud b JOIN documents USING (doc_id, source) GROUP BY item_id),
 tail AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6),
 hist AS (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'User' ELSE 'Assistant' END || ': ' || text || chr(10), '' ORDER BY turn) AS h FROM tail GROUP BY conv_id)
-SELECT ctx.item_id, md5('{PROMPT_HEAD}' || chr(10) || chr(10) || 'Context from research papers:' || chr(10) || c || chr(10)
-  || CASE WHEN length(coalesce(h, '')) > 0 THEN chr(10) || chr(10) || 'Previous conversation:' || chr(10) || h ELSE '' END
-  || chr(10) || 'User Question: ' || b.text || chr(10) || chr(10) || 'Please provide a comprehensive answer based on the context above:') AS prompt_md5
+SELECT ctx.item_id, md5('{PROMPT_HEAD}' || chr(10) || chr(10) || 'Excerpts:' || chr(10) || c || chr(10)
+  || CASE WHEN length(coalesce(h, '')) > 0 THEN chr(10) || chr(10) || 'Earlier turns:' || chr(10) || h ELSE '' END
+  || chr(10) || 'Question: ' || b.text || chr(10) || chr(10) || 'Answer:') AS prompt_md5
 FROM ctx JOIN benchmark b USING (item_id) LEFT JOIN hist ON conv_id = ctx.item_id""",
 )
 def prompt_build(spark, folder):
@@ -356,6 +356,34 @@ def prompt_build(spark, folder):
     return rows.select(F.col("query_id").alias("item_id"), F.md5(text).alias("prompt_md5"))
 
 
+@query(
+    "papers_with_abstract",
+    """SELECT doc_id, source FROM documents WHERE length(trim(text)) >= 50""",
+)
+def papers_with_abstract(spark, folder):
+    return listing.with_abstract(load(spark, folder, "documents"), abstract_col="text").select("doc_id", "source")
+
+
+@query(
+    "upsert_sparse_maps",
+    """WITH k AS (SELECT user_id, CAST(props->>'k' AS INTEGER) AS term, count(*) AS w FROM events GROUP BY ALL),
+u AS (SELECT user_id, sum(w) AS w FROM k WHERE term IS NOT NULL GROUP BY user_id)
+SELECT user_id, CASE WHEN user_id % 3 = 0 THEN -1.0 WHEN user_id % 2 = 0 THEN 2.0 * w ELSE w END::DOUBLE AS weight FROM u""",
+)
+def upsert_sparse_maps(spark, folder):
+    """Sparse vectors (maps) replaced and inserted by key: two versions for every third user, one for every second."""
+    term = F.try_element_at(F.from_json("props", "map<string,int>"), F.lit("k"))
+    counts = load(spark, folder, "events").groupBy("user_id", term.alias("term")).agg(F.count(F.lit(1)).cast("double").alias("w")).where("term IS NOT NULL")
+    total = counts.groupBy("user_id").agg(F.sum("w").alias("w"))
+    table = total.select("user_id", F.lit(1).alias("version"), F.create_map(F.lit(0), F.col("w")).alias("sparse"))
+    double = table.where("user_id % 2 = 0").select("user_id", F.lit(2).alias("version"), F.transform_values("sparse", lambda k, w: 2 * w).alias("sparse"))
+    marked = table.where("user_id % 3 = 0").select("user_id", F.lit(3).alias("version"), F.transform_values("sparse", lambda k, w: F.lit(-1.0)).alias("sparse"))
+    old = table.where("user_id % 5 <> 0")
+    changed = changes.upsert(old, double.unionByName(marked), ["user_id"], "version")
+    whole = changes.insert_ignore(changed, table, ["user_id"])
+    return whole.select("user_id", F.aggregate(F.map_values("sparse"), F.lit(0.0), lambda a, w: a + w).alias("weight"))
+
+
 @query(
     "json_props",
     """SELECT event_type, count(*) AS n, sum(CAST(props->>'k' AS BIGINT))::BIGINT AS total, max(CAST(props->>'k' AS INTEGER)) AS largest,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions import vectors as vx
+from paperloom.functions.lexicon import STOP_WORDS
 from paperloom.operators import fusion, rerank, search
 from paperloom.plans import fixtures as fx
 from paperloom.plans.registry import query
@@ -175,6 +176,38 @@ def text_search_one(spark, folder):
     return hits.withColumnRenamed("chunk_id", "doc_id")
 
 
+@query(
+    "text_search_stop_words",
+    f"""WITH {fx.TERM_CTES}, kept AS (SELECT * FROM doc_tok WHERE term NOT IN ({", ".join(f"'{w}'" for w in STOP_WORDS)})),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM kept GROUP BY ALL),
+hit AS (SELECT doc_id, sum(tf) AS freq FROM tf WHERE term = 'from' GROUP BY doc_id)
+SELECT doc_id, round(freq / (SELECT count(*) FROM kept t WHERE t.doc_id = h.doc_id)::DOUBLE, 10) AS score
+FROM hit h ORDER BY score DESC, doc_id LIMIT 15""",
+)
+def text_search_stop_words(spark, folder):
+    """Words an index would ignore are dropped on both sides: only one of the three asked counts."""
+    docs = load(spark, folder, "documents")
+    hits = search.text_search_one(docs, ["with", "From", "the"], 15, id_col="doc_id", text_col="text", ignore_stop_words=True)
+    return hits.withColumnRenamed("chunk_id", "doc_id")
+
+
+@query(
+    "equation_search",
+    f"""WITH {fx.CENTROID_CTES}
+SELECT equation_id, paper_id, score, rank FROM (SELECT vec_id AS equation_id, label AS paper_id, {COSINE} AS score,
+  row_number() OVER (ORDER BY {COSINE} DESC, vec_id)::INTEGER AS rank
+  FROM embeddings JOIN documents ON doc_id = vec_id, overall WHERE lang <> 'de') WHERE rank <= 20""",
+)
+def equation_search(spark, folder):
+    """Documents stand for equations; those in one language have no description and are not searched."""
+    vectors = load(spark, folder, "embeddings")
+    texts = load(spark, folder, "documents").select(
+        F.col("doc_id").alias("vec_id"), F.col("text").alias("latex"), F.when(F.col("lang") != "de", F.col("text")).otherwise(F.lit(" ")).alias("text_description"))
+    equations = vectors.join(texts, "vec_id").select(F.col("vec_id").alias("equation_id"), F.col("label").alias("paper_id"), "latex", "text_description", "embedding")
+    hits = search.equation_search(equations, fx.mean_vectors(vectors), 20, fx.EMBED_DIM)
+    return hits.select(F.col("chunk_id").alias("equation_id"), "paper_id", "score", "rank")
+
+
 @query(
     "trigram_topk",
     """WITH t AS (SELECT p_partkey, list_distinct(list_transform(range(1, len(w) - 1), lambda i: substr(w, i, 3))) AS g

@@ -51,14 +51,11 @@ class ScoreSettings:
     stratified_weight: float = 0.10
     recency_tau_months: float = 6.0
     semantic_threshold: float = 0.55
-    semantic_cap: int = 5000
 
 
 @dataclass(frozen=True)
 class IngestSettings:
     window_days: int = 14
-    per_window_cap: int = 10_000
-    page_cap: int = 2000
 
 
 @dataclass(frozen=True)

@@ -13,9 +13,10 @@ from paperloom.functions.lexicon import CATEGORY_HEADINGS
 
 
 def read_parsed(spark: SparkSession, path: str, paper_id: str | None = None) -> DataFrame:
-    """Parsed documents, one JSON file each; unreadable files are skipped."""
-    docs = spark.read.schema(schemas.PARSED).option("mode", "DROPMALFORMED").option("multiLine", "true").json(path)
-    docs = docs.where(F.col("paper_id").isNotNull())
+    """Parsed documents, one JSON file each, with ``source_path`` and, of unreadable files, their text in ``unreadable``."""
+    schema = f"{schemas.PARSED}, unreadable string"
+    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "unreadable")
+    docs = reader.option("multiLine", "true").json(path).withColumn("source_path", F.input_file_name())
     return docs if paper_id is None else docs.where(F.col("paper_id") == paper_id)
 
 
@@ -28,9 +29,9 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def edge_cases(df: DataFrame, n: int = 100) -> DataFrame:
-    """Reviewed edge cases for a human reader: shortened abstracts, at most ``n`` (a report)."""
-    return df.orderBy("paper_id").limit(n).withColumn("abstract", F.substring("abstract", 1, 500))
+def edge_cases(df: DataFrame) -> DataFrame:
+    """Reviewed edge cases for a human reader: all of them, by id."""
+    return df.orderBy("paper_id")
 
 
 def category_name(heading: Column) -> Column:

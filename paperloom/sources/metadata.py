@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as tx
 from paperloom.operators.ranking import first_per_group, top_k
 from paperloom.operators.windows import window_scan
-from paperloom.settings import DEFAULTS
 
 # Categories searched when none are named.
 DEFAULT_CATEGORIES = ("cs.CL", "cs.LG", "cs.AI", "stat.ML")
@@ -76,29 +75,29 @@ def normalised(df: DataFrame) -> DataFrame:
 
 
 def search(df: DataFrame, what: Search, max_results: int) -> DataFrame:
-    """Newest ``max_results`` matches first, then the date filter: the cut comes before it."""
-    undated = Search(what.categories, what.keywords)
-    newest = top_k(df.where(undated.predicate()), max_results, *what.order)
-    return newest.where(reduce(lambda a, b: a & b, what.date_conditions(), F.lit(True)))
+    """Newest ``max_results`` of the matches within the dates."""
+    return top_k(df.where(what.predicate()), max_results, *what.order)
 
 
 def search_batch(df: DataFrame, what: Search, n: int) -> DataFrame:
-    """Dates pushed into the search; one page holds at most the page cap."""
-    return top_k(df.where(what.predicate()), min(n, DEFAULTS.ingest.page_cap), *what.order)
+    """One batch of ``n`` results; a page size is the remote service's business and limits nothing here."""
+    return search(df, what, n)
 
 
-def search_first_page(df: DataFrame, what: Search, max_results: int, page_size: int = DEFAULTS.ingest.page_cap) -> DataFrame:
-    """First page only, first occurrence of an id, cut to ``max_results``."""
-    page = search_batch(df, what, min(page_size, max_results))
-    return top_k(first_per_group(page, ["paper_id"], what.order), max_results, *what.order)
+def search_first_page(df: DataFrame, what: Search, max_results: int) -> DataFrame:
+    """First occurrence of each id, then the newest ``max_results``: all pages that many results take."""
+    return top_k(first_per_group(df.where(what.predicate()), ["paper_id"], what.order), max_results, *what.order)
 
 
 def search_windows(df: DataFrame, what: Search, bounds: DataFrame, days: int, *, completed: DataFrame | None = None) -> DataFrame:
-    """Windowed search over ``bounds (start, end)`` with resume, at most the cap per window."""
+    """Windowed search over ``bounds (start, end)`` with resume; every match of every open window."""
     hits = df.where(Search(what.categories, what.keywords).predicate())
-    return window_scan(
-        hits, bounds, days, day_col="published", id_col="paper_id", per_window=DEFAULTS.ingest.per_window_cap, completed=completed
-    )
+    return window_scan(hits, bounds, days, day_col="published", id_col="paper_id", completed=completed)
+
+
+def search_raw(df: DataFrame, condition: str, max_results: int) -> DataFrame:
+    """Ad-hoc search by a condition of the caller's own over the metadata columns."""
+    return top_k(df.where(condition), max_results, *Search().order)
 
 
 def fetch_by_ids(df: DataFrame, ids: DataFrame) -> DataFrame:

@@ -23,11 +23,17 @@ class Progress:
     def completed(self) -> DataFrame:
         return self.store.read(TABLE).select("window_start")
 
-    def mark(self, hits: DataFrame, stage_col: str) -> None:
-        """Record the windows of a finished scan; repeating it changes nothing."""
+    def mark(self, hits: DataFrame, stage_col: str, searched: DataFrame | None = None) -> None:
+        """Record the windows of a finished scan; repeating it changes nothing.
+
+        ``searched`` lists the windows (``window_start``) that were looked through: those
+        without any hit count as done as well, and are not searched again.
+        """
         done = hits.groupBy("window_start").agg(
             F.count(F.lit(1)).alias("collected"), F.count_if(F.col(stage_col) == "drop").alias("filtered")
         )
+        if searched is not None:
+            done = searched.select("window_start").distinct().join(done, "window_start", "left").fillna(0, ["collected", "filtered"])
         self.store.change(TABLE, lambda state: changes.upsert(state, done, ["window_start"]))
 
     def totals(self) -> DataFrame:
