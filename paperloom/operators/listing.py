@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.operators.ranking import first_per_group, top_k
-from paperloom.session import broadcast_if_small, cut_lineage
+from paperloom.session import broadcast_if_small
 
 STATUSES = ("pending", "collected", "parsed", "embedded", "failed")
 SORTABLE = ("citation_count", "published_date", "title", "paper_id")
@@ -80,9 +80,9 @@ def with_titles(hits: DataFrame, papers: DataFrame, *, default: Column, key: str
     """Attach titles, falling back to ``default`` where the paper or its title is missing.
 
     The few papers that were hit are picked from the table first, by a broadcast
-    of the hit ids; the table is not shuffled for an outer join.
+    of the hit ids; the table is not shuffled for an outer join, and the hits' texts
+    are not written anywhere.
     """
-    hits = cut_lineage(hits)
     wanted = broadcast_if_small(hits.select(key).distinct())
     known = papers.select(key, F.col(title).alias("__title")).join(wanted, key, "left_semi")
     return hits.join(known, key, "left").withColumn("title", F.coalesce("__title", default)).drop("__title")

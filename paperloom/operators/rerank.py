@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +24,11 @@ def register_scorer(name: str, scorer: PairScorer) -> None:
     _SCORERS[name] = scorer
 
 
-def register_model(name: str, load: Callable[[], Callable[[list[str], list[str]], list[float]]]) -> None:
+def register_model(name: str, load: Callable[[], Callable[[list[str], list[str]], list[float]]], failures: Accumulator | None = None) -> None:
     """Add a model: ``load`` runs once per task and returns a batch scoring function.
 
-    A batch the model fails on scores 0, so one bad batch cannot fail the job.
+    A batch the model fails on scores 0, so one bad batch cannot fail the job; its rows
+    are added to ``failures``, which the caller reads when the job is done.
     """
 
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -35,6 +37,8 @@ def register_model(name: str, load: Callable[[], Callable[[list[str], list[str]]
             try:
                 yield pd.Series(model(query.tolist(), content.tolist()), dtype="float64")
             except Exception:
+                if failures is not None:
+                    failures.add(len(query))
                 yield pd.Series([0.0] * len(query), dtype="float64")
 
     udf = F.pandas_udf(score, T.DoubleType())

@@ -19,8 +19,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from paperloom import kernels
 from paperloom.functions import text as tx
-from paperloom.functions.lexicon import STOP_WORDS
 from paperloom.functions import vectors as vx
+from paperloom.functions.lexicon import STOP_WORDS
 from paperloom.operators.ranking import top_k, top_k_per_group
 from paperloom.session import broadcast_if_small
 from paperloom.settings import DEFAULTS
@@ -54,9 +54,19 @@ def _blocks(queries: DataFrame, row_bytes: int):
         yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block).collect()
 
 
+CUT_SALTS = 32
+
+
 def _finish(parts: list[DataFrame], k: int) -> DataFrame:
-    candidates = reduce(DataFrame.unionByName, parts)
-    return top_k_per_group(candidates, ["query_id"], k, leg_order())
+    """The best ``k`` of each query, in two cuts.
+
+    Every task hands on ``k`` rows per query; a first cut by query and chunk hash thins
+    these out in parallel, so the last one reads ``CUT_SALTS`` times ``k`` rows per query
+    however many tasks there were.
+    """
+    candidates = reduce(DataFrame.unionByName, parts).withColumn("__salt", F.pmod(F.xxhash64("chunk_id"), F.lit(CUT_SALTS)))
+    thinned = top_k_per_group(candidates, ["query_id", "__salt"], k, leg_order(), rank="__place").drop("__place", "__salt")
+    return top_k_per_group(thinned, ["query_id"], k, leg_order())
 
 
 def dense_search(

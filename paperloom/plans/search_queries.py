@@ -9,6 +9,7 @@ from paperloom.functions.lexicon import STOP_WORDS
 from paperloom.operators import fusion, rerank, search
 from paperloom.plans import fixtures as fx
 from paperloom.plans.registry import query
+from paperloom.session import broadcast_if_small
 from paperloom.sources.tables import load, spread
 
 COSINE = "round(list_cosine_similarity(embedding::DOUBLE[], qv), 10)"
@@ -91,7 +92,8 @@ FROM embeddings JOIN centroid USING (label)""",
 def vector_arithmetic(spark, folder):
     vectors = load(spark, folder, "embeddings")
     centroids = fx.mean_vectors(vectors, "label").withColumnRenamed("query_id", "label")
-    both = vectors.join(centroids, "label")
+    # One row per label, sent to the vectors, which stay where they are.
+    both = vectors.join(broadcast_if_small(centroids), "label")
     e, q = F.col("embedding"), F.col("query_vector")
     zero = F.transform(e, lambda _: F.lit(0.0))
     return both.select(
