@@ -190,4 +190,4 @@ def test_library_chat(spark):
     got = sources.collect()
     assert len({r["paper_id"] for r in got}) == len(got) == 2 and {r["title"] for r in got} <= {"Zero", "One", "p2"}
     text = prompts.first()["prompt"]
-    assert "User Question: red fox" in text and "Assistant: m3" in text and "m2\n" not in text and "[1] Paper: " in text
+    assert "Question: red fox" in text and "Assistant: m3" in text and "m2\n" not in text and "[1] Paper: " in text
