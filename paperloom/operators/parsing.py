@@ -96,11 +96,11 @@ def _matches(content: Column, pattern: str) -> Column:
     the length of the pieces before it, so its surroundings are cut from the text itself.
     """
     marked = F.regexp_replace(content, F.lit("(?s)" + pattern), F.lit(f"{MARK}$0{FIELD}$1{MARK}"))
-    def entry(part: Column, i: Column, ends: Column) -> Column:
+    def entry(text: Column, part: Column, i: Column, ends: Column) -> Column:
         stop = F.get(ends, i)
         start = stop - F.length(F.get(F.split(part, FIELD), F.lit(0)))
-        left = content.substr(F.greatest(start - 199, F.lit(1)), F.least(start, F.lit(200)))
-        right = content.substr(stop + 1, F.lit(200))
+        left = text.substr(F.greatest(start - 199, F.lit(1)), F.least(start, F.lit(200)))
+        right = text.substr(stop + 1, F.lit(200))
         return F.struct(
             F.get(F.split(part, FIELD), F.lit(0)).alias("whole"),
             F.get(F.split(part, FIELD), F.lit(1)).alias("inner"),
@@ -109,12 +109,13 @@ def _matches(content: Column, pattern: str) -> Column:
             (i % 2 == 1).alias("is_match"),
         )
 
-    def around(parts: Column) -> Column:
+    def around(bound: Column) -> Column:
+        text, parts = bound["text"], bound["parts"]
         sizes = F.transform(parts, lambda p, i: F.length(F.when(i % 2 == 1, F.get(F.split(p, FIELD), F.lit(0))).otherwise(p)))
         ends = F.aggregate(sizes, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n)))
-        return let(ends, lambda e: F.transform(parts, lambda p, i: entry(p, i, e)))
+        return let(ends, lambda e: F.transform(parts, lambda p, i: entry(text, p, i, e)))
 
-    return F.filter(let(F.split(marked, MARK), around), lambda e: e["is_match"])
+    return F.filter(let(F.struct(content.alias("text"), F.split(marked, MARK).alias("parts")), around), lambda e: e["is_match"])
 
 
 def latex_equations(content: Column, inline_min: int = 20) -> Column:
@@ -319,6 +320,17 @@ def parse_with_fallback(latex: DataFrame, markdown: DataFrame, key: str = "paper
     )
 
 
+def parse_sources(df: DataFrame, key: str = "paper_id", latex_col: str = "latex", markdown_col: str = "markdown") -> DataFrame:
+    """As ``parse_with_fallback`` for papers that have both sources in one row: no join, no shuffle."""
+    names = ("title", "abstract", "sections", "equations", "figures", "parse_method")
+    tex = parse_latex(df.select(key, latex_col, markdown_col), latex_col).select(key, latex_col, markdown_col, F.struct(*names).alias("__tex"))
+    both = parse_markdown(tex, markdown_col).select(key, latex_col, markdown_col, "__tex", F.struct(*names).alias("__md"))
+    usable = F.col(latex_col).isNotNull() & F.coalesce(F.size("__tex.sections") > 0, F.lit(False))
+    pick = F.when(usable | F.col(markdown_col).isNull(), F.col("__tex")).otherwise(F.col("__md"))
+    return both.select(key, pick.alias("d")).select(
+        key, "d.*", F.when(F.coalesce(F.size("d.sections"), F.lit(0)) <= 0, F.lit("no sections found")).alias("error"))
+
+
 def counts(df: DataFrame) -> DataFrame:
     """Add the counters of a parsed document."""
     paragraphs = F.aggregate("sections", F.lit(0), lambda a, s: a + F.size(s["paragraphs"]))

@@ -51,8 +51,12 @@ def latex_clean(spark, folder):
 
 
 def latex_source(spark, folder):
-    """One LaTeX paper per document: its lines become sections, every third one a subsection."""
-    docs = plain_documents(spark, folder)
+    """One LaTeX paper per document."""
+    return plain_documents(spark, folder).select("doc_id", "lang", "source", latex_content().alias("content"))
+
+
+def latex_content():
+    """A document's lines as sections, every third one a subsection."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda l: F.trim(l)), lambda l: F.length(l) > 0)
     section = lambda l, i: F.concat(
         F.when(i % 3 == 2, F.lit("\\subsection{")).otherwise(F.lit("\\section*{")),
@@ -61,7 +65,7 @@ def latex_source(spark, folder):
         F.lit("\n"),
     )
     body = F.array_join(F.transform(lines, section), "\n")
-    content = F.concat(
+    return F.concat(
         F.lit("\\documentclass{article}\n\\title{A {\\bf nested {title}} for "), F.col("source"), F.lit(" % note\n}\n\\begin{document}\n\\begin{abstract}\n"),
         F.coalesce(F.get(lines, F.lit(0)), F.lit("none")), F.lit("\n\\end{abstract}\n"), body,
         F.lit("\nBefore math \\begin{equation}\\label{eq:one} a = "), F.col("doc_id").cast("string"), F.lit(" \\end{equation} after math.\n$$ b $$\n"),
@@ -70,7 +74,6 @@ def latex_source(spark, folder):
         F.lit("\\begin{table}\\caption{Scores}\\begin{tabular}{ll}a & b \\\\ \\hline\n1 & "), F.col("lang"), F.lit(" \\\\\\end{tabular}\\end{table}\n"),
         F.lit("\\end{document}\n"),
     )
-    return docs.select("doc_id", "lang", "source", content.alias("content"))
 
 
 @query(
@@ -151,7 +154,16 @@ def markdown_sections(spark, folder):
 
 
 def markdown_source(spark, folder):
-    docs = plain_documents(spark, folder)
+    return plain_documents(spark, folder).select("doc_id", "source", markdown_content().alias("markdown"))
+
+
+def both_sources(spark, folder):
+    """English papers have LaTeX as well, all have a converted page."""
+    return plain_documents(spark, folder).select(
+        "doc_id", F.when(F.col("lang") == "en", latex_content()).alias("latex"), markdown_content().alias("markdown"))
+
+
+def markdown_content():
     lines = F.filter(F.transform(F.split("text", "\n"), lambda l: F.trim(l)), lambda l: F.length(l) > 0)
     part = lambda l, i: F.concat(
         F.repeat(F.lit("#"), (i + 1) % 3 + 2), F.lit(" Part "), (i + 1).cast("string"), F.lit("\n\n"), l,
@@ -159,7 +171,7 @@ def markdown_source(spark, folder):
     )
     head = F.concat(F.lit("# Title of "), F.col("source"), F.lit("\n\n## Abstract\nThe abstract of "), F.col("source"), F.lit("\n\n"))
     tables = F.concat(F.lit("\n## Tail\n\n$$ e = "), F.col("doc_id").cast("string"), F.lit(" $$\n\n![A figure](img.png)\n\nTable 1: Sizes\n| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |\n"))
-    return docs.select("doc_id", "source", F.concat(head, F.array_join(F.transform(lines, part), "\n"), tables).alias("markdown"))
+    return F.concat(head, F.array_join(F.transform(lines, part), "\n"), tables)
 
 
 @query(
@@ -182,10 +194,7 @@ def markdown_parse(spark, folder):
   count(*) AS n FROM documents GROUP BY method""".replace("\\\\", "\\"),
 )
 def parse_fallback(spark, folder):
-    """English papers have LaTeX, the others only a converted page."""
-    tex = parsing.parse_latex(latex_source(spark, folder).where(F.col("lang") == "en")).drop("tables")
-    md = parsing.parse_markdown(markdown_source(spark, folder)).drop("tables")
-    done = parsing.parse_with_fallback(tex, md, "doc_id")
+    done = parsing.parse_sources(both_sources(spark, folder), "doc_id")
     method = F.when(F.col("error").isNotNull(), "none").otherwise(F.col("parse_method"))
     return done.groupBy(method.alias("method")).agg(F.count(F.lit(1)).alias("n"))
 

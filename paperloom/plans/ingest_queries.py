@@ -11,7 +11,7 @@ from paperloom.functions import vectors as vx
 from paperloom.functions import verdicts as vd
 from paperloom.operators import chunking, curation, listing, parsing, sections, windows
 from paperloom.plans.curation_queries import NEGATIVE, PAPERS_SQL, STRONG, papers, sql_list
-from paperloom.plans.document_queries import latex_source, markdown_source
+from paperloom.plans.document_queries import both_sources
 from paperloom.plans.listing_queries import BOUNDS_SQL, order_bounds
 from paperloom.plans.registry import query
 from paperloom.plans.source_queries import scratch
@@ -119,9 +119,7 @@ def verdict_partition(spark, folder):
   1.0::DOUBLE AS success_rate FROM documents""",
 )
 def parsing_stats(spark, folder):
-    tex = parsing.parse_latex(latex_source(spark, folder).where(F.col("lang") == "en")).drop("tables")
-    md = parsing.parse_markdown(markdown_source(spark, folder)).drop("tables")
-    return parsing.parsing_stats(parsing.parse_with_fallback(tex, md, "doc_id"))
+    return parsing.parsing_stats(parsing.parse_sources(both_sources(spark, folder), "doc_id"))
 
 
 @query(
