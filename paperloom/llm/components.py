@@ -35,14 +35,18 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     before the shuffle, so a node with very many links sends one row per task; the
     rounds end when the links are stars, which their count and hash tell.
     """
-    links = cut_lineage(links.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct())
-    state = None
+    def state_of(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    links = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = cut_lineage(links.distinct())
+    state = state_of(links)  # stars from the start end after one round
     for _ in range(max_rounds):
         links = cut_lineage(small_star(large_star(links)))
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == tuple(now):
+        now = state_of(links)
+        if state == now:
             break
-        state = tuple(now)
+        state = now
     else:
         raise RuntimeError("components did not settle")
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(

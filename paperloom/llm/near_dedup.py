@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.batches import byte_values, mix, range_hashes, shingles, slices, text_bytes, words
 from paperloom.llm.components import components
-from paperloom.session import cut_lineage
+from paperloom.session import broadcast_if_small, cut_lineage
 
 BANDS, ROWS = 36, 6
 PAIRS_PER_TASK = 2_000
+BLOCK_ROWS = 512
+BROADCAST_IDS = 1_000_000  # ids up to this many (16 MB) are sent to the texts; more meet them by a shuffle
 
 
 def multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,17 +56,19 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, digest, keys`` of every document with words: 128 bits tell equal sets."""
+    """``doc_id, n_shingles, digest, keys, signature``: 128 bits tell equal sets, one byte is kept of each minimum."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digest, keys = [], [], []
+            n, digest, keys, signature = [], [], [], []
             for s in sets_of(batch.column(1), width):
                 n.append(len(s))
                 digest.append(mix(s).sum(dtype=np.uint64).tobytes() + mix(mix(s) ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).tobytes() + len(s).to_bytes(8, "big"))
-                keys.append(band_keys(minima(s)).view(np.int64) if len(s) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "keys"])
+                least = minima(s) if len(s) else None
+                keys.append(np.zeros(0, np.int64) if least is None else band_keys(least).view(np.int64))
+                signature.append(b"" if least is None else least.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(signature, pa.binary())], names=["doc_id", "n_shingles", "digest", "keys", "signature"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, signature binary")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -74,7 +78,8 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             sets = [s.tobytes() for s in sets_of(batch.column(1), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "members"])
 
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, members binary")
+    listed = broadcast_if_small(ids.distinct(), BROADCAST_IDS)
+    return docs.join(listed, "doc_id", "left_semi").mapInArrow(run, "doc_id long, members binary").dropDuplicates(["doc_id"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -110,6 +115,98 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def least_agreement(percent: int) -> float:
+    """Share of equal minima that a linked pair falls below with odds of 3e-7 (five standard deviations)."""
+    p = percent / 100
+    return p - 5 * (p * (1 - p) / (BANDS * ROWS)) ** 0.5
+
+
+def alike(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose signatures agree well enough to look at the sets."""
+    both = pairs.join(signatures.select(F.col("doc_id").alias("a"), F.col("signature").alias("s")), "a")
+    both = both.join(signatures.select(F.col("doc_id").alias("b"), F.col("signature").alias("t")), "b").select("a", "b", "s", "t")
+    least = least_agreement(percent) * BANDS * ROWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, t = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("s", "t"))
+            yield batch.select(["a", "b"]).filter(pa.array((s == t).sum(axis=1) >= least))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def signature_judge(payloads: list[bytes], percent: int):
+    """Compares one signature with all stored ones."""
+    stored = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BANDS * ROWS)
+    least = least_agreement(percent) * BANDS * ROWS
+    return lambda payload: (stored == np.frombuffer(payload, np.uint8)).sum(axis=1) >= least
+
+
+def set_judge(payloads: list[bytes], percent: int):
+    """Compares one full set with all stored ones through an index from shingle to owner."""
+    sets = [np.frombuffer(x, np.uint64) for x in payloads]
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+
+    def judge(payload: bytes) -> np.ndarray:
+        own = np.frombuffer(payload, np.uint64)
+        low, high = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+        n = high - low
+        at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        shared = np.bincount(owner[at], minlength=len(sets))
+        return 100 * shared >= percent * (len(own) + sizes - shared)
+
+    return judge
+
+
+def crossed(members: DataFrame, judge_of, percent: int, links: bool) -> DataFrame:
+    """Compare members of a bucket across its components, block by block, without making pairs.
+
+    ``members`` is ``bucket, doc_id, component, main, n, payload``.  A bucket's members are
+    dealt into blocks of about ``BLOCK_ROWS``; every member outside the main component
+    visits all blocks of its bucket and is held against what another component has
+    there.  With ``links``, one link ``a, b`` per visitor and component it meets is
+    returned; else the ``doc_id`` of all that met someone.
+    """
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).cast("int")
+    stored = members.select("bucket", F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"), F.lit(False).alias("visits"), "doc_id", "component", "payload")
+    visitors = members.where("component <> main").select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("visits"), "doc_id", "component", "payload")
+    dealt = stored.unionAll(visitors).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "visits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, ids, owners, payloads, judge = None, [], [], [], None
+        for batch in batches:
+            first, second = [], []
+            for bucket, block, visits, doc, component, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                if place != (bucket, block):
+                    place, ids, owners, payloads, judge = (bucket, block), [], [], [], None
+                if not visits:
+                    ids.append(doc)
+                    owners.append(component)
+                    payloads.append(payload)
+                    continue
+                if not ids:
+                    continue
+                if judge is None:
+                    judge, components_ = judge_of(payloads, percent), np.array(owners)
+                met = np.flatnonzero(judge(payload) & (components_ != component))
+                if len(met):
+                    if links:
+                        _, met_first = np.unique(components_[met], return_index=True)
+                        met = met[met_first]
+                    first += [doc] * len(met)
+                    second += [ids[m] for m in met]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["a", "b"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(sorted({*first, *second}), pa.int64())], names=["doc_id"])
+
+    return dealt.mapInArrow(run, "a long, b long" if links else "doc_id long")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
 
@@ -117,10 +214,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     linked if their sets share ``percent`` hundredths of their union, and a component is
     named by its smallest id.  Equal sets are one node from the start.  Of the others,
     those that share a band of minima (36 bands of 6: a pair at 85 % is missed with odds of
-    4e-8, one at 80 % of 1e-5) are compared: first each bucket's members with its smallest, then, in
-    buckets that this leaves in several components, every member outside the largest one
-    with all members outside its own, so that no link between components is lost; each
-    is confirmed on the full sets.  An empty or null text links with nothing, nor does a
+    4e-8, one at 80 % of 2e-5) are candidates.  First each bucket's members are compared
+    with its smallest; then, in buckets that this leaves in several components, every
+    member outside the largest one with all members outside its own, so that no link
+    between components is lost.  Signatures decide whether sets are looked at, full sets
+    whether a link stands.  An empty or null text links with nothing, nor does a
     null key (its component is null, and it is kept); a repeated row is returned as often;
     an empty table gives an empty one.
     """
@@ -130,25 +228,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     same = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     # One node per distinct set, with its bucket keys.
     nodes = known.join(same, (known["digest"] == same["digest"]) & (known["doc_id"] == same["rep"]), "left_semi").dropDuplicates(["doc_id"])
-    slots = nodes.select("doc_id", "n_shingles", F.explode("keys").alias("bucket"))
+    slots = nodes.select("doc_id", F.explode("keys").alias("bucket"))
     full = slots.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = cut_lineage(slots.join(full, "bucket").select("bucket", "doc_id", "n_shingles", "a"))
-    stars = buckets.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    sets = cut_lineage(shingle_sets(rows.where("doc_id IS NOT NULL"), buckets.select("doc_id").distinct(), width).dropDuplicates(["doc_id"]))
-    links = cut_lineage(confirmed(stars, sets, percent))
+    buckets = cut_lineage(slots.join(full, "bucket").select("bucket", "doc_id", "a"))
+    signatures = cut_lineage(nodes.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "signature"))
+    stars = cut_lineage(alike(buckets.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct(), signatures, percent))
+    known_rows = rows.where("doc_id IS NOT NULL")
+    sets = shingle_sets(known_rows, stars.select(F.explode(F.array("a", "b")).alias("doc_id")), width)
+    links = cut_lineage(confirmed(stars, cut_lineage(sets), percent))
     found = components(links)
 
-    labelled = buckets.join(found, buckets["doc_id"] == found["node"], "left").select("bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
-    sizes = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("bucket", F.col("top.component").alias("main"))
-    split = labelled.join(largest, "bucket")
-    outside = split.where("component <> main").select("bucket", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("component").alias("cx"))
-    others = split.select("bucket", F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"), F.col("component").alias("cy"), "main")
-    # Pairs are told apart by size first; each pair once, not the ones already compared with the bucket's smallest.
-    crossed = outside.join(others, "bucket").where("cx <> cy AND (cy = main OR x < y)").where(f"100 * least(nx, ny) >= {int(percent)} * greatest(nx, ny)")
-    crossed = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.unionAll(confirmed(crossed, sets, percent))
-    found = components(links)
+    labelled = buckets.join(found, buckets["doc_id"] == found["node"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    sizes = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).alias("mark"))
+    split = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.sum("mark").alias("mark"))
+    # Two members have been compared already; buckets of the same members are looked at once.
+    split = split.where("kinds > 1 AND n > 2").groupBy("n", "mark").agg(F.min(F.struct("bucket", "main")).alias("x")).select("x.bucket", "x.main", "n")
+    open_ = cut_lineage(labelled.join(split, "bucket").select("bucket", "doc_id", "component", "main", "n"))
+    met = cut_lineage(crossed(open_.join(signatures.withColumnRenamed("signature", "payload"), "doc_id"), signature_judge, percent, links=False).distinct())
+    sets = shingle_sets(known_rows, met, width).withColumnRenamed("members", "payload")
+    more = crossed(open_.join(sets, "doc_id"), set_judge, percent, links=True)
+    found = components(found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
 
     # Class of every distinct set: its node's component.
     classes = same.join(found, same["rep"] == found["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
