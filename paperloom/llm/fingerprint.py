@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,16 +17,16 @@ BINS = 128
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
-def phrases(text: str) -> tuple[list[int], list[int]]:
-    """Borders of the LZ78 parse: each phrase is the longest earlier one and a character more.
+def phrases(text: str, at: int = 0, seen: set[str] | None = None) -> tuple[list[int], list[int]]:
+    """Borders of the LZ78 parse from ``at`` on: each phrase is the longest ``seen`` one and a character more.
 
     The set of phrases is closed under prefixes, so the longest known prefix is
     searched from the length of the last phrase up or down instead of from one.
     A rest that is a known phrase counts as a phrase again.
     """
-    seen: set[str] = set()
+    seen = set() if seen is None else seen
     starts, ends = [], []
-    at, n, guess = 0, len(text), 1
+    n, guess = len(text), 1
     while at < n:
         end = min(at + guess, n)
         if text[at:end] in seen:
@@ -44,18 +45,38 @@ def phrases(text: str) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def signature(text: str) -> np.ndarray | None:
-    """One-permutation minimum hashes in ``BINS`` bins; None for an empty text."""
-    if not text:
+def phrase_hashes(text: str, starts: list[int], ends: list[int]) -> np.ndarray:
+    """A 64-bit hash of each phrase, whatever its place."""
+    if not starts:
+        return np.zeros(0, np.uint64)
+    points = np.frombuffer(text[starts[0]:].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return range_hashes(mix(points + np.uint64(1)), np.array(starts) - starts[0], np.array(ends) - starts[0])
+
+
+def minima(h: np.ndarray) -> np.ndarray | None:
+    """One-permutation minimum hashes in ``BINS`` bins; None without phrases."""
+    if not len(h):
         return None
-    starts, ends = (np.array(x) for x in phrases(text))
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    h = range_hashes(mix(points + np.uint64(1)), starts, ends)
     out = np.full(BINS, EMPTY)
     np.minimum.at(out, (h >> np.uint64(57)).astype(np.int64), (h & np.uint64(0xFFFFFFFE)).astype(np.uint32))
     return out
 
 
+def signature(text: str) -> np.ndarray | None:
+    """The fingerprint of a text as numbers; None for an empty one."""
+    return minima(phrase_hashes(text, *phrases(text)))
+
+
+def extended(text: str, ends: list[int], h: np.ndarray, keep: int, rest: str) -> np.ndarray | None:
+    """Signature of ``text[:keep] + rest``, from the parse of ``text``: what ends within ``keep`` is parsed alike."""
+    known = bisect_right(ends, keep)
+    at = ends[known - 1] if known else 0
+    seen = {text[a:b] for a, b in zip([0, *ends[:known - 1]], ends[:known])} if known else set()
+    changed = text[:keep] + rest
+    starts, stops = phrases(changed, at, seen)
+    return minima(np.concatenate([h[:known], phrase_hashes(changed, starts, stops)]))
+
+
 def encoded(sig: np.ndarray | None) -> str:
     return "" if sig is None else sig.astype(">u4").tobytes().hex()
 
@@ -117,11 +138,11 @@ def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = None
 
     def record(now, after):
-        _, doc, text, sig = now
+        _, doc, text, ends, h, sig = now
         half = len(text) // 2
         edited = text[:len(text) - half] + after[2][:half]
-        changed = signature(edited)
-        return doc, len(text), sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), encoded(sig), encoded(changed), likeness(sig, changed), likeness(sig, after[3])
+        changed = extended(text, ends, h, len(text) - half, after[2][:half])
+        return doc, len(text), sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), encoded(sig), encoded(changed), likeness(sig, changed), likeness(sig, after[-1])
 
     for batch in batches:
         made = []
@@ -129,7 +150,9 @@ def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if extra and (held is None or held[0] != slot):
                 continue  # a copied head that follows the first copy of its range
             text = text or ""
-            now = (slot, doc, text, signature(text))
+            starts, ends = phrases(text)
+            h = phrase_hashes(text, starts, ends)
+            now = (slot, doc, text, ends, h, minima(h))
             if held is not None and held[0] == slot:
                 made.append(record(held, now))
             held = None if extra else now
