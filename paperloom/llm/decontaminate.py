@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.batches import byte_values, range_hashes, shingles, slices, text_bytes
+from paperloom.session import cut_lineage
 
 WIDTH = 5
 FILTER_BITS = 21
@@ -126,7 +127,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     held = windows(docs.where(docs[f"`{key}`"].isNotNull()), key, text, width, bits)
     met = held.join(items, "h").withColumn("shift", F.col("pos") - F.col("item_pos"))
     pairs = F.filter(F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p.a != 0)
-    met = met.select(F.col("key").alias("doc_id"), "item_id", "shift", "h", pairs.alias("pairs"))
+    # Only windows that an item holds as well: few rows, read several times below.
+    met = cut_lineage(met.select(F.col("key").alias("doc_id"), "item_id", "shift", "h", pairs.alias("pairs")))
     # One alignment: each slot value of the item has one counterpart.
     slots = met.select("doc_id", "item_id", "shift", F.explode("pairs").alias("p")).distinct()
     bad = slots.groupBy("doc_id", "item_id", "shift", "p.a").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("p.a") != F.col("p.b")).alias("changed"))
