@@ -92,10 +92,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: Column
     of the sample lies farther from its nearest centroid.
     """
     key = F.col(f"`{text}`") if key is None else key
-    rows = labelled.select(labelled[f"`{lang}`"].alias("lang"), labelled[f"`{text}`"].alias("text"), F.xxhash64(key, F.lit(17)).alias("h"))
-    rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
-    # Hashes are ranked without the texts; the few texts that are kept meet them by a broadcast of bounded size.
-    sample = cut_lineage(top_k_per_group(rows, ["lang"], per_lang, [F.col("h"), F.xxhash64("text")]).select("lang", "text"))
+    rows = labelled.select(labelled[f"`{lang}`"].alias("lang"), labelled[f"`{text}`"].alias("text"), F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 31)).alias("h"))
+    rows = rows.where("lang IS NOT NULL")
+    # One row per language: how far up the hashes four times the wanted texts are to be expected.
+    reach = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * per_lang) / F.count(F.lit(1))).alias("reach"))
+    near = rows.join(F.broadcast(cut_lineage(reach)), "lang").where(F.col("h") <= F.col("reach") * float(1 << 31)).where("text IS NOT NULL")
+    sample = cut_lineage(top_k_per_group(near, ["lang"], per_lang, [F.col("h"), F.xxhash64("text")]).select("lang", "text"))
     n_sample = sample.count()
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
