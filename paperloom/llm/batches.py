@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20
+PART_ROWS = 500
 
 # Odd multipliers of the hashes and the finalizer of the public splitmix64 generator.
 _BASE = 0x9E3779B97F4A7C15
@@ -122,8 +123,9 @@ def append_columns(df: DataFrame, text: str, fields: list[T.StructField], prepar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = prepare()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for start in range(0, whole.num_rows, PART_ROWS):  # few texts at a time as Python objects
+                batch = whole.slice(start, PART_ROWS)
                 made = compute(batch.column(at))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=[*kept, *[f.name for f in fields]])
 

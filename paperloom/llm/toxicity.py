@@ -19,7 +19,7 @@ from paperloom.session import cut_lineage
 WORD = re.compile(r"[^\W\d_]+")
 CONTEXT = 40
 SHORTEST, LONGEST = 4, 7  # letters of a word at least, of a beginning at most
-MEMORY = 300_000  # words remembered by a task
+MEMORY = 150_000  # words remembered by a task
 # Marks of a quotation, verbs that report speech, words that address the reader, and their factors.
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‹": "›"}
 REPORTING = frozenset("said says wrote writes called quoted quote term word sagte schrieb dit écrit dijo escribió".split())
@@ -259,6 +259,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     explained: set = set()
     while left:
         best = max(left, key=lambda e: (len(left[e]) * share[e], not e[1], len(e[0]), e[0]))
+        # Of beginnings that stand for the same documents the longest says most.
+        best = max((e for e in left if e == best or best[1] and e[1] and e[0].startswith(best[0]) and len(where[e]) >= 0.97 * len(where[best])), key=lambda e: (len(e[0]), len(where[e]), e[0]))
         explained |= left.pop(best)
         (kept if best[1] else whole)[best[0]] = share[best]
         same = {e for e in left if (e[0].startswith(best[0]) or best[0].startswith(e[0])) and len(where[e] - where[best]) <= 0.1 * len(where[e])}
