@@ -206,6 +206,20 @@ def test_slots_must_agree(spark):
     assert out == {1}
 
 
+def test_leaks_in_another_case_or_with_names_that_open_sentences(spark):
+    item = "A train leaves Boston at 9:30 and travels 120 km in 2 hours, how fast does it go on average per hour"
+    moved = item.replace("9:30", "10:45").replace("120", "300")
+    shop = "Maria buys 12 apples for 3 dollars each. Maria gives 4 apples to Tom. Élodie takes 2 of them. How many apples does Maria keep"
+    other = shop.replace("Maria", "Paula").replace("12", "15").replace("Élodie", "Zoé")
+    torn = other.replace("does Paula", "does Maria").replace("gives 4", "gives 15")
+    bench = spark.createDataFrame([(1, item), (2, shop)], "item_id long, text string")
+    texts = [item.lower(), item.upper(), moved.lower(), shop.lower(), shop.upper(), other, other.replace(". ", "\n"), shop.replace("12", "15").replace("gives 4", "gives 15"), torn]
+    out = {(r["doc_id"], r["item_id"]): r["verbatim"] for r in decontaminate.find_leaks(documents(spark, [f"{PROSE}{t}. {PROSE}" for t in texts]), bench).collect()}
+    assert {k: out.get(k) for k in [(1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (6, 2), (7, 2)]} == {
+        (1, 1): True, (2, 1): True, (3, 1): False, (4, 2): True, (5, 2): True, (6, 2): False, (7, 2): False}
+    assert not {d for d, _ in out} & {9} and len({d for d, i in out if (d, i) not in {(n, 1 if n < 4 else 2) for n in range(1, 10)}}) == 0
+
+
 def test_decontamination_edges(spark):
     bench = spark.createDataFrame([(1, "plain words in a row here")], "item_id long, text string")
     out = decontaminate.find_leaks(awkward(spark), bench).collect()
