@@ -12,8 +12,10 @@ from pyspark.sql import types as T
 
 from paperloom.llm.batches import append_columns, byte_values, mix, range_hashes, slices, text_bytes
 from paperloom.operators.ranking import global_rank
+from paperloom.session import cut_lineage
 
 BUCKETS = 1 << 14
+BROADCAST_IDS = 1_000_000  # about so many ids (16 MB) are sent to the texts at once
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,9 +58,21 @@ def gram_counts(df: DataFrame, text: str = "text") -> np.ndarray:
     return out
 
 
-def log_ratios(target: DataFrame, raw: DataFrame, text: str = "text", smooth: float = 1.0) -> np.ndarray:
-    """``ln p_target - ln p_raw`` of every bucket, from all rows of both tables."""
-    good, all_ = gram_counts(target, text) + smooth, gram_counts(raw, text) + smooth
+def listed(docs: DataFrame, ids: DataFrame, key: str = "doc_id", most: int = BROADCAST_IDS) -> list[DataFrame]:
+    """All rows of ``docs`` whose key is in ``ids``, in parts by the hash of the key.
+
+    The ids are counted first; about ``most`` of them travel to the texts for each part, and the texts stay in place.
+    """
+    ids = cut_lineage(ids.select(ids[f"`{key}`"].alias(key)).distinct())
+    n = max(1, -(-ids.count() // most))
+    block = F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string"), F.lit(31)), F.lit(n))
+    return [docs.where(block == i).join(F.broadcast(ids.where(block == i)), key, "left_semi") for i in range(n)]
+
+
+def log_ratios(target: DataFrame | list[DataFrame], raw: DataFrame, text: str = "text", smooth: float = 1.0) -> np.ndarray:
+    """``ln p_target - ln p_raw`` of every bucket, from all rows of both tables; the counts of the target's parts add up."""
+    good = sum((gram_counts(part, text) for part in ([target] if isinstance(target, DataFrame) else target)), np.zeros(BUCKETS)) + smooth
+    all_ = gram_counts(raw, text) + smooth
     return np.log(good / good.sum()) - np.log(all_ / all_.sum())
 
 
@@ -76,11 +90,11 @@ def weigh(df: DataFrame, ratios: np.ndarray, text: str = "text", out: str = "log
     return append_columns(df, text, [T.StructField(out, T.DoubleType())], lambda: compute, keep)
 
 
-def resample(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", share: float = 0.5, scale: float = 20.0, seed: int = 0) -> DataFrame:
+def resample(docs: DataFrame, target: DataFrame | list[DataFrame], key: str = "doc_id", text: str = "text", share: float = 0.5, scale: float = 20.0, seed: int = 0) -> DataFrame:
     """Every document with its importance and whether the resample holds it.
 
     ``log_weight`` is the mean log ratio of the hashed n-gram models of ``target`` and of
-    ``docs`` (all rows of both), so long texts are not favoured for their length;
+    ``docs`` (all rows of both; ``target`` may come in parts), so long texts are not favoured for their length;
     ``score`` maps it to 0 to 1.  Each row draws a Gumbel number from its key and
     ``seed``; the ``share`` of rows with the largest ``scale * log_weight`` plus that
     number is a sample without replacement by importance, whose ranks are taken over

@@ -8,11 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import chat_format, decontaminate, fingerprint, language, mixing, near_dedup, quality, secrets, suffix_dedup, toxicity
-from paperloom.operators.ranking import top_k
 from paperloom.sources.tables import load
 
 THRESHOLD = 0.7
-TARGET_DOCS = 20_000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,9 +63,7 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = load(spark, folder, "documents").select("doc_id", "text")
     good = load(spark, folder, "labels").where((F.col("quality") == 1) & (fold(3) != 1)).select("doc_id").distinct()
-    # The target model is fitted on a bounded sample of the labelled texts, so their ids can travel to the texts.
-    picked = top_k(good, TARGET_DOCS, F.xxhash64("doc_id", F.lit(31)), F.col("doc_id"))
-    return quality.resample(docs, docs.join(F.broadcast(picked), "doc_id", "left_semi"))
+    return quality.resample(docs, quality.listed(docs, good))
 
 
 @query

@@ -6,8 +6,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import language, quality, secrets, toxicity
-from tests.llm.rows import PROSE, awkward, documents, empty
+from paperloom.llm import language, quality, queries, secrets, toxicity
+from tests.llm.rows import PROSE, awkward, documents, empty, write
 
 EN = ["the cat sat on the mat and the dog was with them in the house", "this is what they said when the rain had stopped for the day", "there are many things that we want to do with the others"]
 DE = ["der hund und die katze sind nicht in dem haus bei uns", "das ist was sie gesagt haben als der regen aufgehört hatte", "es gibt viele dinge die wir mit den anderen machen wollen"]
@@ -57,6 +57,21 @@ def test_gumbel_ranks_follow_importance(spark):
     assert {r["doc_id"] for r in out if r["selected"]} == {r["doc_id"] for r in best[:15]}
 
 
+def test_quality_counts_every_labelled_text(spark, tmp_path):
+    """More good labels than one small sample holds, also sent in several parts."""
+    docs = spark.range(36_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id") % 977, F.lit(" and "), F.col("id") % 1_009).alias("text"))
+    write(docs, tmp_path, "documents")
+    write(docs.select("doc_id", F.lit(1).alias("quality")), tmp_path, "labels")
+    good = docs.where(queries.fold(3) != 1)
+    assert good.count() > 20_000
+    want = quality.log_ratios(good, docs)
+    parts = quality.listed(docs, good.select("doc_id"), most=7_000)
+    assert len(parts) == -(-good.count() // 7_000) and (quality.log_ratios(parts, docs) == want).all()
+    assert (quality.log_ratios(quality.listed(docs, good.limit(0)), docs) == quality.log_ratios(good.limit(0), docs)).all()
+    out = queries.op2_quality(spark, str(tmp_path)).select("doc_id", "log_weight")
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in quality.weigh(docs, want, keep=["doc_id"]).collect()}
+
+
 LEXICON = toxicity.Lexicon({"idiot": 0.99, "disgusting": 0.98}, {"lowei": 0.99}, base=0.01)
 
 
