@@ -17,8 +17,11 @@ from paperloom.operators.ranking import top_k
 from paperloom.session import cut_lineage
 
 WORD = re.compile(r"[^\W\d_]+")
+# Letters with one or two digits or signs between them: a word may be disguised by them.
+CHAIN = re.compile(r"[^\W\d_]+(?:[\d_*@$#!+.^~|%&'’-]{1,2}[^\W\d_]+)+")
+DISGUISE = re.compile(r"[\d_*@$#!+^~|%&]")
 CONTEXT = 40
-SHORTEST, LONGEST = 4, 7  # letters of a word at least, of a beginning at most
+SHORTEST, SHORTEST_STEM, LONGEST = 3, 4, 7  # letters of a word at least, of a beginning at least and at most
 MEMORY = 150_000  # words remembered by a task
 # Marks of a quotation, verbs that report speech, words that address the reader, and their factors.
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‹": "›"}
@@ -50,7 +53,7 @@ def allowed(length: int) -> int:
 def entries_of(text: str) -> set[tuple[str, bool]]:
     """The words of a text and their beginnings, as (letters, is a beginning)."""
     found = {w for w in set(WORD.findall(text.lower())) if len(w) >= SHORTEST}
-    return {(w, False) for w in found if len(w) <= 40} | {(w[:n], True) for w in found for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
+    return {(w, False) for w in found if len(w) <= 40} | {(w[:n], True) for w in found for n in range(SHORTEST_STEM, min(len(w), LONGEST) + 1)}
 
 
 class Matcher:
@@ -89,6 +92,10 @@ class Matcher:
         # A longer word differs from every term and equals none of its own beginnings' matches: the rest is not looked at.
         self.longest = max((len(w) for w in [*lexicon.terms, *lexicon.stems]), default=0) + 3
         self.memory: dict[str, tuple | None] = {}
+        # Four letters forgive no edit, but a sign in place of an inner letter is no other word.
+        self.masked: dict[str, tuple[str, bool]] = {}
+        for stem, entries in ((True, lexicon.stems), (False, lexicon.terms)):
+            self.masked |= {f"{w[:i]}?{w[i + 1:]}": (w, stem) for w in sorted(entries) if len(w) == 4 for i in (1, 2)}
 
     def _put(self, word: str, value: tuple) -> None:
         node = self.trie
@@ -106,7 +113,7 @@ class Matcher:
 
     def search(self, word: str) -> tuple[float, int, str] | None:
         """(share, distance, entry) of the best entry that ``word`` matches; words seen before are remembered."""
-        if len(word) < 4:
+        if len(word) < SHORTEST:
             return None
         memory = self.memory
         if word not in memory:
@@ -115,6 +122,46 @@ class Matcher:
             memory[word] = self._search(word) if self.candidate(word) else None
         return memory[word]
 
+    def disguised(self, chain: str) -> list[tuple[int, int, tuple[float, int, str]]]:
+        """(start, end, found) of what a chain of letters and signs hides; its plain words are not looked at.
+
+        Every stretch of its pieces is tried as it is, each sign an edit, and with the
+        signs removed.  Signs that join words anyway (``.``, ``-``, apostrophes) are only removed, and then the rest has to match exactly.
+        """
+        pieces = [m.span() for m in WORD.finditer(chain)]
+        out, free = [], 0
+        for i, (start, _) in enumerate(pieces[:-1]):
+            if start < free:
+                continue
+            best, bare = None, chain[slice(*pieces[i])]
+            if self.search(bare):
+                continue
+            for a, b in pieces[i + 1:]:
+                if len(bare) >= self.longest or self.search(chain[a:b]):
+                    break
+                bare += chain[a:b]
+                whole = chain[start:b]
+                found = self.search(bare)
+                if DISGUISE.search(whole):
+                    found = max((f for f in (found, self.search(whole), self._unmasked(whole)) if f), default=None, key=lambda f: (f[0], -f[1], f[2]))
+                elif found and found[1]:
+                    found = None
+                if found and (best is None or (found[0], -found[1]) > (best[1][0], -best[1][1])):
+                    best = (b, found)
+            if best:
+                out.append((start, *best))
+                free = best[0]
+        return out
+
+    def _unmasked(self, whole: str) -> tuple[float, int, str] | None:
+        """The entry of four letters of which one inner letter is a sign here."""
+        mask = DISGUISE.sub("?", whole[:4])
+        entry, stem = self.masked.get(mask, ("", False))
+        if not entry or len(whole) > 4 and not stem:
+            return None
+        exact = (self.lexicon.stems if stem else self.lexicon.terms)[entry]
+        return exact * self.lexicon.fuzzy.get((entry, 1), self.lexicon.trust), 1, entry
+
     def _search(self, word: str) -> tuple[float, int, str] | None:
         """Walk the trie with the automaton."""
         best: tuple[float, int, str] | None = None
@@ -158,21 +205,21 @@ def hits(text: str, matcher: Matcher) -> list[tuple[int, int, float, int]]:
     if len(low) != len(text):  # some letters grow when lowered: lower A-Z alone, so that offsets hold
         low = text.translate({c: c + 32 for c in range(65, 91)})
     known = {w for w in set(WORD.findall(low)) if matcher.search(w)}
-    if not known:
+    hidden = [(m.start() + a, m.start() + b, found) for m in CHAIN.finditer(low) for a, b, found in matcher.disguised(m[0])]
+    if not known and not hidden:
         return []
     quotes = quoted_ranges(low) if any(q in low for q in QUOTES) else []
     out = []
-    for m in WORD.finditer(low):
-        if m[0] in known:
-            share, distance, _ = matcher.search(m[0])
-            near = set(WORD.findall(low, max(0, m.start() - CONTEXT), m.start() + CONTEXT))
-            if any(a < m.start() < b for a, b in quotes):
-                share *= QUOTED
-            elif near & REPORTING and (low[m.start() - 1:m.start()] in "'‘*_" or low[m.end():m.end() + 1] in "'’*_"):
-                share *= REPORTED
-            elif near & ADDRESS:
-                share = min(1.0 - (1.0 - share) ** ADDRESSED, 0.999)
-            out.append((m.start(), m.end(), share, distance))
+    plain = [(m.start(), m.end(), matcher.search(m[0])) for m in WORD.finditer(low) if m[0] in known]
+    for start, end, (share, distance, _) in sorted(plain + hidden):
+        near = set(WORD.findall(low, max(0, start - CONTEXT), start + CONTEXT))
+        if any(a < start < b for a, b in quotes):
+            share *= QUOTED
+        elif near & REPORTING and (low[start - 1:start] in "'‘*_" or low[end:end + 1] in "'’*_"):
+            share *= REPORTED
+        elif near & ADDRESS:
+            share = min(1.0 - (1.0 - share) ** ADDRESSED, 0.999)
+        out.append((start, end, share, distance))
     return out
 
 
@@ -241,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             rows = []
             for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows += [(e, s, key, False) for e, s in entries_of(t) & known.value]
-                rows += [(w[:n], True, w, True) for w in set(WORD.findall(t.lower())) for n in range(SHORTEST, min(len(w), LONGEST) + 1) if (w[:n], True) in known.value]
+                rows += [(w[:n], True, w, True) for w in set(WORD.findall(t.lower())) for n in range(SHORTEST_STEM, min(len(w), LONGEST) + 1) if (w[:n], True) in known.value]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, (pa.string(), pa.bool_(), pa.string(), pa.bool_()))], names=["entry", "stem", "value", "form"])
 
     found = toxic.mapInArrow(places, "entry string, stem boolean, value string, form boolean").distinct().collect()
@@ -276,7 +323,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         def matched(column: pa.Array) -> list[pa.Array]:
             out = []
             for t in column.to_pylist():
-                found = [matcher.search(w) for w in set(WORD.findall(t.lower()))]
+                low = t.lower()
+                found = [matcher.search(w) for w in set(WORD.findall(low))] + [f for c in set(CHAIN.findall(low)) for _, _, f in matcher.disguised(c)]
                 out.append(sorted({f"{f[1]}{f[2]}" for f in found if f}) or ["9"])
             return [pa.array(out, pa.list_(pa.string()))]
 

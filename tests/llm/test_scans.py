@@ -107,6 +107,22 @@ def test_quotation_and_abuse(spark):
     assert out[3] < 0.7 and out[5] == out[6] == out[7] == LEXICON.base
 
 
+def test_words_disguised_by_digits_and_signs(spark):
+    lexicon = toxicity.Lexicon({"idiot": 0.99, "stupid": 0.98, "moron": 0.99, "scum": 0.97, "git": 0.96}, {}, base=0.01)
+    bad = ["id1ot", "st0pid", "m*ron", "i.d.i.o.t", "s-t-u-p-i-d", "a total-id1ot", "sc*m", "git", "m**ron"]
+    fine = ["more-on that", "it's digital", "gift", "id 1 ot", "mp3s and b2b", "scam", "sc-m"]
+    out = [r["toxicity"] for r in toxicity.score_toxicity(documents(spark, bad + fine), lexicon).orderBy("doc_id").collect()]
+    assert [s > 0.7 for s in out] == [True] * len(bad) + [False] * len(fine)
+    assert set(out[len(bad):]) == {lexicon.base}
+    spans = toxicity.score_toxicity(documents(spark, ["you total-id1ot, you"]), lexicon, spans="at").first()["at"]
+    assert [(r["start"], r["end"], r["distance"]) for r in spans] == [(10, 15, 1)]
+
+
+def test_terms_of_three_letters_are_learned(spark):
+    docs = documents(spark, [f"{PROSE[i:i + 60]} you git {i}" for i in range(30)] + [PROSE[i:i + 80] for i in range(60)])
+    assert "git" in toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") <= 30).cast("int").alias("toxic"))).terms
+
+
 def test_toxicity_learns_and_survives_edges(spark):
     bad = [f"{PROSE[i:i + 60]} you total moron {i}" for i in range(30)]
     fine = [PROSE[i:i + 80] for i in range(60)]
