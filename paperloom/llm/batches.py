@@ -27,7 +27,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its ``n + 1`` offsets; a null counts as empty."""
     if column.null_count:
         column = pc.fill_null(column, "")
-    column = column.cast(pa.large_binary() if pa.types.is_binary(column.type) else pa.large_string())
+    raw = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = column.cast(pa.large_binary() if raw else pa.large_string())
     _, where, data = column.buffers()
     offsets = np.frombuffer(where, np.int64)[column.offset:column.offset + len(column) + 1] if where else np.zeros(1, np.int64)
     data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
@@ -105,7 +106,9 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, width: int) -> t
     return out, row, start, span[row]
 
 
-def append_columns(df: DataFrame, text: str, fields: list[T.StructField], prepare: Callable, keep: list[str] | None = None) -> DataFrame:
+def append_columns(
+    df: DataFrame, text: str, fields: list[T.StructField], prepare: Callable, keep: list[str] | None = None, part_rows: int = PART_ROWS
+) -> DataFrame:
     """Rows of ``df`` (its ``keep`` columns, or all) with computed columns.
 
     ``prepare()`` runs once in each task and returns a function that gets the string
@@ -124,8 +127,8 @@ def append_columns(df: DataFrame, text: str, fields: list[T.StructField], prepar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = prepare()
         for whole in batches:
-            for start in range(0, whole.num_rows, PART_ROWS):  # few texts at a time as Python objects
-                batch = whole.slice(start, PART_ROWS)
+            for start in range(0, whole.num_rows, part_rows):  # few texts at a time as Python objects
+                batch = whole.slice(start, part_rows)
                 made = compute(batch.column(at))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=[*kept, *[f.name for f in fields]])
 

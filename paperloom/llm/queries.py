@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from public_tokenizers import PATTERN
+from public_tokenizers import path as vocabulary
 
-from paperloom.llm import chat_format, decontaminate, fingerprint, language, mixing, near_dedup, quality, secrets, suffix_dedup, toxicity
+from paperloom.llm import align, chat_format, decontaminate, fingerprint, language, mixing, near_dedup, quality, secrets, suffix_dedup, tokens, toxicity
 from paperloom.sources.tables import load
 
 THRESHOLD = 0.7
@@ -119,3 +121,27 @@ def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_phrase_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.beside_next(load(spark, folder, "documents"))
+
+
+def digest(ids: Column) -> Column:
+    """Hex digest of decimal ids joined by one space."""
+    return F.sha2(F.array_join(ids.cast("array<string>"), " ").cast("binary"), 256)
+
+
+@query
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents").select("doc_id", "text")
+    spec = tokens.from_ranks(vocabulary("byte_bpe_50k.tiktoken"), PATTERN)
+    coded = tokens.encode_bpe(docs, spec, spans=True, keep=["doc_id"]).select("doc_id", "ids", "n_split")
+    return tokens.decode_bpe(coded, spec).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_split"
+    )
+
+
+@query
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents").select("doc_id", "text")
+    with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as a, open(vocabulary("piece_bpe_32k.model"), "rb") as b:
+        out = align.align(docs, a.read(), b.read(), keep=["doc_id"])
+    spelled = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    return out.select("doc_id", *align.SUMS, spelled.alias("groups_sha256"))
