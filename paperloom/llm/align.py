@@ -87,7 +87,7 @@ class Links:
             bounds, per_row = np.append(shifted[:-1][filled], len(joined)), filled.astype(np.int64)
         index, different = distinct_stretches(joined, bounds)
         texts = different.cast(pa.large_string()).to_pylist()
-        a, n_a = tools.a.encode(texts)
+        a, n_a = tools.a.encode_stretches(different)
         pieces = tools.b.encode([t[1:] for t in texts], num_threads=1) if texts else []
         n_b = np.fromiter(map(len, pieces), np.int64, len(pieces))
         b = np.fromiter((i for p in pieces for i in p), np.int64, int(n_b.sum()))

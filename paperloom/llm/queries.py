@@ -132,7 +132,7 @@ def digest(ids: Column) -> Column:
 def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = load(spark, folder, "documents").select("doc_id", "text")
     spec = tokens.from_ranks(vocabulary("byte_bpe_50k.tiktoken"), PATTERN)
-    coded = tokens.encode_bpe(docs, spec, spans=True, keep=["doc_id"]).select("doc_id", "ids", "n_split")
+    coded = tokens.encode_bpe(docs, spec, spans=("n_split",), keep=["doc_id"]).select("doc_id", "ids", "n_split")
     return tokens.decode_bpe(coded, spec).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_split"
     )

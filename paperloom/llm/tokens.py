@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 
 from paperloom.llm.batches import append_columns, slices, text_bytes
 
-SLICE_BYTES = 8 << 20
-BATCH_ROWS = 20_000
+SLICE_BYTES = 4 << 20
+BATCH_ROWS = 2_000
+JOINED_BYTES = 1 << 16
 INT_MAX = 2**31 - 1
 
 
@@ -104,11 +105,36 @@ class ByteTokenizer:
         count = np.fromiter(map(len, made), np.int64, len(made))
         return np.fromiter(chain.from_iterable(made), np.int64, int(count.sum())), count
 
+    def encode_stretches(self, different: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for stretches.  Those that may follow each other are joined into fewer, longer texts and cut apart by their bytes."""
+        data, offsets = text_bytes(different)
+        first, last = data[offsets[:-1]], offsets[1:] - 1
+        joins = (first == 32) | ((first >= 9) & (first <= 13))
+        joins &= visible(data[last], np.where(last > offsets[:-1], data[last - 1], 0))
+        together = different.filter(pa.array(joins))
+        joined, ends = text_bytes(together)
+        texts = [joined[ends[a]:ends[b]].tobytes().decode() for a, b in slices(ends, JOINED_BYTES)]
+        ids, _ = self.encode(texts)
+        bytes_before = row_offsets(self.size[ids])
+        at = np.searchsorted(bytes_before, ends)
+        if not np.array_equal(bytes_before[at], ends):
+            raise ValueError("a token crosses a cut")
+        alone, n_alone = self.encode(different.filter(pa.array(~joins)).cast(pa.large_string()).to_pylist())
+        count, start = np.empty(len(different), np.int64), np.empty(len(different), np.int64)
+        count[joins], count[~joins] = np.diff(at), n_alone
+        start[joins], start[~joins] = at[:-1], starts_of(n_alone) + len(ids)
+        return np.concatenate([ids, alone])[expand(start, count)], count
+
 
 def byte_tokenizer(spec: str) -> ByteTokenizer:
     return once(("byte", hash(spec), len(spec)), lambda: ByteTokenizer(spec))
 
 
+def visible(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Whether a character ends here that is visible ASCII or one of U+00C0 to U+07FF, none of which is white space."""
+    return ((last > 32) & (last < 127)) | ((last >= 0x80) & (before >= 0xC3) & (before <= 0xDF))
+
+
 def stretches(data: np.ndarray, offsets: np.ndarray, spaces_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Bounds of the stretches of all rows, and how many each row has (an empty row none).
 
@@ -122,7 +148,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, spaces_only: bool = False)
         cut |= (data >= 9) & (data <= 13)
     before, second = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
     before[1:], second[2:] = data[:-1], data[:-2]
-    cut &= ((before > 32) & (before < 127)) | ((before >= 0x80) & (second >= 0xC3) & (second <= 0xDF))
+    cut &= visible(before, second)
     if spaces_only:
         ends = offsets[1:][offsets[1:] > offsets[:-1]]
         cut[ends - 1] = False
@@ -157,7 +183,7 @@ def encode_rows(tokenizer: ByteTokenizer, data: np.ndarray, offsets: np.ndarray)
     """Ids of all rows in one array, and how many each row has."""
     bounds, per_row = stretches(data, offsets)
     index, different = distinct_stretches(data, bounds)
-    ids, count = tokenizer.encode(different.cast(pa.large_string()).to_pylist())
+    ids, count = tokenizer.encode_stretches(different)
     own = count[index]
     return ids[expand(starts_of(count)[index], own)], np.diff(row_offsets(own)[row_offsets(per_row)])
 
@@ -180,17 +206,21 @@ def int_lists(values: np.ndarray, count: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(row_offsets(count), pa.int32()), pa.array(values, pa.int32()))
 
 
-def encode_bpe(df: DataFrame, spec: str, text: str = "text", ids: str = "ids", spans: bool = False, keep: list[str] | None = None) -> DataFrame:
+SPANS = ("char_starts", "char_ends", "n_split")
+
+
+def encode_bpe(
+    df: DataFrame, spec: str, text: str = "text", ids: str = "ids", spans: tuple[str, ...] = (), keep: list[str] | None = None
+) -> DataFrame:
     """``df`` with the token ids of every whole text; ``spec`` is the JSON of a byte-level tokenizer.
 
-    ``spans`` adds ``char_starts`` and ``char_ends`` (code points, end exclusive) and
+    ``spans`` adds any of ``char_starts`` and ``char_ends`` (code points, end exclusive) and
     ``n_split``, the tokens that start or end inside a character.  A null or empty text has an
     empty list.  Strings of special tokens are plain text.  Rows, repeated ones included, stay in
     place; other columns pass, one that has the name of a new column is replaced.
     """
-    lists = [ids, *(["char_starts", "char_ends"] if spans else [])]
-    fields = [T.StructField(c, T.ArrayType(T.IntegerType(), False), False) for c in lists]
-    fields += [T.StructField("n_split", T.LongType(), False)] if spans else []
+    numbers = T.ArrayType(T.IntegerType(), False)
+    fields = [T.StructField(c, T.LongType() if c == "n_split" else numbers, False) for c in (ids, *spans)]
 
     def prepare() -> Callable[[pa.Array], list[pa.Array]]:
         tokenizer = byte_tokenizer(spec)
@@ -201,13 +231,14 @@ def encode_bpe(df: DataFrame, spec: str, text: str = "text", ids: str = "ids", s
             for a, b in slices(offsets, SLICE_BYTES):
                 own, at = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
                 found, count = encode_rows(tokenizer, own, at)
-                made = [int_lists(found, count)]
+                made = {"ids": int_lists(found, count)}
                 if spans:
                     first, last, split = character_spans(own, at, tokenizer.size[found], count)
-                    made += [int_lists(first, count), int_lists(last, count), pa.array(np.diff(row_offsets(split)[row_offsets(count)]))]
-                for k, part in enumerate(made):
-                    parts[k].append(part)
-            kinds = [pa.list_(pa.int32())] * len(lists) + [pa.int64()] * spans
+                    made |= {"char_starts": int_lists(first, count), "char_ends": int_lists(last, count)}
+                    made["n_split"] = pa.array(np.diff(row_offsets(split)[row_offsets(count)]))
+                for part, name in zip(parts, ("ids", *spans)):
+                    part.append(made[name])
+            kinds = [pa.int64() if f.name == "n_split" else pa.list_(pa.int32()) for f in fields]
             return [pa.concat_arrays(p) if p else pa.array([], kind) for p, kind in zip(parts, kinds)]
 
         return compute

@@ -53,7 +53,7 @@ def test_ids_bytes_and_spans_equal_the_rank_library(spark, spec):
     plain = tiktoken.Encoding("plain", pat_str=vocabularies.PATTERN, mergeable_ranks=ranks, special_tokens={})
     byte_of = {i: b for b, i in ranks.items()}
     texts = odd_texts()
-    coded = tokens.encode_bpe(rows.documents(spark, texts), spec, spans=True)
+    coded = tokens.encode_bpe(rows.documents(spark, texts), spec, spans=tokens.SPANS)
     got = tokens.decode_bpe(coded, spec, text="back").collect()
     assert len(got) == len(texts)
     for row in got:
@@ -92,7 +92,7 @@ def test_awkward_rows_and_empty_tables(spark, spec, byte_json, pieces):
     df = rows.awkward(spark)
     coded = tokens.decode_bpe(tokens.encode_bpe(df.withColumn("ids", F.lit("x")), spec), spec)
     assert coded.count() == df.count() and set(df.columns) <= set(coded.columns) and coded.where("decoded <> cast(coalesce(text, '') AS binary)").isEmpty()
-    assert tokens.decode_bpe(tokens.encode_bpe(rows.empty(spark), spec, spans=True), spec).isEmpty()
+    assert tokens.decode_bpe(tokens.encode_bpe(rows.empty(spark), spec, spans=tokens.SPANS), spec).isEmpty()
     linked = align.align(df.withColumn("n_a", F.lit("x")), byte_json, pieces)
     assert linked.count() == df.count() and set(df.columns) <= set(linked.columns)
     assert linked.where("text is null or text = ''").agg(F.sum("n_links"), F.max("groups")).first()[:] == (0, "")
