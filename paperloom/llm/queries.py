@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from public_tokenizers import PATTERN
 from public_tokenizers import path as vocabulary
 
-from paperloom.llm import align, chat_format, decontaminate, fingerprint, language, mixing, near_dedup, quality, secrets, suffix_dedup, tokens, toxicity
+from paperloom.llm import align, chat_format, decontaminate, fingerprint, hard_negatives, language, mixing, near_dedup, quality, secrets, suffix_dedup, tokens, toxicity
 from paperloom.sources.tables import load
 
 THRESHOLD = 0.7
@@ -44,6 +44,18 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(17 + length(role) + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;')))::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id"""
 
+ORACLES["op11_hard_negatives"] = """WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3"""
+
 
 def fold(of: int, key: str | Column = "doc_id") -> Column:
     """The fold of a document: its id as text, hashed."""
@@ -123,6 +135,13 @@ def op10_phrase_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.beside_next(load(spark, folder, "documents"))
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = load(spark, folder, "embeddings")
+    changed = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(changed, "vec_id", "embedding", "label", F.col("vec_id") % 50 == 0)
+
+
 def digest(ids: Column) -> Column:
     """Hex digest of decimal ids joined by one space."""
     return F.sha2(F.array_join(ids.cast("array<string>"), " ").cast("binary"), 256)
