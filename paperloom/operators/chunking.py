@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from paperloom import kernels
 from paperloom.functions import text as tx
 from paperloom.functions.binding import let, unnest
+from paperloom.functions.tokens import BytePairTokens
 from paperloom.settings import ChunkSettings
 
 CHUNK = "struct<content:string,section_title:string,chunk_type:string,form:string,token_count:int>"
@@ -49,20 +50,26 @@ def _units(max_tokens: int, count: Callable[[Column], Column]) -> Column:
 
 
 def chunk_documents(
-    docs: DataFrame, settings: ChunkSettings = ChunkSettings(), *, key: str = "paper_id", count: Callable[[Column], Column] = tx.word_count,
+    docs: DataFrame, settings: ChunkSettings = ChunkSettings(), *, key: str = "paper_id",
+    count: Callable[[Column], Column] | BytePairTokens = tx.word_count,
 ) -> DataFrame:
     """Chunk rows of ``(key, abstract, sections[, equations])``.
 
     ``sections`` is ``array<struct<title, paragraphs:array<string>>>``.  ``count``
-    is the tokenizer; white-space words unless another column function is given.
+    is the tokenizer: white-space words, another column function that sizes a text, or
+    byte-pair tokens, which also decide where overlaps begin and long sentences end.
     """
+    pairs = count if isinstance(count, BytePairTokens) else None
     # A document without a list has an empty one; so has a section.
     lists = {c: F.coalesce(c, F.array().cast(docs.schema[c].dataType)) for c in ("sections", "equations") if c in docs.columns}
     docs = docs.withColumns(lists)
     filled = F.transform(F.filter("sections", lambda s: s.isNotNull()), lambda s: s.withField("paragraphs", F.filter(
         F.coalesce(s["paragraphs"], F.array().cast("array<string>")), lambda p: p.isNotNull())))
     docs = docs.withColumn("sections", filled)
-    rows = docs.withColumn("__units", _units(settings.max_tokens, count))
+    if pairs is None:
+        rows = docs.withColumn("__units", _units(settings.max_tokens, count))
+    else:
+        rows = docs.withColumn("__units", pairs.units(F.transform("sections", lambda s: s["paragraphs"]), settings.max_tokens))
     u = F.col("__units")
     pack = kernels.pack_udf(settings.max_tokens, settings.overlap_tokens, settings.min_tokens)
     rows = rows.withColumn(
@@ -70,12 +77,18 @@ def chunk_documents(
         pack(u["section"], u["paragraph"], u["kind"], u["size"]),
     )
 
-    def body(border: Column) -> Column:
+    if pairs is not None:
+        first = F.transform("__borders", lambda b: F.get(u, b["first"])["text"])
+        carried_from = F.transform("__borders", lambda b: F.coalesce(F.get(u, F.when(b["carry"] >= 0, b["carry"]))["text"], F.lit("")))
+        rows = rows.withColumn("__heads", pairs.heads(first, settings.max_tokens)).withColumn("__tails", pairs.tails(carried_from, settings.overlap_tokens))
+
+    def body(border: Column, i: Column) -> Column:
         texts = F.transform(F.slice(u, border["first"] + 1, border["last"] - border["first"] + 1), lambda x: x["text"])
         joined = F.when(border["form"] == "sentences", F.array_join(texts, " ")).otherwise(F.array_join(texts, "\n\n"))
-        carried = F.concat(tx.tail_tokens(F.get(u, border["carry"])["text"], settings.overlap_tokens), F.lit("\n\n"), joined)
+        tail = tx.tail_tokens(F.get(u, border["carry"])["text"], settings.overlap_tokens) if pairs is None else F.get("__tails", i)
+        carried = F.concat(tail, F.lit("\n\n"), joined)
         content = (
-            F.when(border["form"] == "truncated", tx.head_tokens(F.get(texts, F.lit(0)), settings.max_tokens))
+            F.when(border["form"] == "truncated", tx.head_tokens(F.get(texts, F.lit(0)), settings.max_tokens) if pairs is None else F.get("__heads", i))
             .when(border["carry"] >= 0, carried)
             .otherwise(joined)
         )
@@ -85,11 +98,18 @@ def chunk_documents(
     parts = [F.transform("__borders", body)]
     if settings.include_abstract and "abstract" in docs.columns:
         summary = tx.strip(F.coalesce(F.col("abstract"), F.lit("")))
-        long_enough = tx.word_count(summary) >= settings.min_tokens
+        long_enough = (tx.word_count(summary) >= settings.min_tokens) if pairs is None else F.length(summary) > 0
         parts.insert(0, F.when(long_enough, F.array(_chunk(summary, F.lit("Abstract"), "abstract", F.lit("abstract")))).otherwise(_no_chunks()))
     if settings.include_equations and "equations" in docs.columns:
-        parts.append(_equation_chunks(settings))
-    numbered = rows.select(key, let(F.concat(*parts), lambda cs: mark_overlaps(cs, settings.overlap_tokens)).alias("__chunks"))
+        parts.append(_equation_chunks(settings, sized=pairs is None))
+    made = F.concat(*parts)
+    if pairs is not None:  # sized after they are put together, then cut by their kind's least size
+        rows = rows.select(key, made.alias("__made"))
+        rows = rows.withColumn("__counts", pairs.counts(F.transform("__made", lambda c: c["content"])))
+        sized = F.zip_with("__made", "__counts", lambda c, n: c.withField("token_count", n))
+        least = lambda c: F.when(c["chunk_type"] == "abstract", settings.min_tokens).when(c["chunk_type"] == "equation", settings.equation_min_tokens).otherwise(0)
+        made = F.filter(sized, lambda c: c["token_count"] >= least(c))
+    numbered = rows.select(key, let(made, lambda cs: mark_overlaps(cs, settings.overlap_tokens)).alias("__chunks"))
     exploded = unnest(numbered, [key], F.col("__chunks"), "c", "chunk_index")
     return exploded.select(
         F.concat(F.col(key).cast("string"), F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"),
@@ -97,7 +117,7 @@ def chunk_documents(
     )
 
 
-def _equation_chunks(settings: ChunkSettings) -> Column:
+def _equation_chunks(settings: ChunkSettings, sized: bool = True) -> Column:
     """Only equations with a description; their contexts are quoted around it."""
     described = F.filter("equations", lambda e: F.length(tx.strip(F.coalesce(e["text_description"], F.lit("")))) > 0)
 
@@ -107,7 +127,7 @@ def _equation_chunks(settings: ChunkSettings) -> Column:
         return F.concat_ws("\n\n", before, tx.strip(e["text_description"]), after)
 
     chunks = F.transform(described, lambda e: _chunk(content(e), F.lit("Equation"), "equation", F.lit("equation")))
-    return F.filter(chunks, lambda c: c["token_count"] >= settings.equation_min_tokens)
+    return F.filter(chunks, lambda c: c["token_count"] >= settings.equation_min_tokens) if sized else chunks
 
 
 def mark_overlaps(chunks: Column, overlap: int) -> Column:

@@ -6,11 +6,13 @@ wrapped around the rows' own text, so what a parse must return is known.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from paperloom.functions import latex as lx
 from paperloom.functions import text as tx
 from paperloom.functions.binding import unnest
+from paperloom.functions.tokens import BytePairTokens
 from paperloom.operators import chunking, parsing, quality, sections
 from paperloom.plans.registry import query
 from paperloom.sources.tables import load, spread
@@ -366,6 +368,26 @@ def chunk_stats(spark, folder):
     return chunking.chunk_stats(chunking.chunk_documents(chunk_source(spark, folder), key="doc_id")).drop("with_overlap")
 
 
+def byte_pairs():
+    return BytePairTokens(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("bpe_tokens")
+def bpe_tokens(spark, folder):
+    """Byte-pair length of every text, its first 32 tokens and its last 50."""
+    tokens, text = byte_pairs(), F.col("text")
+    return documents(spark, folder).select(
+        "doc_id", tokens.count(text).alias("n_tokens"), F.md5(tokens.head(text, 32).cast("binary")).alias("head"), F.md5(tokens.tail(text, 50).cast("binary")).alias("tail")
+    )
+
+
+@query("bpe_chunks")
+def bpe_chunks(spark, folder):
+    """Chunks sized, cut and overlapped by byte-pair tokens."""
+    chunks = chunking.chunk_documents(chunk_source(spark, folder), key="doc_id", count=byte_pairs())
+    return chunks.select("doc_id", "chunk_id", "chunk_index", "form", "token_count", "char_count")
+
+
 def _sql_words(text):
     return rf"list_filter(regexp_split_to_array({text}, '\s+'), lambda w: w <> '')"
 
