@@ -1,91 +1,71 @@
-"""Which texts hold which passages, without comparing every pair."""
+"""Which texts hold which passages, without comparing every pair.
 
-from __future__ import annotations
+A text that holds a passage holds all byte windows of it.  Each passage is looked up by one of
+them, the one the corpus has least often by a sketch of fixed size, so a passage that begins with
+common words is not looked up by these.  Texts stay where they are: their scan hands on only
+windows that pass a bit filter of the anchors.  Candidates are then compared as whole texts.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from paperloom import kernels
-from paperloom.functions import text as tx
-from paperloom.functions.binding import unnest
-from paperloom.session import broadcast_if_small
-
-GRAM = 3
-# Passages up to this many characters in all travel to the tasks as one automaton.
-AUTOMATON_CHARS = 8_000_000
-
-
-def contains_join(docs: DataFrame, passages: DataFrame, *, doc_id: str, doc_text: str, passage_id: str, passage_text: str) -> DataFrame:
-    """Exact substring join ``(doc_id, passage_id)``.
-
-    A passage set of checked size is searched for in one pass over the texts,
-    which never move; a larger one goes through an equi-join on anchors.
-    """
-    asked = passages.where(F.length(passage_text) > 0).select(passage_id, passage_text)
-    size = asked.agg(F.coalesce(F.sum(F.length(passage_text)), F.lit(0)).alias("n")).first()["n"]
-    columns: dict[str, str] = {"doc_id": doc_id, "doc_text": doc_text, "passage_id": passage_id, "passage_text": passage_text}
-    if size <= AUTOMATON_CHARS and kernels.has_automaton():
-        return automaton_join(docs, asked, **columns)
-    return anchor_join(docs, asked, **columns)
-
+from paperloom.session import broadcast_if_small, cut_lineage
 
-def automaton_blocks(docs: DataFrame, passages: DataFrame, chars: int, **columns: str) -> DataFrame:
-    """One scan per block of passages; blocks are hash slices below the size limit."""
-    n_blocks = max(1, -(-2 * chars // AUTOMATON_CHARS)) if chars > AUTOMATON_CHARS else 1
-    slot = F.pmod(F.xxhash64(columns["passage_text"]), F.lit(n_blocks))
-    parts = [automaton_join(docs, passages if n_blocks == 1 else passages.where(slot == i), **columns) for i in range(n_blocks)]
-    return reduce(DataFrame.unionByName, parts)
+WIDEST = 32  # bytes of a window; shorter passages have the next smaller power of two
+SKETCH_BITS = 16
+BITS_PER_PASSAGE = 16
+FILTER_BITS = (1 << 12, 1 << 26)  # a filter beyond the greatest size lets more windows pass, none fewer
 
 
-def automaton_join(docs: DataFrame, passages: DataFrame, *, doc_id: str, doc_text: str, passage_id: str, passage_text: str) -> DataFrame:
-    """All passages at once, one scan of each text."""
-    rows = passages.select(passage_id, passage_text).collect()  # size checked by the caller
-    schema = T.StructType().add(doc_id, docs.schema[doc_id].dataType).add(passage_id, passages.schema[passage_id].dataType)
+def _grams_of(df: DataFrame, run, id_col: str) -> DataFrame:
+    schema = T.StructType().add(id_col, df.schema[id_col].dataType).add("width", T.IntegerType()).add("gram", T.LongType())
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
-    find = kernels.passage_scan([(r[0], r[1]) for r in rows], arrow)
-    return docs.where(F.col(doc_text).isNotNull()).select(doc_id, doc_text).mapInArrow(find, schema)
-
-
-def _grams(words: Column, n: int) -> Column:
-    return F.array_distinct(tx.shingles(words, n, " "))
+    return df.mapInArrow(run(arrow), schema)
+
+
+def corpus_counts(texts: DataFrame, passages: DataFrame) -> dict[int, np.ndarray]:
+    """Corpus frequencies by width and bucket; the buckets of the passages only, at most ``6 * 2**SKETCH_BITS`` numbers."""
+    wanted: dict[int, list[int]] = {}
+    for row in passages.mapInArrow(kernels.passage_buckets(WIDEST, SKETCH_BITS), "width int, bucket int").distinct().collect():
+        wanted.setdefault(row["width"], []).append(row["bucket"])
+    buckets = {width: np.array(sorted(at)) for width, at in wanted.items()}
+    counts = {width: np.zeros(1 << SKETCH_BITS, np.int64) for width in buckets}
+    counted = texts.mapInArrow(kernels.bucket_counts(buckets, SKETCH_BITS), "width int, bucket int, n long")
+    for row in counted.groupBy("width", "bucket").agg(F.sum("n").alias("n")).collect():
+        counts[row["width"]][row["bucket"]] = row["n"]
+    return counts
+
+
+def bit_filter(anchors: DataFrame, n: int) -> np.ndarray:
+    """One bit per anchor, as 64-bit words; its size follows the number of anchors up to a limit."""
+    size = FILTER_BITS[0]
+    while size < min(n * BITS_PER_PASSAGE, FILTER_BITS[1]):
+        size *= 2
+    place = F.col("gram").bitwiseAND(F.lit(size - 1))  # the size is a power of two
+    words = anchors.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(gram & 63 AS INT))")).alias("bits")).toPandas()
+    out = np.zeros(size // 64, np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
 
 
-def anchor_join(docs: DataFrame, passages: DataFrame, *, doc_id: str, doc_text: str, passage_id: str, passage_text: str) -> DataFrame:
-    """Substring join for passage sets of any size.
+def contains_join(docs: DataFrame, passages: DataFrame, *, doc_id: str, doc_text: str, passage_id: str, passage_text: str) -> DataFrame:
+    """Exact substring join: the distinct ``(doc_id, passage_id)``.
 
-    A text that holds a passage also holds the passage's inner words in a row
-    (its first and last word may be cut).  Each passage is looked up by one
-    anchor, its longest run of three inner words, through an equi-join on narrow
-    rows; only candidates are compared as whole texts.  Passages too short for a
-    run are anchored on one inner word; those without any go through automata.
+    Null texts and null or empty passages have no partner, nor have rows without an id.
     """
-    inner = tx.words(F.col(passage_text))
-    inner = F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))
-    keyed = passages.select(F.col(passage_id), F.col(passage_text).alias("__passage"), inner.alias("__inner"))
-    longest = lambda grams: F.element_at(F.array_sort(grams, lambda a, b: F.length(b) - F.length(a)), 1)
-
-    def candidates(n: int, which: Column) -> DataFrame:
-        anchors = keyed.where(which).select(passage_id, longest(_grams(F.col("__inner"), n)).alias("__gram"))
-        grams = unnest(docs, [doc_id], _grams(tx.words(F.col(doc_text)), n), "__gram")
-        return grams.join(anchors, "__gram").select(doc_id, passage_id)
-
-    size = F.size("__inner")
-    pairs = broadcast_if_small(candidates(GRAM, size >= GRAM).unionByName(candidates(1, (size >= 1) & (size < GRAM))))
-    texts = docs.select(doc_id, F.col(doc_text).alias("__text"))
-    near = texts.join(pairs, doc_id)
-    verified = near.join(keyed.select(passage_id, "__passage"), passage_id)
-    found = verified.where(F.contains("__text", F.col("__passage"))).select(doc_id, passage_id)
-    tiny = keyed.where(size < 1).select(passage_id, "__passage")
-    chars = tiny.agg(F.coalesce(F.sum(F.length("__passage")), F.lit(0)).alias("n")).first()["n"]
-    if chars == 0:
-        return found
-    if kernels.has_automaton():
-        direct = automaton_blocks(docs, tiny, chars, doc_id=doc_id, doc_text=doc_text, passage_id=passage_id, passage_text="__passage")
-    else:
-        direct = texts.join(tiny, F.contains("__text", F.col("__passage"))).select(doc_id, passage_id)
-    return found.unionByName(direct)
+    texts = docs.where(F.col(doc_text).isNotNull()).select(doc_id, F.col(doc_text).alias("__text"))
+    asked = passages.where(F.length(passage_text) > 0).select(passage_id, F.col(passage_text).alias("__passage"))
+    counts = corpus_counts(texts.select("__text"), asked)
+    anchors = cut_lineage(_grams_of(asked, lambda schema: kernels.rarest_grams(counts, WIDEST, SKETCH_BITS, schema), passage_id))
+    words = bit_filter(anchors, anchors.count())
+    hits = _grams_of(texts, lambda schema: kernels.filtered_grams(sorted(counts), words, schema), doc_id)
+    pairs = hits.join(broadcast_if_small(anchors), ["width", "gram"]).select(doc_id, passage_id).distinct()
+    near = texts.join(broadcast_if_small(pairs), doc_id).join(asked, passage_id)
+    return near.where(F.contains("__text", F.col("__passage"))).select(doc_id, passage_id).distinct()

@@ -22,7 +22,7 @@ from paperloom.functions import text as tx
 from paperloom.functions import vectors as vx
 from paperloom.functions.lexicon import STOP_WORDS
 from paperloom.operators.ranking import top_k, top_k_per_group
-from paperloom.session import broadcast_if_small
+from paperloom.session import broadcast_if_small, cut_lineage
 from paperloom.settings import DEFAULTS
 
 
@@ -98,6 +98,39 @@ def dense_search(
     return _finish(parts, k)
 
 
+JOIN_BLOCK_ROWS = 4096
+
+
+def _packed(rows: DataFrame, id_col: str, vector_col: str, dim: int, n: int, prefix: str) -> tuple[DataFrame, int]:
+    """Vectors in blocks of about ``JOIN_BLOCK_ROWS``, one row a block: ``block, ids, values``."""
+    blocks = 1 + n // JOIN_BLOCK_ROWS
+    own = rows.where(vx.has_dimension(F.col(vector_col), dim)).select(F.col(id_col).alias("id"), vx.as_doubles(F.col(vector_col)).alias("v"))
+    own = own.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)))
+    kept = own.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    packed = kept.select(
+        F.col("block").alias(f"{prefix}_block"), F.col("rows.id").alias(f"{prefix}_ids"), F.flatten("rows.v").alias(f"{prefix}_values")
+    )
+    return cut_lineage(packed), blocks
+
+
+def dense_join(
+    vectors: DataFrame, queries: DataFrame, k: int, dim: int, *, id_col: str = "chunk_id", vector_col: str = "embedding", threshold: float | None = None,
+) -> DataFrame:
+    """``dense_search`` for a query set as large as the corpus: no vector reaches the driver.
+
+    Both sides are packed into blocks by hash.  Every block of queries meets every block of rows
+    once, as two rows of some megabytes and one matrix product, and keeps ``k`` rows per query.
+    """
+    left, n_left = _packed(queries, "query_id", "query_vector", dim, queries.count(), "query")
+    right, n_right = _packed(vectors, id_col, vector_col, dim, vectors.count(), "row")
+    # A hash of the pair deals the pairs over all tasks, where a join on one block number would gather them.
+    met = left.withColumn("row_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_right - 1).cast("long"))))
+    copies = right.withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_left - 1).cast("long"))))
+    schema = _leg_schema(queries.schema["query_id"].dataType, vectors.schema[id_col].dataType)
+    pairs = met.join(copies, ["query_block", "row_block"]).select("query_ids", "query_values", "row_ids", "row_values")
+    return _finish([pairs.mapInArrow(kernels.block_pairs(dim, k, threshold, _arrow(schema)), schema)], k)
+
+
 def equation_search(equations: DataFrame, queries: DataFrame, k: int, dim: int, *, threshold: float | None = None) -> DataFrame:
     """Best described equations for each query vector: ``(query_id, chunk_id, score, rank)`` and the equation's columns.
 

@@ -76,7 +76,7 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id):
 def dense_neighbours(spark, folder):
     vectors = load(spark, folder, "embeddings")
     queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    hits = search.dense_search(vectors, queries, 5, fx.EMBED_DIM, id_col="vec_id")
+    hits = search.dense_join(vectors, queries, 5, fx.EMBED_DIM, id_col="vec_id")
     return hits.withColumnRenamed("chunk_id", "vec_id")
 
 

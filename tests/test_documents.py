@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -9,7 +11,6 @@ from paperloom import kernels
 from paperloom.functions import latex as lx
 from paperloom.functions import text as tx
 from paperloom.operators import chunking, containment, parsing, quality, sections
-from paperloom.operators.containment import anchor_join, automaton_join
 from paperloom.settings import ChunkSettings
 from paperloom.sources import files
 
@@ -154,23 +155,37 @@ def test_equation_chunks(spark):
     assert len(got) == 1 and got[0]["content"].startswith("Context: before\n\na described")
 
 
-def test_containment_paths_agree(spark):
+@pytest.mark.parametrize("sketch,bits", [(16, (1 << 12, 1 << 26)), (1, (64, 64))])
+def test_containment_equals_every_pair(spark, monkeypatch, sketch, bits):
+    """Passages of every length class, repeated ones, ones that span words; with a sketch and a filter too small to tell them apart, too."""
+    monkeypatch.setattr(containment, "SKETCH_BITS", sketch)
+    monkeypatch.setattr(containment, "FILTER_BITS", bits)
     rnd = random.Random(5)
-    vocab = ["ab", "abc", "bc", "x", "yy", "zzz"]
-    docs = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 30)))) for i in range(60)]
+    vocab = ["ab", "abc", "bc", "x", "yy", "zzz", "ünï", "😀"]
+    docs = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 60)))) for i in range(60)] + [(60, None), (61, ""), (None, "ab abc")]
     passages = []
-    for i in range(25):
+    for i in range(40):
         text = docs[rnd.randrange(60)][1]
         a = rnd.randint(0, max(0, len(text) - 2))
-        passages.append((100 + i, text[a : a + rnd.randint(1, 30)] or "q"))
-    want = {(d, p) for d, t in docs for p, s in passages if s in t}
-    d = spark.createDataFrame(docs, "doc_id int, text string")
+        passages.append((100 + i, text[a : a + rnd.choice([1, 2, 3, 5, 9, 17, 33, 60])] or "q"))
+    passages += [(200, "nowhere to be found"), (201, passages[0][1]), (202, ""), (203, None), (None, "ab"), (204, docs[3][1] + "!")]
+    want = {(d, p) for d, t in docs for p, s in passages if t and s and d is not None and p is not None and s in t}
+    d = spark.createDataFrame(docs, "doc_id int, text string").repartition(3)
     p = spark.createDataFrame(passages, "item_id int, passage string")
     columns = dict(doc_id="doc_id", doc_text="text", passage_id="item_id", passage_text="passage")
-    blocks = lambda d, p, **c: containment.automaton_blocks(d, p, 40_000_000, **c)
-    for join in (automaton_join, anchor_join, blocks):
-        got = join(d, p, **columns).collect()
-        assert len(got) == len(want) and {(r["doc_id"], r["item_id"]) for r in got} == want
+    got = containment.contains_join(d, p, **columns).collect()
+    assert len(got) == len(want) and {(r["doc_id"], r["item_id"]) for r in got} == want
+    assert containment.contains_join(d, p.limit(0), **columns).isEmpty() and containment.contains_join(d.limit(0), p, **columns).isEmpty()
+
+
+def test_anchor_is_the_rarest_window(spark):
+    """A passage that begins like every text is looked up by its own words."""
+    docs = spark.createDataFrame([(i, "a very common beginning of all texts here " + "tail" * (i % 3)) for i in range(50)], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, "of all texts here tailtail"), (2, "a very common beginning of all texts here XQ")], "item_id int, passage string")
+    counts = containment.corpus_counts(docs.select("text"), asked)
+    assert set(counts) == {16, 32} and max(counts[16].max(), counts[32].max()) >= 50
+    got = containment.contains_join(docs, asked, doc_id="doc_id", doc_text="text", passage_id="item_id", passage_text="passage").collect()
+    assert {r["doc_id"] for r in got} == {i for i in range(50) if i % 3 == 2} and {r["item_id"] for r in got} == {1}
 
 
 def test_unicode_space_and_words(spark):
