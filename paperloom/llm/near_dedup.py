@@ -56,30 +56,31 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, digest, keys, signature``: 128 bits tell equal sets, one byte is kept of each minimum."""
+    """``doc_id, text_key, n_shingles, digest, keys, signature``: 128 bits tell equal sets, one byte is kept of each minimum."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, digest, keys, signature = [], [], [], []
-            for s in sets_of(batch.column(1), width):
+            for s in sets_of(batch.column(2), width):
                 n.append(len(s))
                 digest.append(mix(s).sum(dtype=np.uint64).tobytes() + mix(mix(s) ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).tobytes() + len(s).to_bytes(8, "big"))
                 least = minima(s) if len(s) else None
                 keys.append(np.zeros(0, np.int64) if least is None else band_keys(least).view(np.int64))
                 signature.append(b"" if least is None else least.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(signature, pa.binary())], names=["doc_id", "n_shingles", "digest", "keys", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(signature, pa.binary())], names=["doc_id", "text_key", "n_shingles", "digest", "keys", "signature"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, signature binary")
+    return docs.mapInArrow(run, "doc_id long, text_key long, n_shingles long, digest binary, keys array<long>, signature binary")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """``doc_id, members`` (the whole sorted set as bytes) of the listed documents."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """``doc_id, members`` (the whole sorted set as bytes) of the listed nodes, each read from the row ``reps`` names."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s.tobytes() for s in sets_of(batch.column(1), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "members"])
 
-    listed = broadcast_if_small(ids.distinct(), BROADCAST_IDS)
-    return docs.join(listed, "doc_id", "left_semi").mapInArrow(run, "doc_id long, members binary").dropDuplicates(["doc_id"])
+    listed = reps.join(ids.distinct(), reps["node"] == ids["doc_id"], "left_semi").select("node", "row.doc_id", "row.text_key")
+    own = docs.join(broadcast_if_small(listed, BROADCAST_IDS), ["doc_id", "text_key"]).select(F.col("node").alias("doc_id"), "text")
+    return own.mapInArrow(run, "doc_id long, members binary").dropDuplicates(["doc_id"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -208,11 +209,13 @@ def crossed(members: DataFrame, judge_of, percent: int, links: bool) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
+    """``doc_id, n_shingles, component_id, kept, text_key, first`` of every row of ``docs``.
 
     Texts are words (ASCII letters in lower case) in shingles of ``width``; documents are
     linked if their sets share ``percent`` hundredths of their union, and a component is
-    named by its smallest id.  Equal sets are one node from the start.  Of the others,
+    named by its smallest id.  A node is a distinct set, so an id that stands over two texts
+    has two nodes and two decisions.  ``text_key`` is the hash of the row's text; ``first`` marks the
+    rows of the smallest ``doc_id, text_key`` of a component.  Of the nodes,
     those that share a band of minima (36 bands of 6: a pair at 85 % is missed with odds of
     4e-8, one at 80 % of 2e-5) are candidates.  First each bucket's members are compared
     with its smallest; then, in buckets that this leaves in several components, every
@@ -222,36 +225,41 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     null key (its component is null, and it is kept); a repeated row is returned as often;
     an empty table gives an empty one.
     """
-    rows = docs.select(docs[f"`{key}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].alias("text"))
+    text_of = F.xxhash64(docs[f"`{text}`"])
+    rows = docs.select(docs[f"`{key}`"].cast("long").alias("doc_id"), text_of.alias("text_key"), docs[f"`{text}`"].alias("text"))
     facts = cut_lineage(described(rows, width))
     known = facts.where("doc_id IS NOT NULL AND n_shingles > 0")
-    same = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    # One node per distinct set, with its bucket keys.
-    nodes = known.join(same, (known["digest"] == same["digest"]) & (known["doc_id"] == same["rep"]), "left_semi").dropDuplicates(["doc_id"])
+    # One node per distinct set, named by its digest and read from its first row.
+    reps = cut_lineage(known.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("row")).withColumn("node", F.xxhash64("digest")))
+    named = known.join(reps, (known["digest"] == reps["digest"]) & (known["doc_id"] == F.col("row.doc_id")) & (known["text_key"] == F.col("row.text_key")))
+    nodes = named.select(F.col("node").alias("doc_id"), "keys", "signature").dropDuplicates(["doc_id"])
     slots = nodes.select("doc_id", F.explode("keys").alias("bucket"))
     full = slots.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = cut_lineage(slots.join(full, "bucket").select("bucket", "doc_id", "a"))
     signatures = cut_lineage(nodes.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "signature"))
     stars = cut_lineage(alike(buckets.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct(), signatures, percent))
     known_rows = rows.where("doc_id IS NOT NULL")
-    sets = shingle_sets(known_rows, stars.select(F.explode(F.array("a", "b")).alias("doc_id")), width)
+    sets = shingle_sets(known_rows, stars.select(F.explode(F.array("a", "b")).alias("doc_id")), reps, width)
     links = cut_lineage(confirmed(stars, cut_lineage(sets), percent))
     found = components(links)
 
     labelled = buckets.join(found, buckets["doc_id"] == found["node"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    sizes = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).alias("mark"))
-    split = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.sum("mark").alias("mark"))
-    # Two members have been compared already; buckets of the same members are looked at once.
-    split = split.where("kinds > 1 AND n > 2").groupBy("n", "mark").agg(F.min(F.struct("bucket", "main")).alias("x")).select("x.bucket", "x.main", "n")
+    sizes = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(f"mark{i}") for i in (0, 1)])
+    split = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.bit_xor("mark0").alias("mark0"), F.bit_xor("mark1").alias("mark1"))
+    # Two members have been compared already; buckets of the same members, told by 128 bits, are looked at once.
+    split = split.where("kinds > 1 AND n > 2").groupBy("n", "mark0", "mark1").agg(F.min(F.struct("bucket", "main")).alias("x")).select("x.bucket", "x.main", "n")
     open_ = cut_lineage(labelled.join(split, "bucket").select("bucket", "doc_id", "component", "main", "n"))
     met = cut_lineage(crossed(open_.join(signatures.withColumnRenamed("signature", "payload"), "doc_id"), signature_judge, percent, links=False).distinct())
-    sets = shingle_sets(known_rows, met, width).withColumnRenamed("members", "payload")
+    sets = shingle_sets(known_rows, met, reps, width).withColumnRenamed("members", "payload")
     more = crossed(open_.join(sets, "doc_id"), set_judge, percent, links=True)
     found = components(found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
 
-    # Class of every distinct set: its node's component.
-    classes = same.join(found, same["rep"] == found["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    named = facts.join(classes, "digest", "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id")).withColumn(
+    # Class of every distinct set: the first row of its node's component.
+    classes = reps.join(found.withColumnRenamed("node", "found"), F.col("node") == F.col("found"), "left").select("digest", "row", F.coalesce("component", "node").alias("component"))
+    heads = classes.groupBy("component").agg(F.min("row").alias("head"))
+    judged = facts.select("doc_id", "text_key", "n_shingles", "digest").join(classes.join(heads, "component").select("digest", "head"), "digest", "left")
+    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    component = F.when(linked, F.col("head.doc_id")).otherwise(F.col("doc_id"))
+    first = ~linked | ((F.col("doc_id") == F.col("head.doc_id")) & (F.col("text_key") == F.col("head.text_key")))
+    return judged.select("doc_id", "n_shingles", component.alias("component_id"), "text_key", first.alias("first")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -82,7 +82,8 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return near_dedup.near_duplicates(load(spark, folder, "documents"), width=3, percent=85)
+    out = near_dedup.near_duplicates(load(spark, folder, "documents"), width=3, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query

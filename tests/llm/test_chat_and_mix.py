@@ -121,6 +121,14 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect() if r["doc_id"] <= 46} == {41, 44, 45, 46}
 
 
+def test_near_dedup_stage_keeps_the_clean_text_of_a_repeated_id(spark, tmp_path):
+    lone = "quite another text that nothing else in the table holds, not even in part, one would hope"
+    docs = documents(spark, [PROSE * 2, PROSE * 2, lone, lone, None, None], doc_id=[1, 2, 2, 2, None, None])
+    out = corpus_pipeline.near_dedup_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in out if r["doc_id"]) == [(1, PROSE * 2), (2, lone)]
+    assert sum(r["doc_id"] is None for r in out) == 2
+
+
 def test_pipeline_on_awkward_tables(spark, tmp_path):
     write(spark.createDataFrame([], "doc_id long, quality int, toxic int"), tmp_path, "labels")
     write(spark.createDataFrame([], "item_id long, text string"), tmp_path, "benchmark")
@@ -134,4 +142,4 @@ def test_pipeline_on_awkward_tables(spark, tmp_path):
 
 def test_contract_has_all_queries():
     names = contract.queries()
-    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))

@@ -67,6 +67,35 @@ def test_near_dedup_edges(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_an_id_over_two_texts_has_two_decisions(spark):
+    copy, lone = PROSE * 2, "quite another text that nothing else in the table holds, not even in part, one would hope"
+    near = copy.replace("grey", "dark")
+    for table in ([(1, copy), (2, copy), (2, lone)], [(2, lone), (2, copy), (1, copy)], [(5, copy), (5, near), (7, lone)]):
+        out = near_dedup.near_duplicates(documents(spark, [t for _, t in table], doc_id=[i for i, _ in table]), percent=70).collect()
+        assert len(out) == 3
+        firsts = sorted(r["doc_id"] for r in out if r["first"])
+        assert firsts == ([1, 2] if table[0][0] != 5 else [5, 7])
+
+
+def test_planted_near_copies_are_found(spark):
+    """Pairs around the threshold: every one at or above it is linked, none below."""
+    import random
+
+    pick = random.Random(11)
+    texts, planted = [], []
+    for k in range(120):
+        words = [f"w{pick.randrange(10**6)}" for _ in range(200)]
+        edited = list(words)
+        for _ in range(1 + k % 9):
+            edited[pick.randrange(200)] = f"e{pick.randrange(10**6)}"
+        planted.append((len(texts) + 1, len(texts) + 2))
+        texts += [" ".join(words), " ".join(edited)]
+    want = brute_components(texts, 5, 80)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(documents(spark, texts)).collect()}
+    linked = [p for p in planted if want[p[1]][0] == p[0]]
+    assert 40 < len(linked) < len(planted) and got == {i: c for i, (c, _) in want.items()}
+
+
 def test_star_components_of_chains_and_hubs(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     hub = [(1, i) for i in range(2, 60)] + [(5, 5), (None, 3), (7, None)]
