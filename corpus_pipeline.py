@@ -31,10 +31,16 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Keep the smallest id of each group of near copies; of rows that repeat an id and its text, one stays."""
-    judged = cut_lineage(near_dedup.near_duplicates(docs).select("doc_id", "kept"))
-    kept = without(docs, judged.where(~F.col("kept")))
-    if judged.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+    """Keep the first of each group of near copies: the smallest id, and its smallest text hash where it has several texts.
+
+    Decisions are taken by id and text, so an id that stands over two texts may keep one of
+    them.  Of rows that repeat both, one stays; rows without an id all stay.
+    """
+    judged = cut_lineage(near_dedup.near_duplicates(docs).select("doc_id", "text_key", "first").where("doc_id IS NOT NULL"))
+    dropped = judged.where(~F.col("first")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    same = (docs["doc_id"].cast("long") == dropped["__id"]) & (F.xxhash64(docs["text"]) == dropped["__key"])
+    kept = docs.join(dropped, same, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    if judged.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
         return kept
     # Repeated rows meet by id and text alone, so that a null id never does.
     own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("r"), F.monotonically_increasing_id().cast("string")))
