@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom import kernels, schemas
 from paperloom.functions.binding import unnest
-from paperloom.operators import search
+from paperloom.operators import search, vector_index
 from paperloom.plans import fixtures as fx
 from paperloom.plans import limiter_queries, search_queries  # noqa: F401  (their oracles are reused below)
 from paperloom.plans.registry import oracle_sql, query
@@ -216,3 +216,49 @@ def stream_ingest(spark, folder):
             start=dt.date(1995, 1, 1), days=14, files_per_batch=2,
         )
     return spark.read.parquet(f"{out}/papers").select("o_orderkey", "window_no")
+
+
+CELLS = 64
+
+
+def filed_vectors(spark, folder):
+    """The vectors as an index in a fresh folder, and every twentieth of them as a query."""
+    vectors = load(spark, folder, "embeddings")
+    centres = vector_index.train_cells(vectors, CELLS, fx.EMBED_DIM, id_col="vec_id")
+    path = scratch(spark)
+    vector_index.write_index(vectors, centres, path, id_col="vec_id")
+    queries = vectors.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return vectors, vector_index.read_index(spark, path), centres, queries
+
+
+@query(
+    "vector_index_all_cells",
+    """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id,
+  round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 10) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s QUALIFY rank <= 10""",
+)
+def vector_index_all_cells(spark, folder):
+    """The index probed in every cell is the exact search."""
+    _, index, centres, queries = filed_vectors(spark, folder)
+    return vector_index.search_index(index, centres, queries, 10, len(centres)).withColumnRenamed("chunk_id", "vec_id")
+
+
+@query("vector_index_topk")
+def vector_index_topk(spark, folder):
+    """Approximate neighbours with the probes that measured recall asks for."""
+    vectors, index, centres, queries = filed_vectors(spark, folder)
+    probes, _ = vector_index.calibrate(index, centres, vectors, queries, 10, id_col="vec_id")
+    return vector_index.search_index(index, centres, queries, 10, probes).withColumnRenamed("chunk_id", "vec_id")
+
+
+@query(
+    "vector_index_recall",
+    "SELECT count(*) AS n_queries, true AS reached FROM embeddings WHERE vec_id % 20 = 0",
+)
+def vector_index_recall(spark, folder):
+    """Whether the calibrated index finds 0.9 of the exact hits of all queries."""
+    vectors, index, centres, queries = filed_vectors(spark, folder)
+    probes, _ = vector_index.calibrate(index, centres, vectors, queries, 10, id_col="vec_id")
+    exact = search.dense_join(vectors, queries, 10, fx.EMBED_DIM, id_col="vec_id")
+    got = vector_index.recall(vector_index.search_index(index, centres, queries, 10, probes), exact)
+    return queries.agg(F.count(F.lit(1)).alias("n_queries")).withColumn("reached", F.lit(got >= 0.9))

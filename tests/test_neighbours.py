@@ -2,7 +2,9 @@
 
 import random
 
-from paperloom.operators import search
+from conftest import plan
+
+from paperloom.operators import search, vector_index
 
 
 def table(spark, n, dim, seed):
@@ -28,3 +30,27 @@ def test_a_third_of_all_rows_may_be_one_vector(spark, monkeypatch):
     rows = spark.createDataFrame([(i, [1.0, 0.0] if i % 3 == 0 else [float(i), 1.0]) for i in range(120)], "chunk_id long, embedding array<float>")
     got = search.dense_join(rows, rows.selectExpr("chunk_id AS query_id", "embedding AS query_vector"), 2, 2).where("query_id = 3").collect()
     assert sorted(r["chunk_id"] for r in got) == [0, 3]
+
+
+def test_index_recall_pruned_files_and_exact_probing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vector_index, "FILED_ROWS", 20)
+    rnd = random.Random(8)
+    centres = [[rnd.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    rows = [(i, [c + rnd.gauss(0, 0.15) for c in centres[i % 12 if i % 3 else 0]]) for i in range(600)]  # a third in one cluster
+    vectors = spark.createDataFrame([*rows, (900, None), (901, [1.0]), (902, [0.0] * 8)], "chunk_id long, embedding array<double>")
+    cells = vector_index.train_cells(vectors, 12, 8, sample_rows=300)
+    assert cells.shape[1] == 8 and 1 < len(cells) <= 12
+    path = str(tmp_path / "index")
+    vector_index.write_index(vectors, cells, path)
+    index = vector_index.read_index(spark, path)
+    filed = index.selectExpr("explode(ids) AS id").toPandas()["id"]
+    assert sorted(filed) == sorted([*range(600), 902]) and index.selectExpr("max(size(ids)) AS n").first()["n"] < 60
+    queries = vectors.where("chunk_id % 20 = 0").selectExpr("chunk_id AS query_id", "embedding AS query_vector")
+    exact = search.dense_search(vectors, queries.where("size(query_vector) = 8"), 5, 8)
+    every = vector_index.search_index(index, cells, queries, 5, len(cells))
+    assert {tuple(r) for r in every.collect()} == {tuple(r) for r in exact.collect()}
+    probes, measured = vector_index.calibrate(index, cells, vectors, queries.where("size(query_vector) = 8"), 5, target=0.9)
+    assert probes < len(cells) and measured >= 0.9
+    few = vector_index.search_index(index, cells, queries, 5, probes)
+    assert vector_index.recall(few, exact) >= 0.9
+    assert "PartitionFilters: [isnotnull(cell" in plan(few) or "cell#" in plan(few).split("PartitionFilters: [")[1][:80]
