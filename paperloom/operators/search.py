@@ -21,6 +21,7 @@ from paperloom import kernels
 from paperloom.functions import text as tx
 from paperloom.functions import vectors as vx
 from paperloom.functions.lexicon import STOP_WORDS
+from paperloom.functions.stems import stems
 from paperloom.operators.ranking import top_k, top_k_per_group
 from paperloom.session import broadcast_if_small, cut_lineage
 from paperloom.settings import DEFAULTS
@@ -209,6 +210,15 @@ def text_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return _finish(parts, k)
 
 
+def stemmed(docs: DataFrame) -> DataFrame:
+    """``docs`` with its ``terms`` without stop words and as stems, so that forms of a word meet.
+
+    A text column's stems are worked out in its row, for corpus and queries alike.
+    """
+    kept = docs.withColumn("terms", F.filter("terms", lambda t: ~t.isin(STOP_WORDS)))
+    return kept.withColumn("terms", stems("terms"))
+
+
 def text_search_one(
     docs: DataFrame, query: list[str], k: int, *, id_col: str = "chunk_id", text_col: str = "content", ignore_stop_words: bool = False,
 ) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import vectors as vx
 from paperloom.functions.lexicon import STOP_WORDS
+from paperloom.functions.stems import DUCKDB, stem_sql
 from paperloom.operators import fusion, rerank, search
 from paperloom.plans import fixtures as fx
 from paperloom.plans.registry import query
@@ -167,6 +168,36 @@ def text_search_all_terms(spark, folder):
     return fx.as_items(fx.text_hits(spark, folder, 10))
 
 
+STEMMED = f"""stop AS (SELECT DISTINCT term FROM (SELECT term FROM doc_tok UNION ALL SELECT term FROM qry_tok) WHERE term NOT IN ({", ".join(f"'{w}'" for w in STOP_WORDS)})),
+stem AS (SELECT term, {stem_sql("term", DUCKDB)} AS s FROM stop),
+ds AS (SELECT doc_id, s FROM doc_tok JOIN stem USING (term)), qs AS (SELECT DISTINCT item_id, s FROM qry_tok JOIN stem USING (term))"""
+
+
+@query(
+    "text_search_stemmed",
+    f"""WITH {fx.TERM_CTES}, {STEMMED},
+hit AS (SELECT item_id, doc_id, count(*) AS freq, count(DISTINCT s) AS found FROM ds JOIN qs USING (s) GROUP BY ALL),
+scored AS (SELECT item_id, doc_id, round(freq / (SELECT count(*) FROM ds WHERE ds.doc_id = hit.doc_id)::DOUBLE, 10) AS score FROM hit
+  WHERE found = (SELECT count(*) FROM qs WHERE qs.item_id = hit.item_id))
+SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored QUALIFY rank <= 10""",
+)
+def text_search_stemmed(spark, folder):
+    """Full-text search in which the forms of a word count as one term and stop words do not count."""
+    hits = search.text_search(search.stemmed(fx.chunk_terms(spark, folder)), search.stemmed(fx.benchmark_terms(spark, folder)), 10)
+    return fx.as_items(hits)
+
+
+@query(
+    "stem_counts",
+    f"""WITH {fx.TERM_CTES}, {STEMMED} SELECT s AS stem, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ds GROUP BY s""",
+)
+def stem_counts(spark, folder):
+    """Every stem of the corpus with its occurrences and documents."""
+    terms = search.stemmed(fx.chunk_terms(spark, folder)).select("chunk_id", F.explode("terms").alias("stem"))
+    each = terms.groupBy("stem", "chunk_id").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("stem").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+
+
 @query(
     "text_search_one",
     f"""WITH {fx.TERM_CTES}, hit AS (SELECT doc_id, count(*) AS found, sum(tf) AS freq FROM doc_tf WHERE term IN ('with', 'the') GROUP BY doc_id)
