@@ -248,6 +248,55 @@ def trigram_search(docs: DataFrame, query: str, k: int, *, id_col: str = "chunk_
     return top_k(scored.where(F.col("score") > threshold), k, *leg_order())
 
 
+GRAM_BUCKETS = 1 << 14
+
+
+def _ordered_grams(texts: DataFrame, counts: list[int]) -> DataFrame:
+    """``id, grams``: distinct trigrams as hashes, the ones in the rarest buckets first."""
+    hashes = F.transform(tx.trigrams(F.col("text")), lambda g: F.xxhash64(g))
+    sizes = F.split(F.lit(",".join(map(str, counts))), ",").cast("array<bigint>")  # folded to one literal
+    keyed = F.transform(hashes, lambda g: F.struct(F.get(sizes, F.pmod(g, F.lit(GRAM_BUCKETS)).cast("int")).alias("n"), g.alias("g")))
+    return texts.select("id", F.transform(F.array_sort(keyed), lambda s: s["g"]).alias("grams"))
+
+
+def trigram_join(
+    docs: DataFrame, queries: DataFrame, threshold: float, *, id_col: str = "chunk_id", text_col: str = "content", query_id: str = "query_id", query_text: str = "query",
+) -> DataFrame:
+    """All ``(query_id, chunk_id, score)`` whose trigram sets have a Jaccard similarity of at least ``threshold``.
+
+    Two such sets share a gram among the first ``size - ceil(threshold * size) + 1`` of each, in any
+    order both follow.  The order puts rare grams first, by counts of ``GRAM_BUCKETS`` hash buckets
+    over the corpus, so common grams join nothing; sizes and places rule out more pairs before any
+    set is compared.  Null texts have no partner.  ``threshold`` is above 0 and at most 1.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
+    corpus = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    asked = queries.where(F.col(query_text).isNotNull()).select(F.col(query_id).alias("id"), F.col(query_text).alias("text"))
+    bucket = F.explode(F.transform(tx.trigrams(F.col("text")), lambda g: F.pmod(F.xxhash64(g), F.lit(GRAM_BUCKETS)).cast("int"))).alias("bucket")
+    counts = [0] * GRAM_BUCKETS
+    for row in corpus.select(bucket).groupBy("bucket").count().collect():  # GRAM_BUCKETS rows at most
+        counts[row["bucket"]] = row["count"]
+    right, left = (cut_lineage(_ordered_grams(t, counts)) for t in (corpus, asked))
+    need = lambda n: F.ceil(F.lit(threshold) * n - 1e-9).cast("int")
+
+    def prefix(sets: DataFrame, side: str) -> DataFrame:
+        n = F.size("grams")
+        kept = sets.withColumn("n", n).withColumn("head", F.slice("grams", 1, n - need(n) + 1))
+        return kept.select(F.col("id").alias(f"{side}_id"), F.col("n").alias(f"{side}_n"), F.posexplode("head").alias(f"{side}_at", "gram"))
+
+    met = prefix(left, "q").join(prefix(right, "d"), "gram")
+    shared = F.lit(1) + F.least(F.col("q_n") - F.col("q_at"), F.col("d_n") - F.col("d_at")) - 1
+    fits = (F.col("d_n") >= need(F.col("q_n"))) & (F.col("q_n") >= need(F.col("d_n")))
+    fits &= shared + F.least("q_at", "d_at") >= F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("q_n") + F.col("d_n")) - 1e-9)
+    pairs = broadcast_if_small(met.where(fits).select("q_id", "d_id").distinct())
+    near = right.join(pairs, right["id"] == pairs["d_id"]).select("q_id", "d_id", F.col("grams").alias("d_grams"))
+    both = near.join(left.select(F.col("id").alias("own_id"), F.col("grams").alias("q_grams")), F.col("q_id") == F.col("own_id"))
+    exact = F.size(F.array_intersect("q_grams", "d_grams")) / F.size(F.array_union("q_grams", "d_grams"))
+    scored = both.select(F.col("q_id").alias("query_id"), F.col("d_id").alias("chunk_id"), F.round(exact, kernels.SCORE_DIGITS).alias("score"))
+    return scored.where(F.col("score") >= threshold)
+
+
 def maxsim_long(vectors: DataFrame, query_tokens: list[list[float]], k: int, *, doc_col: str, vector_col: str, dim: int) -> DataFrame:
     """Late interaction over one-row-per-token storage.
 

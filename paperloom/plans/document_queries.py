@@ -6,7 +6,6 @@ wrapped around the rows' own text, so what a parse must return is known.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import functions as F
 
 from paperloom.functions import latex as lx
@@ -369,6 +368,8 @@ def chunk_stats(spark, folder):
 
 
 def byte_pairs():
+    import public_tokenizers  # the rank files of this machine; only these two queries need them
+
     return BytePairTokens(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 

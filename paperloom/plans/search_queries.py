@@ -241,6 +241,22 @@ def equation_search(spark, folder):
     return hits.select(F.col("chunk_id").alias("equation_id"), "paper_id", "score", "rank")
 
 
+@query(
+    "trigram_matches",
+    """WITH t AS (SELECT p_partkey, list_distinct(list_transform(range(1, len(w) - 1), lambda i: substr(w, i, 3))) AS g
+  FROM (SELECT p_partkey, '  ' || lower(p_name) || ' ' AS w FROM part)),
+s AS (SELECT q.p_partkey AS query_id, t.p_partkey, round(len(list_intersect(t.g, q.g)) / len(list_distinct(list_concat(t.g, q.g)))::DOUBLE, 10) AS score
+  FROM t, t AS q WHERE q.p_partkey % 20 = 0)
+SELECT * FROM s WHERE score >= 0.45""",
+)
+def trigram_matches(spark, folder):
+    """All names alike those of every twentieth part."""
+    parts = load(spark, folder, "part").select("p_partkey", "p_name")
+    asked = parts.where(F.col("p_partkey") % 20 == 0)
+    hits = search.trigram_join(parts, asked, 0.45, id_col="p_partkey", text_col="p_name", query_id="p_partkey", query_text="p_name")
+    return hits.withColumnRenamed("chunk_id", "p_partkey")
+
+
 @query(
     "trigram_topk",
     """WITH t AS (SELECT p_partkey, list_distinct(list_transform(range(1, len(w) - 1), lambda i: substr(w, i, 3))) AS g
