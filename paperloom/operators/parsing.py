@@ -1,9 +1,9 @@
 """Structured documents from LaTeX and Markdown text, one row in, one row out.
 
-Positions matter in these formats.  Marks are planted before every match with a
-regular expression and the text is split on them, which keeps the whole parse
-inside JVM expressions; lists stay inside their document's row, so parsing never
-shuffles.
+Positions matter in these formats.  A text is split at the matches of a regular
+expression and the matches are extracted beside the pieces, so the i-th match lies
+between two neighbouring pieces whatever characters the text holds.  The whole parse
+is JVM expressions; lists stay inside their document's row, so parsing never shuffles.
 """
 
 from __future__ import annotations
@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom import kernels
 from paperloom.functions import latex as lx
 from paperloom.functions.binding import let, unnest
 from paperloom.functions.text import SPACE, strip
 
-MARK, FIELD = "\u001e", "\u001f"
 MIN_PARAGRAPH = 20
+# Characters looked at on either side of a match, and how many neighbouring pieces hold
+# them for sure: every other piece is a match, and the shortest one is ``$x$``.
+AROUND = 200
+REACH = 2 * -(-AROUND // 3)
 
 # Title commands in order of preference, matched without regard to case.
 TITLE_COMMANDS = ["title", "icmltitle", "neuripstitle", "iclrtitle", "acltitle", "Title", "icmltitlerunning", "titlerunning"]
@@ -31,6 +33,8 @@ DISPLAY_MATH = [
     r"\$\$([^$]+)\$\$",
     r"\\\[(.+?)\\\]",
 ]
+# What a text must hold for the pattern at the same place to match at all.
+DISPLAY_SIGNS = [r"\begin{equation", r"\begin{align", r"\begin{gather", r"\begin{multline", "$$", r"\["]
 INLINE_MATH = r"(?<!\$)\$(?!\$)([^\$\n]+)\$(?!\$)"
 
 
@@ -40,17 +44,34 @@ def body(content: Column) -> Column:
     return F.when(F.length(inner) > 0, inner).otherwise(content)
 
 
+def balanced_argument(rest: Column) -> Column:
+    """Text up to the brace that closes a group opened just before it; null if none does.
+
+    One fold over the pieces between closing braces keeps the depth and the length so far.
+    """
+    pieces = F.split(rest, r"\}")
+    closed = F.slice(pieces, 1, F.size(pieces) - 1)
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("chars"))
+
+    def step(state: Column, piece: Column) -> Column:
+        opened = F.length(piece) - F.length(F.translate(piece, "{", ""))
+        return F.when(state["depth"] == 0, state).otherwise(
+            F.struct((state["depth"] + opened - 1).alias("depth"), (state["chars"] + F.length(piece) + 1).alias("chars")))
+
+    nested = let(F.aggregate(closed, start, step), lambda e: F.when(e["depth"] == 0, F.left(rest, e["chars"] - 1)))
+    flat = r"^([^{}]*)\}"
+    return F.when(F.rlike(rest, F.lit(flat)), F.regexp_extract(rest, flat, 1)).otherwise(nested)
+
+
 def title(content: Column) -> Column:
     """First title command that yields text; its argument may nest braces to any depth."""
-    balanced = kernels.balanced_argument_udf()
     options = []
-    for name in TITLE_COMMANDS:
-        start = F.regexp_instr(content, F.lit(rf"(?i)\\{name}{SPACE}*\{{"))
-        rest = F.when(start > 0, F.regexp_replace(content.substr(start, F.length(content)), rf"(?is)^\\{name}{SPACE}*\{{", ""))
-        options.append(rest)
-    arguments = balanced(F.array(*options))
-    cleaned = F.filter(F.transform(arguments, lx.paper_title), lambda t: F.coalesce(F.length(t), F.lit(0)) > 0)
-    return F.coalesce(F.get(cleaned, F.lit(0)), F.lit(""))
+    for name in dict.fromkeys(n.lower() for n in TITLE_COMMANDS):
+        command = rf"(?i)\\{name}{SPACE}*\{{"
+        start = F.regexp_instr(content, F.lit(command))
+        options.append(F.when(start > 0, F.regexp_replace(content.substr(start, F.length(content)), "^" + command, "")))
+    cleaned = F.transform(F.array(*options), lambda r: lx.paper_title(balanced_argument(r)))
+    return F.coalesce(F.get(F.filter(cleaned, lambda t: F.coalesce(F.length(t), F.lit(0)) > 0), F.lit(0)), F.lit(""))
 
 
 def abstract(content: Column) -> Column:
@@ -68,54 +89,55 @@ def _paragraphs(content: Column, separator: str, skip_code: bool = False) -> Col
     return F.filter(cleaned, lambda p: F.length(strip(p["content"])) >= MIN_PARAGRAPH)
 
 
-def _after_first(parts: Column) -> Column:
-    return F.filter(parts, lambda _, i: i > 0)
+def _pieces(content: Column, regex: str, *groups: int) -> Column:
+    """The text between matches (``gaps``, one more than matches) and the given groups of every match (``g0``, ``g1`` ...)."""
+    return F.struct(F.split(content, regex).alias("gaps"), *[F.regexp_extract_all(content, F.lit(regex), F.lit(g)).alias(f"g{g}") for g in groups])
 
 
 def latex_sections(content: Column) -> Column:
     """Flat section list ``(order, level, title, paragraphs)`` from the three heading commands."""
-    marked = F.regexp_replace(content, r"\\((?:sub){0,2})section\*?\{([^}]+)\}", f"{MARK}$1{FIELD}$2{FIELD}")
-    pieces = _after_first(F.split(marked, MARK))
-
-    def section(piece: Column, i: Column) -> Column:
-        parts = F.split(piece, FIELD, 3)
-        return F.struct(
+    def listed(m: Column) -> Column:
+        return F.transform(m["g1"], lambda prefix, i: F.struct(
             (i + 1).alias("order"),
-            (F.length(F.get(parts, F.lit(0))) / 3 + 1).cast("int").alias("level"),
-            lx.section_title(F.get(parts, F.lit(1))).alias("title"),
-            _paragraphs(F.get(parts, F.lit(2)), rf"\n{SPACE}*\n|\\par\b").alias("paragraphs"),
-        )
+            (F.length(prefix) / 3 + 1).cast("int").alias("level"),
+            lx.section_title(F.get(m["g2"], i)).alias("title"),
+            _paragraphs(F.get(m["gaps"], i + 1), rf"\n{SPACE}*\n|\\par\b").alias("paragraphs"),
+        ))
 
-    return F.transform(pieces, section)
+    heading = r"\\((?:sub){0,2})section\*?\{([^}]+)\}"
+    return let(content, lambda c: let(_pieces(c, heading, 1, 2), listed))
 
 
-def _matches(content: Column, pattern: str) -> Column:
+def _matches(content: Column, pattern: str, sign: str) -> Column:
     """Every match with its capture and up to 100 characters either side, from the 200 characters next to it.
 
-    Marks split the text into gap, match, gap, ...; the place of a match in the text is
-    the length of the pieces before it, so its surroundings are cut from the text itself.
+    The surroundings come from the neighbouring piece or, where that is short, from a
+    bounded number of pieces, so the work is linear in the text and in the matches.
+    ``sign`` is a string every match contains: a text without it is not searched.
     """
-    marked = F.regexp_replace(content, F.lit("(?s)" + pattern), F.lit(f"{MARK}$0{FIELD}$1{MARK}"))
-    def entry(text: Column, part: Column, i: Column, ends: Column) -> Column:
-        stop = F.get(ends, i)
-        start = stop - F.length(F.get(F.split(part, FIELD), F.lit(0)))
-        left = text.substr(F.greatest(start - 199, F.lit(1)), F.least(start, F.lit(200)))
-        right = text.substr(stop + 1, F.lit(200))
-        return F.struct(
-            F.get(F.split(part, FIELD), F.lit(0)).alias("whole"),
-            F.get(F.split(part, FIELD), F.lit(1)).alias("inner"),
-            F.right(strip(left), F.lit(100)).alias("before"),
-            F.left(strip(right), F.lit(100)).alias("after"),
-            (i % 2 == 1).alias("is_match"),
-        )
+    text = F.when(content.isNull() | F.contains(content, F.lit(sign)), content).otherwise("")
 
-    def around(bound: Column) -> Column:
-        text, parts = bound["text"], bound["parts"]
-        sizes = F.transform(parts, lambda p, i: F.length(F.when(i % 2 == 1, F.get(F.split(p, FIELD), F.lit(0))).otherwise(p)))
-        ends = F.aggregate(sizes, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n)))
-        return let(ends, lambda e: F.transform(parts, lambda p, i: entry(text, p, i, e)))
+    def listed(m: Column) -> Column:
+        both = F.flatten(F.transform(m["gaps"], lambda g, i: F.array(g, F.coalesce(F.get(m["g0"], i), F.lit("")))))
+        ends = F.struct(
+            F.transform(both, lambda p: F.right(p, F.lit(AROUND))).alias("tails"), F.transform(both, lambda p: F.left(p, F.lit(AROUND))).alias("heads"))
 
-    return F.filter(let(F.struct(content.alias("text"), F.split(marked, MARK).alias("parts")), around), lambda e: e["is_match"])
+        def entry(whole: Column, i: Column, e: Column) -> Column:
+            at, next_gap = 2 * i + 1, 2 * i + 3  # places of the gaps around the match, from 1
+            first = F.greatest(at - REACH, F.lit(1))
+            before, after = F.get(e["tails"], at - 1), F.get(e["heads"], next_gap - 1)
+            left = F.when(F.length(before) >= AROUND, before).otherwise(
+                F.right(F.array_join(F.slice(e["tails"], first, at - first + 1), ""), F.lit(AROUND)))
+            right = F.when(F.length(after) >= AROUND, after).otherwise(
+                F.left(F.array_join(F.slice(e["heads"], next_gap, F.lit(REACH)), ""), F.lit(AROUND)))
+            return F.struct(
+                whole.alias("whole"), F.get(m["g1"], i).alias("inner"),
+                F.right(strip(left), F.lit(100)).alias("before"), F.left(strip(right), F.lit(100)).alias("after"),
+            )
+
+        return let(ends, lambda e: F.transform(m["g0"], lambda w, i: entry(w, i, e)))
+
+    return let(text, lambda t: let(_pieces(t, "(?s)" + pattern, 0, 1), listed))
 
 
 def latex_equations(content: Column, inline_min: int = 20) -> Column:
@@ -128,11 +150,14 @@ def latex_equations(content: Column, inline_min: int = 20) -> Column:
             e["before"].alias("context_before"), e["after"].alias("context_after"),
         )
 
-    lists = [F.transform(_matches(content, p), lambda e: shaped(e, False)) for p in DISPLAY_MATH]
-    if inline_min > 0:
-        long_enough = F.filter(_matches(content, INLINE_MATH), lambda e: F.length(strip(e["inner"])) >= inline_min)
-        lists.append(F.transform(long_enough, lambda e: shaped(e, True)))
-    return F.concat(*lists)
+    def listed(text: Column) -> Column:
+        lists = [F.transform(_matches(text, p, sign), lambda e: shaped(e, False)) for p, sign in zip(DISPLAY_MATH, DISPLAY_SIGNS)]
+        if inline_min > 0:
+            long_enough = F.filter(_matches(text, INLINE_MATH, "$"), lambda e: F.length(strip(e["inner"])) >= inline_min)
+            lists.append(F.transform(long_enough, lambda e: shaped(e, True)))
+        return F.concat(*lists)
+
+    return let(content, listed)
 
 
 def latex_figures(content: Column) -> Column:
@@ -214,27 +239,24 @@ def markdown_abstract(md: Column) -> Column:
 
 def markdown_sections(md: Column) -> Column:
     """Sections below level-1 headings, one level up; the title and the abstract are no sections."""
-    marked = F.regexp_replace(md, rf"(?:^|\n)(#{{1,4}}){SPACE}+(.+?)(?=\n)", f"{MARK}$1{FIELD}$2{FIELD}")
-    pieces = _after_first(F.split(marked, MARK))
-    fields = F.transform(pieces, lambda p: F.split(p, FIELD, 3))
-    kept = F.filter(
-        fields,
-        lambda f: (F.length(F.get(f, F.lit(0))) > 1) & (F.lower(strip(F.get(f, F.lit(1)))) != "abstract"),
-    )
-    return F.transform(
-        kept,
-        lambda f, i: F.struct(
-            (i + 1).alias("order"),
-            (F.length(F.get(f, F.lit(0))) - 1).alias("level"),
-            strip(F.get(f, F.lit(1))).alias("title"),
-            _paragraphs(strip(F.get(f, F.lit(2))), rf"\n{SPACE}*\n", skip_code=True).alias("paragraphs"),
-        ),
-    )
+    def listed(m: Column) -> Column:
+        every = F.transform(m["g1"], lambda signs, i: F.struct(
+            F.length(signs).alias("depth"), strip(F.get(m["g2"], i)).alias("title"), F.get(m["gaps"], i + 1).alias("text")))
+        kept = F.filter(every, lambda s: (s["depth"] > 1) & (F.lower(s["title"]) != "abstract"))
+        return F.transform(
+            kept,
+            lambda s, i: F.struct(
+                (i + 1).alias("order"), (s["depth"] - 1).alias("level"), s["title"].alias("title"),
+                _paragraphs(strip(s["text"]), rf"\n{SPACE}*\n", skip_code=True).alias("paragraphs"),
+            ),
+        )
+
+    return let(_pieces(md, rf"(?:^|\n)(#{{1,4}}){SPACE}+(.+?)(?=\n)", 1, 2), listed)
 
 
 def markdown_equations(md: Column) -> Column:
     return F.transform(
-        _matches(md, r"\$\$(.+?)\$\$"),
+        _matches(md, r"\$\$(.+?)\$\$", "$$"),
         lambda e: F.struct(
             strip(e["inner"]).alias("latex"), F.lit(None).cast("string").alias("label"), F.lit(False).alias("is_inline"),
             e["before"].alias("context_before"), e["after"].alias("context_after"),
@@ -257,7 +279,7 @@ def markdown_figures(md: Column) -> Column:
 def markdown_tables(md: Column) -> Column:
     """Pipe tables with their header cells, data row count and the caption line right above."""
     table = r"(\|[^\n]+\|\n\|[-: |]+\|\n(?:\|[^\n]+\|\n?)+)"
-    hits = _matches(md, table)
+    hits = _matches(md, table, "|\n|")
 
     def shaped(e: Column, i: Column) -> Column:
         content = strip(e["whole"])

@@ -1,6 +1,7 @@
 """LaTeX, Markdown, quality, sections, archives and chunk packing on small fixtures."""
 
 import random
+import re
 
 import pytest
 
@@ -57,6 +58,58 @@ def test_equation_order_labels_and_context(spark):
     assert eqs[0]["label"] == "x" and eqs[0]["context_before"] == "start $$ d $$ mid" and eqs[2]["is_inline"]
 
 
+def contexts(text, pattern):
+    """Every match with its surroundings, by places in the text."""
+    found = []
+    for m in re.finditer(pattern, text, re.S):
+        before, after = text[max(0, m.start() - 200):m.start()].strip(), text[m.end():m.end() + 200].strip()
+        found.append((m.group(1), before[-100:], after[:100]))
+    return found
+
+
+@pytest.mark.parametrize("count", [1, 60, 5000])
+def test_equation_contexts_of_many_matches(spark, count):
+    """Close and distant matches, separators of older formats inside the text, a match at either end."""
+    rng = random.Random(count)
+    text = "".join(f"$$ e{i} $$" + rng.choice(["", " ", "\u001e", "a\u001fb ", "word " * rng.randint(1, 90)]) for i in range(count)) + "$$ last $$"
+    expected = [(" ".join(a.split()), b, c) for a, b, c in contexts(text, r"\$\$([^$]+)\$\$")]
+    got = one(spark, lambda c: parsing.latex_equations(c, 0), text)[0]
+    assert [(e["latex"], e["context_before"], e["context_after"]) for e in got] == expected
+
+
+def test_inline_contexts_reach_over_many_short_matches(spark):
+    spaced = "start " + "$x$ " * 150 + "$" + "y" * 30 + "$" + " $z$" * 150 + " end"
+    got = one(spark, lambda c: parsing.latex_equations(c, 20), spaced)[0]
+    before, after = spaced[:spaced.index("$y")], spaced[spaced.index("y$") + 2:]
+    assert [(e["context_before"], e["context_after"]) for e in got] == [(before[-200:].strip()[-100:], after[:200].strip()[:100])]
+
+
+def test_sections_keep_control_characters(spark):
+    got = one(spark, parsing.latex_sections, "\\section{One}\n\nfirst\u001epart that is long\u001fenough here\n\\subsection*{Two}\n\nanother paragraph that is long enough", "none", None)
+    assert [(s["order"], s["level"], s["title"], len(s["paragraphs"])) for s in got[0]] == [(1, 1, "One", 1), (2, 2, "Two", 1)]
+    assert "\u001e" in got[0][0]["paragraphs"][0]["content"] and got[1] == [] and got[2] is None
+
+
+def balanced(text):
+    depth = 1
+    for i, char in enumerate(text):
+        depth += (char == "{") - (char == "}")
+        if depth == 0:
+            return text[:i]
+    return None
+
+
+@settings(max_examples=20, deadline=None)
+@given(texts=st.lists(st.text(alphabet="{}ab \u00e9", max_size=40), min_size=1, max_size=30))
+def test_balanced_argument_equals_a_walk(spark, texts):
+    assert one(spark, parsing.balanced_argument, *texts) == [balanced(t) for t in texts]
+
+
+def test_parse_stays_in_the_jvm(spark):
+    plan = parsing.parse_latex(spark.createDataFrame([("x",)], "content string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+
+
 def test_tabular(spark):
     env = "\\begin{tabular}{l|l}a & b \\\\ 1 & \\textbf{2} \\\\ \\hline \\end{tabular}"
     assert one(spark, parsing.tabular_markdown, env, "none") == ["| a | b |\n| --- | --- |\n| 1 | 2 |", ""]
