@@ -12,7 +12,7 @@ from paperloom.functions import latex as lx
 from paperloom.functions import text as tx
 from paperloom.functions.binding import unnest
 from paperloom.functions.tokens import BytePairTokens
-from paperloom.operators import chunking, parsing, quality, sections
+from paperloom.operators import chunking, parsing, quality, section_tree, sections
 from paperloom.plans.registry import query
 from paperloom.sources.tables import load, spread
 
@@ -239,6 +239,69 @@ def section_stats(spark, folder):
     return sections.section_stats(docs)
 
 
+# Orders as sections, 64 to a document: a binary tree in even documents, one chain in odd ones.
+TREE_SQL = """s AS (SELECT o_orderkey AS section_id, o_orderkey // 64 AS paper_id, CASE WHEN o_orderkey % 64 = 0 THEN NULL
+    WHEN o_orderkey // 64 % 2 = 0 THEN o_orderkey // 64 * 64 + (o_orderkey % 64 - 1) // 2 ELSE o_orderkey - 1 END AS parent_id,
+  o_custkey AS position, o_orderpriority = '1-URGENT' AND o_orderkey % 8 > 5 AS x FROM orders),
+climb AS (SELECT section_id, section_id AS above, x FROM s UNION ALL
+  SELECT c.section_id, p.section_id, c.x FROM climb c JOIN s ON s.section_id = c.above JOIN s p ON p.section_id = s.parent_id)"""
+
+
+def section_rows(spark, folder):
+    key = F.col("o_orderkey")
+    local = key % 64
+    heap = F.floor(key / 64) * 64 + F.floor((local - 1) / 2)
+    parent = F.when(local == 0, F.lit(None)).when(F.floor(key / 64) % 2 == 0, heap).otherwise(key - 1).cast("long")
+    title = F.when((F.col("o_orderpriority") == "1-URGENT") & (key % 8 > 5), "2. References").otherwise("Method")
+    return load(spark, folder, "orders").select(
+        F.floor(key / 64).cast("long").alias("paper_id"), key.alias("section_id"), parent.alias("parent_id"), F.col("o_custkey").alias("position"), title.alias("title"))
+
+
+@query(
+    "section_subtrees",
+    f"""WITH RECURSIVE {TREE_SQL},
+up AS (SELECT c.section_id, count(*)::INTEGER AS level, bool_or(a.x) AS dropped FROM climb c JOIN s a ON a.section_id = c.above GROUP BY c.section_id),
+down AS (SELECT above AS section_id, count(*)::BIGINT AS subtree_sections, count(*) FILTER (x)::BIGINT AS subtree_excluded FROM climb GROUP BY above)
+SELECT paper_id, section_id, level, dropped, subtree_sections, subtree_excluded FROM s JOIN up USING (section_id) JOIN down USING (section_id)""",
+)
+def section_subtrees(spark, folder):
+    """Every section with its level, its exclusion from above and the sums of its subtree."""
+    tree = section_tree.resolve_tree(section_rows(spark, folder))
+    return tree.select("paper_id", "section_id", "level", "dropped", "subtree_sections", "subtree_excluded")
+
+
+@query(
+    "section_tree_stats",
+    f"""WITH RECURSIVE {TREE_SQL} SELECT paper_id, count(*)::BIGINT AS total_sections, count(*) FILTER (x)::BIGINT AS excluded_sections,
+  count(*) FILTER (NOT x)::BIGINT AS retained_sections, round(count(*) FILTER (x) / count(*)::DOUBLE, 6) AS exclusion_rate FROM s GROUP BY paper_id""",
+)
+def section_tree_stats(spark, folder):
+    return section_tree.document_stats(section_tree.resolve_tree(section_rows(spark, folder)))
+
+
+@query(
+    "section_outline",
+    f"""WITH RECURSIVE {TREE_SQL}, walk AS (SELECT section_id, paper_id, x, [position, section_id] AS path FROM s WHERE parent_id IS NULL UNION ALL
+  SELECT s.section_id, s.paper_id, walk.x OR s.x, walk.path || [s.position, s.section_id] FROM s JOIN walk ON s.parent_id = walk.section_id)
+SELECT paper_id, section_id, (row_number() OVER (PARTITION BY paper_id ORDER BY path))::INTEGER AS place FROM walk WHERE NOT x""",
+)
+def section_outline(spark, folder):
+    """Kept sections in reading order."""
+    return section_tree.outline(section_tree.resolve_tree(section_rows(spark, folder))).select("paper_id", "section_id", "place")
+
+
+@query("nested_chunks")
+def nested_chunks(spark, folder):
+    """Each line of a document is a section below the one at half its place; chunked in reading order."""
+    lines = unnest(documents(spark, folder), ["doc_id"], tx.lines(F.col("text")), "line", "position")
+    parent = F.when(F.col("position") > 0, F.floor((F.col("position") - 1) / 2).cast("int"))
+    rows = lines.select(
+        "doc_id", F.col("position").alias("section_id"), parent.alias("parent_id"), "position",
+        F.concat(F.lit("Part "), "position").alias("title"), F.array("line").alias("paragraphs"))
+    nested = section_tree.nested_documents(section_tree.resolve_tree(rows, doc="doc_id"), doc="doc_id")
+    return chunking.chunk_documents(nested, key="doc_id").select("doc_id", "chunk_id", "chunk_index", "section_title", "token_count", "char_count")
+
+
 @query(
     "quality_report",
     r"""WITH m AS (SELECT doc_id, text, length(text) AS n, length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) AS a,
