@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.operators.ranking import global_rank
-from paperloom.session import cut_lineage
+from paperloom.session import broadcast_if_small, cut_lineage
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -108,14 +108,15 @@ def cube_sample(units: DataFrame, seed: int = 0, block_rows: int = BLOCK_ROWS) -
         if turn == 0:
             done.append(rest.where(~open_))
             rest = rest.where(open_)
-        counts = rest.groupBy("stratum").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("blocks"))
+        counts = broadcast_if_small(rest.groupBy("stratum").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("blocks")))
         last = counts.agg(F.max("blocks")).first()[0]
         if last is None:
             break
         placed = rest.join(counts, "stratum").select(
             "stratum", "id", "size", "share", "blocks", F.pmod(F.xxhash64("id", "size", F.lit(seed), F.lit(turn)), F.col("blocks").cast("long")).cast("int").alias("block"))
-
-        flown = cut_lineage(placed.withColumn("order", F.xxhash64("id", F.lit(seed))).groupBy("stratum", "block").applyInPandas(flyer(seed, turn), schema))
+        # Dealt by block even where a shuffled join has left the rows by stratum.
+        dealt = placed.repartition("stratum", "block").withColumn("order", F.xxhash64("id", F.lit(seed)))
+        flown = cut_lineage(dealt.groupBy("stratum", "block").applyInPandas(flyer(seed, turn), schema))
         if last == 1:
             done.append(flown)
             break
@@ -149,7 +150,7 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     targets = targets.select(tag.alias("stratum"), "source_size", "target")
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     near = F.when(F.abs(times - F.round(times)) < 1e-9, F.round(times)).otherwise(times)
-    per_source = targets.withColumn("times", near).withColumn("whole", F.floor("times").cast("long"))
+    per_source = broadcast_if_small(targets.withColumn("times", near).withColumn("whole", F.floor("times").cast("long")))
     share = F.when(F.col("size") > 0, F.col("times") - F.col("whole")).otherwise(F.lit(0.0))
     units = rows.join(per_source, "stratum").select("stratum", F.col("doc_id").alias("id"), "size", share.alias("share"))
     drawn = cube_sample(units, seed, block_rows)

@@ -86,6 +86,17 @@ def test_mix_meets_its_targets(spark, block_rows):
     assert sorted(out) == sorted(mixing.mix_sources(docs.repartition(3), block_rows=block_rows).collect())
 
 
+def test_blocks_of_one_source_fly_in_many_tasks(spark):
+    units = spark.range(2000).select(F.lit("hot").alias("stratum"), "id", (F.col("id") % 9 + 1).alias("size"), F.lit(0.4).alias("share"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        drawn = mixing.cube_sample(units, block_rows=100)
+        closed = drawn.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(closed) >= 4 and max(r["n"] for r in closed) < 1200
+
+
 def test_flight_keeps_totals():
     rng = random.Random(1)
     share, size = [0.37] * 500, [float(rng.randrange(1, 90)) for _ in range(500)]
