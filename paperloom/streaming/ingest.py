@@ -1,48 +1,76 @@
 """Resumable ingest: a file stream that takes what is new, window by window.
 
-The stream's checkpoint remembers which files are done, so a run that was cut
-off goes on where it stopped and rows collected earlier stay in the table.
+Two checkpoints remember what is done: the source's log which files were read, the state
+store which ids were seen.  A run that was cut off goes on where it stopped, and no batch
+reads rows of an earlier one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.functions.dates import window_of
-from paperloom.operators.ranking import first_per_group
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def hash_of(rows: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+
+
+def first_seen(stream: DataFrame, *, id_col: str, day_col: str) -> DataFrame:
+    """Per id of a file stream its first batch, its last batch and the place of its earliest row.
+
+    A keyed aggregation whose state is a few dozen bytes per id: the batch is told by its
+    time stamp, which a retry finds again in the source's log, and the row by day, hash and
+    file.  Rows of an id are combined in the tasks that read them, so a hot id costs the
+    reducer one row per task.
+    """
+    place = F.struct(F.col(day_col).alias("day"), hash_of(stream).alias("hash"), F.col("_metadata.file_path").alias("file"))
+    now = F.current_timestamp()
+    rows = stream.select(F.col(id_col).alias("id"), place.alias("place"), now.alias("now"))
+    return rows.groupBy("id").agg(F.min("place").alias("place"), F.min("now").alias("first"), F.max("now").alias("last"))
 
 
 def ingest(
     spark: SparkSession, source: str, schema: T.StructType, target: str, checkpoint: str, *, id_col: str, day_col: str,
     start, days: int, files_per_batch: int = 16,
 ) -> None:
-    """Append rows with new ids to ``target``, tagged with their date window."""
+    """Append rows with new ids to ``target``, tagged with their date window.
+
+    Of a new id the row of the earliest day is taken (no day first, then the smallest row
+    hash), of equal rows one; a null id is an id like any other.  What an id brings after
+    its first batch is left out, whatever its day.
+    """
+    # Seen ids grow with the source, so their state belongs on disk, not on the heap.
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        rows = first_per_group(batch, [id_col], [F.asc(day_col)])
-        rows = rows.withColumn("window_no", window_of(F.col(day_col), F.lit(start), days))
-        path = f"{target}/batch={batch_id}"  # same folder on a retry of the same batch
-        known = known_ids(batch.sparkSession, target, id_col, batch_id)
-        fresh = rows if known is None else rows.join(known, id_col, "left_anti")
-        fresh.write.mode("overwrite").parquet(path)
-
-    query = (
-        stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-
-
-def known_ids(spark: SparkSession, target: str, id_col: str, batch_id: int) -> DataFrame | None:
-    """Ids of earlier batches; the batch's own folder of a failed try does not count."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    rows = spark.read.option("basePath", target).parquet(target) if fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/batch=*/_SUCCESS")) else None
-    return None if rows is None else rows.where(F.col("batch") < batch_id).select(id_col)
+        new = batch.where(F.col("first") == F.col("last")).select(F.col("id").alias("__id"), "place.hash", "place.file").persist()
+        files = [r["file"] for r in new.select("file").distinct().collect()]  # at most files_per_batch
+        if files:
+            rows = batch.sparkSession.read.schema(schema).parquet(*map(unquote, files))
+            rows = rows.select("*", hash_of(rows).alias("__hash"), F.col("_metadata.file_path").alias("__file"))
+            same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("hash")) & (F.col("__file") == F.col("file"))
+            fresh = rows.join(new, same, "left_semi").drop("__hash", "__file").dropDuplicates([id_col])
+            tagged = fresh.withColumn("window_no", window_of(F.col(day_col), F.lit(start), days))
+            tagged.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")  # same folder on a retry of the same batch
+        new.unpersist()
+
+    try:
+        seen = first_seen(stream, id_col=id_col, day_col=day_col)
+        query = (
+            seen.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
 
 
 def windowed_counts(stream: DataFrame, *, time_col: str, group: str, width: str, late: str, slide: str | None = None) -> DataFrame:
