@@ -14,7 +14,7 @@ from paperloom.plans import fixtures as fx
 from paperloom.plans import limiter_queries, search_queries  # noqa: F401  (their oracles are reused below)
 from paperloom.plans.registry import oracle_sql, query
 from paperloom.session import ensure_checkpoint_dir
-from paperloom.sources import files, metadata
+from paperloom.sources import figure_files, files, metadata, paged
 from paperloom.sources.store import Store, search_postings, write_postings
 from paperloom.sources.tables import load
 from paperloom.streaming import ingest as streaming_ingest
@@ -71,6 +71,28 @@ def figure_stats(spark, folder):
     return files.figure_stats(load(spark, folder, "documents").select(path.alias("path"), F.col("n_chars").alias("length")))
 
 
+@query(
+    "figure_files",
+    """SELECT source AS paper, 'fig' || doc_id AS figure, CASE doc_id % 6 WHEN 1 THEN '.jpg' WHEN 2 THEN '.gif' WHEN 3 THEN '.webp' WHEN 4 THEN '.pdf' ELSE '.png' END AS ext,
+  md5(text) AS body FROM documents WHERE source IS NOT NULL AND text IS NOT NULL""",
+)
+def figure_files_written(spark, folder):
+    """One image per document, written by the tasks and read back from its file."""
+    magic = F.array(*[F.lit(m) for m in ("89504E470D0A1A0A", "FFD8FFE0", "474946383961", "524946460000000057454250", "255044462D", "00")])
+    head = F.unhex(F.get(magic, (F.col("doc_id") % 6).cast("int")))
+    docs = load(spark, folder, "documents")
+    path = scratch(spark)
+    figure_files.write_figures(docs.select(
+        F.col("source").alias("paper_id"), F.concat(F.lit("fig"), F.col("doc_id").cast("string")).alias("figure_id"), F.concat(head, F.encode("text", "UTF-8")).alias("content"),
+    ), path)
+    found = figure_files.read_figures(spark, path).select(F.split("path", "/").alias("parts"), "content")
+    name = F.element_at("parts", -1)
+    ext = F.regexp_extract(name, r"(\.[a-z]+)$", 1)
+    start = F.when(ext == ".jpg", 5).when(ext == ".gif", 7).when(ext == ".webp", 13).when(ext == ".pdf", 6).when(F.startswith(F.col("content"), F.unhex(F.lit("89504E47"))), 9).otherwise(2)
+    return found.select(
+        F.element_at("parts", -2).alias("paper"), F.regexp_extract(name, r"^(.*)\.[a-z]+$", 1).alias("figure"), ext.alias("ext"), F.md5(F.substring(F.col("content"), start, F.length("content"))).alias("body"))
+
+
 @query(
     "keyword_file",
     """WITH k AS (SELECT p_partkey, list_filter(list_distinct(string_split(lower(p_name), ' ')), lambda x: x <> '') AS ks FROM part)
@@ -138,6 +160,13 @@ def metadata_table(spark, folder):
     return metadata.normalised(table)
 
 
+def served_metadata(spark, folder):
+    """The metadata as pages of a service, read back by date window."""
+    path = scratch(spark)
+    paged.write_pages(metadata_table(spark, folder), path)
+    return paged.read_pages(spark, path)
+
+
 @query(
     "metadata_search",
     f"""WITH {META_SQL} SELECT paper_id, title, published FROM hit
@@ -161,11 +190,21 @@ def metadata_first_page(spark, folder):
 SELECT paper_id, s + (floor((published - s) / 30.0) * 30)::INTEGER AS window_start FROM hit, b""",
 )
 def metadata_windows(spark, folder):
+    """Every window of the paged service, a task or more each."""
     days = load(spark, folder, "orders").select(F.to_date("o_orderdate").alias("d")).agg(F.min("d").alias("start"), F.max("d").alias("end"))
-    found = metadata.search_windows(metadata_table(spark, folder), WHAT, days, 30)
+    found = metadata.search_windows(served_metadata(spark, folder), WHAT, days, 30)
     return found.select("paper_id", "window_start")
 
 
+@query(
+    "metadata_paged",
+    f"""WITH {META_SQL} SELECT paper_id, title, published FROM hit WHERE published BETWEEN DATE '1996-01-01' AND DATE '2001-07-15'""",
+)
+def metadata_paged(spark, folder):
+    """All pages of a dated search: the dates reach the source, which leaves the other windows alone."""
+    return served_metadata(spark, folder).where(WHAT.predicate()).select("paper_id", "title", "published")
+
+
 @query("stream_sliding_log", oracle_sql()["rate_sliding_log"])
 def stream_sliding_log(spark, folder):
     """The limiter as a stateful stream over the event file, into a parquet sink."""

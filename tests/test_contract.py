@@ -10,7 +10,7 @@ FOLDER = "/root/testdata/sf0.001"
 QUICK = [
     "dense_batch_topk", "hybrid_rrf2", "eval_metrics", "stratified_sample", "window_scan", "upsert_latest", "chunk_documents", "rate_sliding_log",
     "metadata_windows", "metadata_search", "metadata_first_page", "semantic_filter", "bonus_null_topic", "upsert_sparse_maps", "resumed_collection",
-    "keyword_log", "papers_with_abstract", "equation_search", "text_search_stop_words", "parse_fallback", "parsing_stats", "archive_includes", "prompt_build",
+    "keyword_log", "papers_with_abstract", "equation_search", "text_search_stop_words", "parse_fallback", "parsing_stats", "archive_includes", "prompt_build", "stream_ingest", "metadata_paged", "figure_files",
 ]
 
 
