@@ -85,12 +85,10 @@ def figure_files_written(spark, folder):
     figure_files.write_figures(docs.select(
         F.col("source").alias("paper_id"), F.concat(F.lit("fig"), F.col("doc_id").cast("string")).alias("figure_id"), F.concat(head, F.encode("text", "UTF-8")).alias("content"),
     ), path)
-    found = figure_files.read_figures(spark, path).select(F.split("path", "/").alias("parts"), "content")
-    name = F.element_at("parts", -1)
-    ext = F.regexp_extract(name, r"(\.[a-z]+)$", 1)
-    start = F.when(ext == ".jpg", 5).when(ext == ".gif", 7).when(ext == ".webp", 13).when(ext == ".pdf", 6).when(F.startswith(F.col("content"), F.unhex(F.lit("89504E47"))), 9).otherwise(2)
-    return found.select(
-        F.element_at("parts", -2).alias("paper"), F.regexp_extract(name, r"^(.*)\.[a-z]+$", 1).alias("figure"), ext.alias("ext"), F.md5(F.substring(F.col("content"), start, F.length("content"))).alias("body"))
+    start = F.when(F.col("ext") == ".jpg", 5).when(F.col("ext") == ".gif", 7).when(F.col("ext") == ".webp", 13).when(F.col("ext") == ".pdf", 6)
+    start = start.when(F.startswith(F.col("content"), F.unhex(F.lit("89504E47"))), 9).otherwise(2)
+    return figure_files.read_figures(spark, path).select(
+        F.col("folder").alias("paper"), "figure", "ext", F.md5(F.substring(F.col("content"), start, F.length("content"))).alias("body"))
 
 
 @query(

@@ -12,7 +12,8 @@ PNG, JPG, GIF = b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff", b"GIF89a"
 
 
 def tree(path):
-    return sorted(os.path.relpath(os.path.join(d, f), path) for d, _, names in os.walk(path) for f in names if not f.startswith((".", "_")))
+    path = str(path)
+    return sorted(os.path.relpath(os.path.join(d, f), path) for d, _, names in os.walk(path) for f in names if "/_" not in d and not f.startswith((".", "_")))
 
 
 def test_figures_are_written_once(spark, tmp_path):
@@ -28,14 +29,15 @@ def test_figures_are_written_once(spark, tmp_path):
     ff.write_figures(spark.createDataFrame([("a/1", "f1", GIF + b"new")], df.schema), f"file://{path}")
     assert tree(path) == sorted({*first, "a_1/f1.gif"} - {"a_1/f1.png"})
     got = {r["path"].rsplit("/", 1)[1]: bytes(r["content"]) for r in ff.read_figures(spark, path).collect()}
-    assert got["f1.gif"] == GIF + b"new" and not os.path.exists(f"{path}/{ff.STAGING}")
-    stats = {r["ext"]: r["files"] for r in figure_stats(ff.read_figures(spark, path)).collect()}
+    assert {r["path"] for r in ff.list_figures(spark, path).collect()} == {f"{path}/{p}" for p in tree(path)}
+    assert got["f1.gif"] == GIF + b"new" and not any(n.startswith(ff.STAGING) for n in os.listdir(path))
+    stats = {r["ext"]: r["files"] for r in figure_stats(ff.list_figures(spark, path)).collect()}
     assert sum(stats.values()) == 5 and stats[".png"] == 2
 
 
 def test_empty_table_writes_no_figure(spark, tmp_path):
     ff.write_figures(spark.createDataFrame([], "paper_id string, figure_id string, content binary"), f"{tmp_path}/figs")
-    assert tree(f"{tmp_path}/figs") == []
+    assert tree(f"{tmp_path}/figs") == [] and ff.read_figures(spark, f"{tmp_path}/figs").count() == 0
 
 
 def batches(*rows, fail=False):
@@ -45,12 +47,12 @@ def batches(*rows, fail=False):
 
 
 def test_retried_tasks_leave_one_file(tmp_path):
-    writer = ff.FigureWriter(str(tmp_path))
+    writer = ff.FigureWriter(str(tmp_path), "1")
     rows = [("a", "1", ".png", b"one"), ("a", "2", ".png", b"two")]
     with pytest.raises(OSError):
         writer.write(batches(rows[0], fail=True))
     messages = [writer.write(batches(*rows)), writer.write(batches(*rows))]  # doubled by speculation, one message counts
-    os.makedirs(tmp_path / ff.STAGING / "killed")
+    os.makedirs(tmp_path / f"{ff.STAGING}-1" / "killed")
     writer.commit([messages[0], None])
-    assert tree(tmp_path) == ["a/1.png", "a/2.png"] and not os.path.exists(tmp_path / ff.STAGING)
+    assert tree(tmp_path)[-2:] == ["a/1.png", "a/2.png"] and len(os.listdir(tmp_path / ff.INDEX)) == 1 and not any(n.startswith(ff.STAGING) for n in os.listdir(tmp_path))
     assert (tmp_path / "_SUCCESS").read_text() == '{"figures": 2, "bytes": 6}\n'
