@@ -249,6 +249,7 @@ def trigram_search(docs: DataFrame, query: str, k: int, *, id_col: str = "chunk_
 
 
 GRAM_BUCKETS = 1 << 14
+CLASS_ROWS = 200_000
 
 
 def _ordered_grams(texts: DataFrame, counts: list[int]) -> DataFrame:
@@ -268,6 +269,7 @@ def trigram_join(
     order both follow.  The order puts rare grams first, by counts of ``GRAM_BUCKETS`` hash buckets
     over the corpus, so common grams join nothing; sizes and places rule out more pairs before any
     set is compared.  Null texts have no partner.  ``threshold`` is above 0 and at most 1.
+    Every pair is a row: of tables with many equal texts join the ``text_classes``.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
@@ -285,18 +287,34 @@ def trigram_join(
         kept = sets.withColumn("n", n).withColumn("head", F.slice("grams", 1, n - need(n) + 1))
         return kept.select(F.col("id").alias(f"{side}_id"), F.col("n").alias(f"{side}_n"), F.posexplode("head").alias(f"{side}_at", "gram"))
 
-    met = prefix(left, "q").join(prefix(right, "d"), "gram")
+    # Lists weigh more than the planner's estimate for their type: a broadcast would bring a whole side to the driver.
+    met = prefix(left, "q").join(prefix(right, "d").hint("merge"), "gram")
     shared = F.lit(1) + F.least(F.col("q_n") - F.col("q_at"), F.col("d_n") - F.col("d_at")) - 1
     fits = (F.col("d_n") >= need(F.col("q_n"))) & (F.col("q_n") >= need(F.col("d_n")))
     fits &= shared + F.least("q_at", "d_at") >= F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("q_n") + F.col("d_n")) - 1e-9)
-    pairs = broadcast_if_small(met.where(fits).select("q_id", "d_id").distinct())
-    near = right.join(pairs, right["id"] == pairs["d_id"]).select("q_id", "d_id", F.col("grams").alias("d_grams"))
-    both = near.join(left.select(F.col("id").alias("own_id"), F.col("grams").alias("q_grams")), F.col("q_id") == F.col("own_id"))
+    pairs = met.where(fits).select("q_id", "d_id").distinct()
+    near = pairs.join(right.select(F.col("id").alias("d_id"), F.col("grams").alias("d_grams")).hint("merge"), "d_id")
+    both = near.join(left.select(F.col("id").alias("q_id"), F.col("grams").alias("q_grams")).hint("merge"), "q_id")
     exact = F.size(F.array_intersect("q_grams", "d_grams")) / F.size(F.array_union("q_grams", "d_grams"))
     scored = both.select(F.col("q_id").alias("query_id"), F.col("d_id").alias("chunk_id"), F.round(exact, kernels.SCORE_DIGITS).alias("score"))
     return scored.where(F.col("score") >= threshold)
 
 
+def text_classes(docs: DataFrame, asked: Column, *, id_col: str = "chunk_id", text_col: str = "content") -> tuple[DataFrame, DataFrame]:
+    """Texts that are equal but for their case, and whose they are.
+
+    Classes are ``(class_id, text, asked)``: the smallest id of a text and whether ``asked`` holds
+    for any row of it.  Members are ``(class_id, id)``, one for every row; a row without a text has
+    no class.  Rows are combined in their tasks, so the copies of a text cost its reducer one row a task.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"), asked.alias("asked"))
+    grouped = rows.where(F.col("text").isNotNull()).groupBy("text").agg(F.min("id").alias("class_id"), F.max("asked").alias("asked"))
+    classes = cut_lineage(grouped.select("class_id", "text", "asked"))
+    # A few hot texts may own all rows: their classes are sent to the rows when they are few, else AQE splits the hot partitions.
+    small = broadcast_if_small(classes.select("class_id", "text"), CLASS_ROWS)
+    return classes, rows.select("id", "text").join(small, "text", "left").select("class_id", "id")
+
+
 def maxsim_long(vectors: DataFrame, query_tokens: list[list[float]], k: int, *, doc_col: str, vector_col: str, dim: int) -> DataFrame:
     """Late interaction over one-row-per-token storage.
 

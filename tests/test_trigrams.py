@@ -37,3 +37,26 @@ def test_common_grams_join_nothing(spark):
     assert {(r["query_id"], r["chunk_id"]) for r in search.trigram_join(docs, asked, 0.95).collect()} == {(i, i) for i in range(3)}
     with pytest.raises(ValueError):
         search.trigram_join(docs, asked, 0.0)
+
+
+def test_copies_are_members_and_no_pair_of_rows_is_lost(spark, tmp_path):
+    """Three hundred copies of four names: rows grow with the parts, all pairs follow from classes and members."""
+    from paperloom.plans.search_queries import trigram_matches
+
+    names = ["red bold nut", "Red bold nut", "red bold bolt", "zinc", None]
+    rows = [(i + 1, names[(i + 1) * 7 // 10 % 5]) for i in range(300)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    out = trigram_matches(spark, str(tmp_path)).collect()
+    owner = {r["p_partkey"]: r["class_id"] for r in out if r["kind"] == "member"}
+    pairs = [r for r in out if r["kind"] == "pair"]
+    assert len(owner) == 300 and len(pairs) <= 9 and all(owner[i] is None for i, n in rows if n is None)
+    near = {(r["class_id"], r["p_partkey"]): r["score"] for r in pairs}
+    got = {(q, d): near[owner[q], owner[d]] for q in owner if q % 20 == 0 for d in owner if (owner[q], owner[d]) in near}
+    want = {}
+    for q, a in rows:
+        for d, b in rows:
+            if q % 20 == 0 and a and b:
+                score = round(len(grams(a) & grams(b)) / len(grams(a) | grams(b)), 10)
+                if score >= 0.45:
+                    want[q, d] = score
+    assert got == want and len(want) > 1000
