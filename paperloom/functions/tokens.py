@@ -40,6 +40,10 @@ class BytePairTokens:
         """The last ``n`` tokens as text, the whole text when it has no more."""
         return self._column(lambda t, text: t.tail(text, n), "string", text)
 
+    def ends(self, text: Column, first: int, last: int) -> Column:
+        """``n, head, tail`` of a text: ``count``, ``head`` and ``tail`` by one worker and one encoding."""
+        return self._column(lambda t, text: t.ends(text, first, last), "struct<n:int,head:string,tail:string>", text)
+
     def counts(self, texts: Column) -> Column:
         return self._column(lambda t, texts: [t.count(x) for x in texts], "array<int>", texts)
 

@@ -439,10 +439,8 @@ def byte_pairs():
 @query("bpe_tokens")
 def bpe_tokens(spark, folder):
     """Byte-pair length of every text, its first 32 tokens and its last 50."""
-    tokens, text = byte_pairs(), F.col("text")
-    return documents(spark, folder).select(
-        "doc_id", tokens.count(text).alias("n_tokens"), F.md5(tokens.head(text, 32).cast("binary")).alias("head"), F.md5(tokens.tail(text, 50).cast("binary")).alias("tail")
-    )
+    sized = documents(spark, folder).select("doc_id", byte_pairs().ends(F.col("text"), 32, 50).alias("e"))
+    return sized.select("doc_id", F.col("e.n").alias("n_tokens"), F.md5(F.col("e.head").cast("binary")).alias("head"), F.md5(F.col("e.tail").cast("binary")).alias("tail"))
 
 
 @query("bpe_chunks")

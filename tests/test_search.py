@@ -160,3 +160,34 @@ def test_global_rank_is_total(spark):
     got = {r["id"]: r["rank"] for r in global_rank(df, [F.desc("v"), F.asc("id")]).collect()}
     want = {i: n + 1 for n, i in enumerate(sorted(range(500), key=lambda i: (-(i % 3), i)))}
     assert got == want
+
+
+def test_kernels_work_on_pieces_of_a_batch():
+    """A batch of any size is worked on some terms at a time; the rows are those of one piece."""
+    import pyarrow as pa
+
+    rows = [[f"w{i % 7}"] * (i % 5) + [f"v{i % 3}"] for i in range(400)] + [None, ["long"] * 3000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.string()))], names=["id", "terms"])
+    sparse = pa.schema([("id", pa.int64()), ("terms", pa.list_(pa.string())), ("weights", pa.list_(pa.float64()))])
+    dense = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float64()))])
+    for make in (lambda: kernels.term_weights(3, sparse), lambda: kernels.hashed_embedding(8, dense)):
+        want = list(make()(iter([batch])))
+        before, kernels.PIECE_TERMS = kernels.PIECE_TERMS, 100
+        try:
+            got = list(make()(iter([batch])))
+        finally:
+            kernels.PIECE_TERMS = before
+        assert len(want) == 1 and len(got) > 10 and pa.Table.from_batches(got).to_pylist() == want[0].to_pylist()
+
+
+def test_best_rows_equal_a_sort_of_everything():
+    rng = np.random.default_rng(5)
+    best, every = kernels.BestRows(3, 4), [[] for _ in range(3)]
+    for start in range(0, 300, 30):
+        scores = np.round(rng.random((30, 3)), 1)
+        scores[rng.random((30, 3)) < 0.2] = -np.inf
+        scores[rng.random((30, 3)) < 0.1] = np.nan
+        best.push(np.arange(start, start + 30)[::-1], scores)
+        for j in range(3):
+            every[j] += [(-s, i) for s, i in zip(scores[:, j], range(start + 29, start - 1, -1)) if s > -np.inf]
+    assert [ids.tolist() for ids in best.ids] == [[i for _, i in sorted(e)[:4]] for e in every]

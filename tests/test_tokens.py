@@ -83,3 +83,20 @@ def test_queries_read_whole_tables(spark, name):
             assert sizes[doc] == len(naive(text))
     else:
         assert (out["token_count"] > 0).all() and (out["token_count"] <= 600).all()
+
+
+def test_ends_are_count_head_and_tail_in_pieces_of_few_texts(spark, monkeypatch):
+    """One encoding gives all three, and a task never turns a whole batch into Python objects."""
+    from paperloom import kernels
+
+    tokens, text = BytePairTokens(PATH), F.col("text")
+    df = spark.createDataFrame(list(enumerate(TEXTS * 30)), "i int, text string").repartition(1)
+    got = df.select("i", tokens.ends(text, 4, 3).alias("e"), tokens.count(text).alias("n"), tokens.head(text, 4).alias("head"), tokens.tail(text, 3).alias("tail")).collect()
+    assert len(got) == len(TEXTS) * 30 and all(tuple(r["e"]) == (r["n"], r["head"], r["tail"]) for r in got)
+    seen = []
+    monkeypatch.setattr(kernels, "RankTokens", lambda *_: None)
+    work = kernels.token_udf(b"", "", lambda _, value: seen.append(value) or 1, "int").func
+    import pyarrow as pa
+
+    stream = work(iter([pa.array(["x"] * 1000)]))
+    assert len(next(stream)) == len(seen) == kernels.PIECE_TEXTS and sum(len(p) for p in stream) == 1000 - kernels.PIECE_TEXTS
