@@ -137,3 +137,8 @@ def stem_sql(word: str, d: Dialect) -> str:
 def stems(words: str) -> Column:
     """Stems of an ``array<string>`` column of lower-case words, named ``words``; repeats stay."""
     return F.expr(f"transform({words}, w -> {stem_sql('w', SPARK)})")
+
+
+def stems_of(word: str) -> Column:
+    """The stem of a string column of lower-case words."""
+    return F.expr(stem_sql(f"`{word}`", SPARK))

@@ -21,7 +21,7 @@ from paperloom import kernels
 from paperloom.functions import text as tx
 from paperloom.functions import vectors as vx
 from paperloom.functions.lexicon import STOP_WORDS
-from paperloom.functions.stems import stems
+from paperloom.functions.stems import stems, stems_of
 from paperloom.operators.ranking import top_k, top_k_per_group
 from paperloom.session import broadcast_if_small, cut_lineage
 from paperloom.settings import DEFAULTS
@@ -210,13 +210,34 @@ def text_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return _finish(parts, k)
 
 
+def without_stop_words(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("terms", F.filter("terms", lambda t: ~t.isin(STOP_WORDS)))
+
+
 def stemmed(docs: DataFrame) -> DataFrame:
     """``docs`` with its ``terms`` without stop words and as stems, so that forms of a word meet.
 
     A text column's stems are worked out in its row, for corpus and queries alike.
     """
-    kept = docs.withColumn("terms", F.filter("terms", lambda t: ~t.isin(STOP_WORDS)))
-    return kept.withColumn("terms", stems("terms"))
+    return without_stop_words(docs).withColumn("terms", stems("terms"))
+
+
+HOT_WORDS = 100_000
+
+
+def stem_counts(docs: DataFrame) -> DataFrame:
+    """Every stem of ``(chunk_id, terms)`` with its occurrences ``n`` and rows ``docs``; stop words do not count.
+
+    The ``HOT_WORDS`` most frequent words are stemmed once and sent to the rows; of the others
+    each is stemmed once a row, after its repeats are added up.
+    """
+    pairs = without_stop_words(docs).select("chunk_id", F.explode("terms").alias("term"))
+    words = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    hot = cut_lineage(top_k(words, HOT_WORDS, F.desc("n"), F.asc("term")).select("term", stems_of("term").alias("known")))
+    each = pairs.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(hot), "term", "left")
+    found = each.select(F.coalesce("known", stems_of("term")).alias("stem"), "chunk_id", "n")
+    rows = found.groupBy("stem", "chunk_id").agg(F.sum("n").alias("n"))
+    return rows.groupBy("stem").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 
 def text_search_one(

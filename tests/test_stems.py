@@ -27,3 +27,13 @@ def test_forms_of_a_word_meet_and_stop_words_do_not_count(spark):
     asked = spark.createDataFrame([(9, ["the", "relation", "national"], [1.0] * 3)], "query_id int, terms array<string>, weights array<double>")
     got = search.text_search(search.stemmed(docs), search.stemmed(asked), 5).orderBy("chunk_id").collect()
     assert [(r["chunk_id"], r["score"]) for r in got] == [(1, 1.0), (2, 1.0)]
+
+
+def test_stems_of_a_corpus_equal_those_of_its_rows(spark, monkeypatch):
+    """Words are stemmed once, not at each occurrence; counts are those of stemmed rows."""
+    monkeypatch.setattr(search, "HOT_WORDS", 3)
+    words = ["the", "relations", "relating", "nation", "nations", "skies", "sky", "dying", "die", "ab12", "running", "run"]
+    docs = spark.createDataFrame([(i % 37, [words[(i * j) % 12] for j in range(i % 9)]) for i in range(60)] + [(90, None), (91, [])], "chunk_id int, terms array<string>")
+    slow = search.stemmed(docs).select("chunk_id", F.explode("terms").alias("stem")).groupBy("stem").agg(F.count("*").alias("n"), F.countDistinct("chunk_id").alias("docs"))
+    assert {tuple(r) for r in search.stem_counts(docs).collect()} == {tuple(r) for r in slow.collect()}
+    assert search.stem_counts(docs.limit(0)).isEmpty()
