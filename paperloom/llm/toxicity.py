@@ -61,7 +61,7 @@ class Matcher:
 
     The state after a trie path is one row of edit distances between that path and
     every beginning of the word; a branch is left when the row holds nothing within
-    the allowed edits, so a word visits a thin strip of the trie.
+    the edits that any entry below it allows, so a word visits a thin strip of the trie.
     """
 
     def __init__(self, lexicon: Lexicon):
@@ -92,6 +92,7 @@ class Matcher:
         # A longer word differs from every term and equals none of its own beginnings' matches: the rest is not looked at.
         self.longest = max((len(w) for w in [*lexicon.terms, *lexicon.stems]), default=0) + 3
         self.memory: dict[str, tuple | None] = {}
+        self.clean: set[str] = set()
         # Four letters forgive no edit, but a sign in place of an inner letter is no other word.
         self.masked: dict[str, tuple[str, bool]] = {}
         for stem, entries in ((True, lexicon.stems), (False, lexicon.terms)):
@@ -101,15 +102,30 @@ class Matcher:
         node = self.trie
         for letter in word:
             node = node.setdefault(letter, {})
+            node[0] = max(node.get(0, 0), allowed(len(word)))  # the most edits forgiven below
         node.setdefault("", []).append(value)
 
     def candidate(self, word: str) -> bool:
         """Cheap and complete: false only for words that no entry can match."""
-        return (
-            any(word[:n] in known for n, known in self.heads.items())
-            or any(word[-n:] in known for n, known in self.tails.items())
-            or any(word[at:at + n] in known for (at, n), known in self.places.items())
-        )
+        for n, known in self.heads.items():
+            if word[:n] in known:
+                return True
+        for n, known in self.tails.items():
+            if word[-n:] in known:
+                return True
+        for (at, n), known in self.places.items():
+            if word[at:at + n] in known:
+                return True
+        return False
+
+    def matching(self, words: set[str]) -> set[str]:
+        """Those of ``words`` that match an entry; the others are remembered as a set, so a text of known words costs one difference."""
+        left = words - self.clean
+        found = {w for w in left if self.search(w)}
+        if len(self.clean) >= MEMORY:
+            self.clean.clear()
+        self.clean |= left - found
+        return found
 
     def search(self, word: str) -> tuple[float, int, str] | None:
         """(share, distance, entry) of the best entry that ``word`` matches; words seen before are remembered."""
@@ -181,7 +197,7 @@ class Matcher:
                     down = [row[0] + 1]
                     for i, mine in enumerate(word):
                         down.append(min(down[-1] + 1, row[i + 1] + 1, row[i] + (mine != letter)))
-                    if min(down) <= 2:
+                    if min(down) <= child[0]:
                         stack.append((child, tuple(down)))
         return best
 
@@ -204,7 +220,7 @@ def hits(text: str, matcher: Matcher) -> list[tuple[int, int, float, int]]:
     low = text.lower()
     if len(low) != len(text):  # some letters grow when lowered: lower A-Z alone, so that offsets hold
         low = text.translate({c: c + 32 for c in range(65, 91)})
-    known = {w for w in set(WORD.findall(low)) if matcher.search(w)}
+    known = matcher.matching(set(WORD.findall(low)))
     hidden = [(m.start() + a, m.start() + b, found) for m in CHAIN.finditer(low) for a, b, found in matcher.disguised(m[0])]
     if not known and not hidden:
         return []

@@ -172,3 +172,27 @@ def test_redaction_joins_overlapping_spans():
 def test_secret_scan_keeps_rows(spark, table):
     df = table(spark)
     assert secrets.scan_secrets(df).count() == df.count()
+
+
+def test_toxicity_branches_end_at_the_edits_their_entries_allow():
+    """Matches are those of plain edit distances; a branch of short entries is left after one edit, and clean words are looked up once."""
+    import random
+
+    from paperloom.llm.toxicity import Lexicon, Matcher, allowed
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row = row, [i + 1]
+            for j, y in enumerate(b):
+                row.append(min(last[j + 1] + 1, row[j] + 1, last[j] + (x != y)))
+        return row[-1]
+
+    rnd = random.Random(4)
+    terms = {"abcba": 0.9, "ccab": 0.8, "abcabcabca": 0.7, "bacca": 0.6}
+    words = {"".join(rnd.choices("abc", k=rnd.randint(3, 11))) for _ in range(3000)} | set(terms)
+    matcher = Matcher(Lexicon(terms, {}))
+    assert matcher.matching(words) == {w for w in words if any(edits(w, t) <= allowed(len(t)) for t in terms)}
+    calls, matcher.search = [], lambda w, plain=matcher.search: calls.append(w) or plain(w)
+    assert matcher.matching(words) == set(calls)
+    assert matcher.trie["c"][0] == 0 and matcher.trie["b"][0] == 1 and matcher.trie["a"][0] == 2
