@@ -266,7 +266,7 @@ SELECT paper_id, section_id, level, dropped, subtree_sections, subtree_excluded
 )
 def section_subtrees(spark, folder):
     """Every section with its level, its exclusion from above and the sums of its subtree."""
-    tree = section_tree.resolve_tree(section_rows(spark, folder))
+    tree = section_tree.resolve_documents(section_rows(spark, folder))
     return tree.select("paper_id", "section_id", "level", "dropped", "subtree_sections", "subtree_excluded")
 
 
@@ -276,7 +276,7 @@ def section_subtrees(spark, folder):
   count(*) FILTER (NOT x)::BIGINT AS retained_sections, round(count(*) FILTER (x) / count(*)::DOUBLE, 6) AS exclusion_rate FROM s GROUP BY paper_id""",
 )
 def section_tree_stats(spark, folder):
-    return section_tree.document_stats(section_tree.resolve_tree(section_rows(spark, folder)))
+    return section_tree.document_stats(section_tree.resolve_documents(section_rows(spark, folder)))
 
 
 @query(
@@ -287,7 +287,7 @@ SELECT paper_id, section_id, (row_number() OVER (PARTITION BY paper_id ORDER BY
 )
 def section_outline(spark, folder):
     """Kept sections in reading order."""
-    return section_tree.outline(section_tree.resolve_tree(section_rows(spark, folder))).select("paper_id", "section_id", "place")
+    return section_tree.outline(section_tree.resolve_documents(section_rows(spark, folder))).select("paper_id", "section_id", "place")
 
 
 @query("nested_chunks")
@@ -298,7 +298,7 @@ def nested_chunks(spark, folder):
     rows = lines.select(
         "doc_id", F.col("position").alias("section_id"), parent.alias("parent_id"), "position",
         F.concat(F.lit("Part "), "position").alias("title"), F.array("line").alias("paragraphs"))
-    nested = section_tree.nested_documents(section_tree.resolve_tree(rows, doc="doc_id"), doc="doc_id")
+    nested = section_tree.nested_documents(section_tree.resolve_documents(rows, doc="doc_id"), doc="doc_id")
     return chunking.chunk_documents(nested, key="doc_id").select("doc_id", "chunk_id", "chunk_index", "section_title", "token_count", "char_count")
 
 

@@ -88,3 +88,27 @@ def test_rings_orphans_nulls_and_empty(spark):
         ("a", 5): (1, False, 2), ("a", 6): (2, False, 1), ("b", 6): (1, False, 1),
     }
     assert section_tree.resolve_tree(df.limit(0)).count() == 0
+
+
+def test_small_documents_are_walked_and_large_ones_doubled(spark, monkeypatch):
+    """Same rows as by doubling, whatever a batch holds; without a large document there is not one round."""
+    rows = forest(4, {"a": 60, "b": 1, "c": 25}) + [
+        ("r", 1, 2, 0, "References", None, "x"), ("r", 2, 1, 0, "Method", None, "x"), ("r", 3, 2, 0, "Method", None, "x"), ("r", 4, 4, 0, None, None, "x"),
+        ("r", 5, 99, None, "Method", None, "x"), ("r", 6, 5, None, "Method", None, "x"), (None, 7, None, 0, "Method", None, "x"), ("r", None, 1, 0, "Method", None, "x"),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA).drop("path")
+    columns = ["paper_id", "section_id", "level", "preorder", "dropped", "subtree_sections", "subtree_excluded"]
+    found = lambda tree: {r[:2]: r[2:] for r in map(tuple, tree.select(columns).collect())}
+    want = found(section_tree.resolve_tree(df))
+    rounds = []
+    doubled = section_tree._doubled
+    monkeypatch.setattr(section_tree, "_doubled", lambda state: rounds.append(1) or doubled(state))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for batch in ("7", size):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        assert found(section_tree.resolve_documents(df)) == want and len(want) == 92 and not rounds
+    assert found(section_tree.resolve_documents(df, whole=25)) == want and rounds
+    tree = section_tree.resolve_documents(df)
+    places = lambda tree: sorted((r["paper_id"], r["section_id"], r["place"]) for r in section_tree.outline(tree).collect())
+    assert places(tree) == places(section_tree.resolve_tree(df))
+    assert section_tree.resolve_documents(df.limit(0)).count() == 0
