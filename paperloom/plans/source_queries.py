@@ -246,7 +246,9 @@ def stream_ingest(spark, folder):
     """Windowed ingest as a file stream, run twice: the second run finds nothing new."""
     out = scratch(spark)
     orders = load(spark, folder, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
-    orders.unionByName(orders).repartition(4).write.parquet(f"{out}/landing")
+    # Small row groups, because a task reads no less than one of them, however large the file is.
+    landing = orders.unionByName(orders).repartition(4).write.option("parquet.block.size", streaming_ingest.SPLIT_BYTES)
+    landing.parquet(f"{out}/landing")
     for _ in range(2):
         streaming_ingest.ingest(
             spark, f"{out}/landing", orders.schema, f"{out}/papers", f"{out}/state", id_col="o_orderkey", day_col="day",

@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 
 from paperloom.functions.dates import window_of
 
+# Most bytes of the source that one task reads.  Its rows are sorted by id in memory, and narrow
+# columns of a Parquet file unpack to some forty times their size there.
+SPLIT_BYTES = 8 * 1024 * 1024
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -47,8 +50,10 @@ def ingest(
     its first batch is left out, whatever its day.
     """
     # Seen ids grow with the source, so their state belongs on disk, not on the heap.
-    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.files.maxPartitionBytes": str(SPLIT_BYTES)}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def add(batch: DataFrame, batch_id: int) -> None:
@@ -70,7 +75,8 @@ def ingest(
         )
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def windowed_counts(stream: DataFrame, *, time_col: str, group: str, width: str, late: str, slide: str | None = None) -> DataFrame:

@@ -51,3 +51,18 @@ def test_ingest_of_an_id_over_many_files_is_reproducible(spark, tmp_path):
         ingest.ingest(spark, f"{tmp_path}/in", schema, f"{tmp_path}/out{turn}", f"{tmp_path}/state{turn}", id_col="id", day_col="day", start=START, days=7)
         got.append(sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out{turn}").select("id", "day", "title").collect())))
     assert got[0] == got[1] and [r[0] for r in got[0]] == list(range(7)) and {r[1] for r in got[0]} == {START}
+
+
+def test_ingest_reads_large_files_in_small_splits(spark, tmp_path, monkeypatch):
+    """A file of many row groups is dealt to many tasks, and the session's own split size is left as it was."""
+    name, seen = "spark.sql.files.maxPartitionBytes", []
+    before = spark.conf.get(name)
+    first_seen = ingest.first_seen
+    monkeypatch.setattr(ingest, "SPLIT_BYTES", 2048)
+    monkeypatch.setattr(ingest, "first_seen", lambda stream, **columns: seen.append(spark.conf.get(name)) or first_seen(stream, **columns))
+    rows = [(i, START + dt.timedelta(days=i % 30), f"t{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows + rows, SCHEMA)
+    df.coalesce(1).write.option("parquet.block.size", 2048).parquet(f"{tmp_path}/in new")
+    run(spark, tmp_path)
+    assert seen == ["2048"] and spark.conf.get(name) == before
+    assert taken(spark, tmp_path) == [(i, f"t{i}", i % 30 // 7) for i in range(3000)]
