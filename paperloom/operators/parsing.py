@@ -343,14 +343,19 @@ def parse_with_fallback(latex: DataFrame, markdown: DataFrame, key: str = "paper
 
 
 def parse_sources(df: DataFrame, key: str = "paper_id", latex_col: str = "latex", markdown_col: str = "markdown") -> DataFrame:
-    """As ``parse_with_fallback`` for papers that have both sources in one row: no join, no shuffle."""
+    """As ``parse_with_fallback`` for papers that have both sources in one row: no join, no shuffle.
+
+    Markdown is only parsed where it is needed, and every field is a column of its own, so
+    that fields nobody asks for are not computed.
+    """
     names = ("title", "abstract", "sections", "equations", "figures", "parse_method")
-    tex = parse_latex(df.select(key, latex_col, markdown_col), latex_col).select(key, latex_col, markdown_col, F.struct(*names).alias("__tex"))
-    both = parse_markdown(tex, markdown_col).select(key, latex_col, markdown_col, "__tex", F.struct(*names).alias("__md"))
-    usable = F.col(latex_col).isNotNull() & F.coalesce(F.size("__tex.sections") > 0, F.lit(False))
-    pick = F.when(usable | F.col(markdown_col).isNull(), F.col("__tex")).otherwise(F.col("__md"))
-    return both.select(key, pick.alias("d")).select(
-        key, "d.*", F.when(F.coalesce(F.size("d.sections"), F.lit(0)) <= 0, F.lit("no sections found")).alias("error"))
+    tex = parse_latex(df.select(key, latex_col, markdown_col), latex_col).select(
+        key, latex_col, markdown_col, *[F.col(n).alias(f"__tex_{n}") for n in names])
+    usable = F.col(latex_col).isNotNull() & F.coalesce(F.size("__tex_sections") > 0, F.lit(False))
+    chosen = tex.withColumn("__use", usable | F.col(markdown_col).isNull())
+    both = parse_markdown(chosen.withColumn("__markdown", F.when(~F.col("__use"), F.col(markdown_col))), "__markdown")
+    picked = both.select(key, *[F.when(F.col("__use"), F.col(f"__tex_{n}")).otherwise(F.col(n)).alias(n) for n in names])
+    return picked.select("*", F.when(F.coalesce(F.size("sections"), F.lit(0)) <= 0, F.lit("no sections found")).alias("error"))
 
 
 def counts(df: DataFrame) -> DataFrame:

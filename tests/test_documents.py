@@ -244,3 +244,20 @@ def test_anchor_is_the_rarest_window(spark):
 def test_unicode_space_and_words(spark):
     assert one(spark, tx.word_count, "a\u00a0b\u2003c  d", "", " ") == [4, 0, 0]
     assert one(spark, tx.tokens, "Éa-b, C3!") == [["éa", "b", "c3"]]
+
+
+def test_markdown_is_a_fallback_and_unasked_fields_are_not_computed(spark):
+    """Same rows as by the join of two full parses; counting methods reads neither titles nor equations."""
+    tex = "\\title{T {x}}\\begin{document}\\section{One}A paragraph that is long enough $$a$$ here.\\end{document}"
+    md = "# Title\n\n## Abstract\nShort.\n\n## Part\n\nA paragraph that is long enough\n\n$$ e $$\n"
+    rows = [(1, tex, md), (2, tex, None), (3, None, md), (4, "no heading", md), (5, "no heading", None), (6, None, "nothing"), (7, None, None), (8, "", "")]
+    df = spark.createDataFrame(rows, "paper_id int, latex string, markdown string")
+    latex = parsing.parse_latex(df.where("latex is not null").withColumnRenamed("latex", "content"))
+    markdown = parsing.parse_markdown(df.where("markdown is not null"))
+    want = {r["paper_id"]: tuple(r) for r in parsing.parse_with_fallback(latex, markdown).collect()}
+    done = parsing.parse_sources(df)
+    got = {r["paper_id"]: tuple(r) for r in done.collect()}
+    assert {k: v for k, v in got.items() if k != 7} == want and got[7][-1] == "no sections found"
+    assert done.columns == ["paper_id", "title", "abstract", "sections", "equations", "figures", "parse_method", "error"]
+    text = done.groupBy("parse_method", F.col("error").isNull()).count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "icmltitle" not in text and "equation" not in text
