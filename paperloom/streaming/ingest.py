@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from paperloom.functions.dates import window_of
 
 # Most bytes of the source that one task reads.  Its rows are sorted by id in memory, and narrow
-# columns of a Parquet file unpack to some forty times their size there.
+# columns of a Parquet file take some fifty times their size there.
 SPLIT_BYTES = 8 * 1024 * 1024
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
