@@ -100,18 +100,19 @@ def dense_search(
 
 
 JOIN_BLOCK_ROWS = 4096
+# A block of queries stays in its task while rows pass: it has up to so many times the rows of a block, and up to so many bytes.
+JOIN_QUERY_BLOCKS = 8
+JOIN_QUERY_BYTES = 16 * 1024 * 1024
+# Tasks for each slot, so that the last ones do not wait long.
+JOIN_WAVES = 4
 
 
-def _packed(rows: DataFrame, id_col: str, vector_col: str, dim: int, n: int, prefix: str) -> tuple[DataFrame, int]:
-    """Vectors in blocks of about ``JOIN_BLOCK_ROWS``, one row a block: ``block, ids, values``."""
-    blocks = 1 + n // JOIN_BLOCK_ROWS
-    own = rows.where(vx.has_dimension(F.col(vector_col), dim)).select(F.col(id_col).alias("id"), vx.as_doubles(F.col(vector_col)).alias("v"))
+def _packed(rows: DataFrame, id_col: str, vector_col: str, dim: int, blocks: int, kind: str) -> DataFrame:
+    """Vectors in ``blocks`` of about the same size, one row a block: ``block, ids, values``."""
+    own = rows.where(vx.has_dimension(F.col(vector_col), dim)).select(F.col(id_col).alias("id"), F.col(vector_col).cast(kind).alias("v"))
     own = own.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)))
     kept = own.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    packed = kept.select(
-        F.col("block").alias(f"{prefix}_block"), F.col("rows.id").alias(f"{prefix}_ids"), F.flatten("rows.v").alias(f"{prefix}_values")
-    )
-    return cut_lineage(packed), blocks
+    return cut_lineage(kept.select("block", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("values")))
 
 
 def dense_join(
@@ -119,17 +120,31 @@ def dense_join(
 ) -> DataFrame:
     """``dense_search`` for a query set as large as the corpus: no vector reaches the driver.
 
-    Both sides are packed into blocks by hash.  Every block of queries meets every block of rows
-    once, as two rows of some megabytes and one matrix product, and keeps ``k`` rows per query.
+    Both sides are packed into blocks by hash.  A task holds one block of queries, through which
+    all blocks of rows (or, with few queries, a part of them) stream; it keeps ``k`` rows per query.
+    Rows travel once for each block of queries, not for each pair of blocks.
     """
-    left, n_left = _packed(queries, "query_id", "query_vector", dim, queries.count(), "query")
-    right, n_right = _packed(vectors, id_col, vector_col, dim, vectors.count(), "row")
-    # A hash of the pair deals the pairs over all tasks, where a join on one block number would gather them.
-    met = left.withColumn("row_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_right - 1).cast("long"))))
-    copies = right.withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_left - 1).cast("long"))))
+    floats = all(df.schema[col].dataType == T.ArrayType(T.FloatType()) for df, col in ((vectors, vector_col), (queries, "query_vector")))
+    kind = "array<float>" if floats else "array<double>"
+    together = JOIN_BLOCK_ROWS * max(1, min(JOIN_QUERY_BLOCKS, JOIN_QUERY_BYTES // (JOIN_BLOCK_ROWS * dim * 8)))
+    n_left, n_right = 1 + queries.count() // together, 1 + vectors.count() // JOIN_BLOCK_ROWS
+    parts = min(n_right, -(-JOIN_WAVES * vectors.sparkSession.sparkContext.defaultParallelism // n_left))
+    left = _packed(queries, "query_id", "query_vector", dim, n_left, kind)
+    right = _packed(vectors, id_col, vector_col, dim, n_right, kind)
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = left.withColumn("part", numbers(parts)).select(
+        (F.col("block") * parts + F.col("part")).alias("task"), F.lit(-1).cast("long").alias("place"),
+        F.col("ids").alias("query_ids"), F.lit(None).cast(right.schema["ids"].dataType).alias("row_ids"), "values",
+    )
+    rows = right.withColumn("query_block", numbers(n_left)).select(
+        (F.col("query_block") * parts + F.col("block") % parts).alias("task"), F.col("block").alias("place"),
+        F.lit(None).cast(left.schema["ids"].dataType).alias("query_ids"), F.col("ids").alias("row_ids"), "values",
+    )
+    # Tasks are numbered, so each has a partition of its own; a hash of the number would put several into one.
+    dealt = asked.unionByName(rows).repartitionById(n_left * parts, F.col("task").cast("int")).sortWithinPartitions("task", "place")
     schema = _leg_schema(queries.schema["query_id"].dataType, vectors.schema[id_col].dataType)
-    pairs = met.join(copies, ["query_block", "row_block"]).select("query_ids", "query_values", "row_ids", "row_values")
-    return _finish([pairs.mapInArrow(kernels.block_pairs(dim, k, threshold, _arrow(schema)), schema)], k)
+    run = kernels.block_streams(dim, k, threshold, _arrow(schema))
+    return _finish([dealt.select("task", "query_ids", "row_ids", "values").mapInArrow(run, schema)], k)
 
 
 def equation_search(equations: DataFrame, queries: DataFrame, k: int, dim: int, *, threshold: float | None = None) -> DataFrame:

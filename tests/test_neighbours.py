@@ -54,3 +54,29 @@ def test_index_recall_pruned_files_and_exact_probing(spark, tmp_path, monkeypatc
     few = vector_index.search_index(index, cells, queries, 5, probes)
     assert vector_index.recall(few, exact) >= 0.9
     assert "PartitionFilters: [isnotnull(cell" in plan(few) or "cell#" in plan(few).split("PartitionFilters: [")[1][:80]
+
+
+def test_tasks_hand_on_k_rows_for_each_query_not_for_each_pair_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "JOIN_BLOCK_ROWS", 8)
+    monkeypatch.setattr(search, "JOIN_QUERY_BLOCKS", 2, raising=False)
+    monkeypatch.setattr(search, "JOIN_WAVES", 1, raising=False)
+    handed = []
+    finish = search._finish
+    monkeypatch.setattr(search, "_finish", lambda parts, k: handed.extend(p.count() for p in parts) or finish(parts, k))
+    rows = table(spark, 160, 4, 5)
+    queries = table(spark, 64, 4, 6).selectExpr("chunk_id AS query_id", "embedding AS query_vector")
+    got = search.dense_join(rows, queries, 3, 4).collect()
+    want = search.dense_search(rows, queries.where("size(query_vector) = 4"), 3, 4).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and handed[0] <= 64 * 3  # 5 blocks of queries fill 4 slots: one part
+
+
+def test_scores_closer_than_single_precision_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(search, "JOIN_BLOCK_ROWS", 16)
+    rnd = random.Random(9)
+    base = [rnd.gauss(0, 1) for _ in range(16)]
+    rows = spark.createDataFrame([(i, [x + rnd.gauss(0, 3e-5) for x in base]) for i in range(200)], "chunk_id long, embedding array<double>")
+    queries = rows.where("chunk_id % 3 = 0").selectExpr("chunk_id AS query_id", "embedding AS query_vector")
+    for options in ({}, {"threshold": 0.9999999985}):
+        want = {tuple(r) for r in search.dense_search(rows, queries, 5, 16, **options).collect()}
+        assert {tuple(r) for r in search.dense_join(rows, queries, 5, 16, **options).collect()} == want
+        assert len({score for _, _, score, _ in want}) > 3
