@@ -16,7 +16,7 @@ from paperloom.plans.registry import oracle_sql, query
 from paperloom.session import ensure_checkpoint_dir
 from paperloom.sources import figure_files, files, metadata, paged
 from paperloom.sources.store import Store, search_postings, write_postings
-from paperloom.sources.tables import load
+from paperloom.sources.tables import load, spread
 from paperloom.streaming import ingest as streaming_ingest
 from paperloom.streaming import limiter as streaming_limiter
 
@@ -138,7 +138,8 @@ def store_changes(spark, folder):
 @query("sparse_index_topk", oracle_sql()["sparse_truncated_topk"])
 def sparse_index_topk(spark, folder):
     """The same answer as the one-pass scan, from the inverted index."""
-    docs = search.encode_sparse(load(spark, folder, "documents"), 128, id_col="doc_id", text_col="text").withColumnRenamed("doc_id", "chunk_id")
+    texts = spread(load(spark, folder, "documents").select("doc_id", "text"))
+    docs = search.encode_sparse(texts, 128, id_col="doc_id", text_col="text").withColumnRenamed("doc_id", "chunk_id")
     path = scratch(spark)
     write_postings(docs, path, buckets=16)
     return fx.as_items(search_postings(spark, path, fx.benchmark_terms(spark, folder), 10, buckets=16))

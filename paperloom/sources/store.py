@@ -86,19 +86,20 @@ def write_postings(docs: DataFrame, path: str, buckets: int = 256) -> None:
 
 
 def search_postings(spark: SparkSession, path: str, queries: DataFrame, k: int, buckets: int = 256) -> DataFrame:
-    """Sparse top-k from the inverted index: an equi-join on bucket and term, then one aggregation.
+    """Sparse top-k from the inverted index: postings of asked terms meet by row, then each task scores its rows.
 
-    The query side is narrow; Spark broadcasts it once it knows it is small and
-    then prunes the buckets no query term falls into.
+    The asked terms are narrow; they are broadcast once they are known to be few, which prunes the
+    buckets no term falls into.  A posting moves once, however many queries ask for its term, and a
+    task hands on ``k`` rows per query.
     """
     from pyspark.sql import functions as F
 
-    from paperloom.operators.ranking import top_k_per_group
-    from paperloom.operators.search import leg_order
+    from paperloom.operators.search import sparse_search
+    from paperloom.session import broadcast_if_small
 
-    asked = queries.select("query_id", F.explode(F.arrays_zip("terms", "weights")).alias("e"))
-    terms = asked.groupBy("query_id", F.col("e.terms").alias("term")).agg(F.sum("e.weights").alias("asked"))
-    terms = terms.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    scored = spark.read.parquet(path).join(terms, ["bucket", "term"])
-    sums = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("asked") * F.col("weight")), 10).alias("score"))
-    return top_k_per_group(sums, ["query_id"], k, leg_order())
+    asked = queries.where(F.col("terms").isNotNull())
+    terms = asked.select(F.explode("terms").alias("term")).distinct()
+    terms = broadcast_if_small(terms.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")))
+    found = spark.read.parquet(path).join(terms, ["bucket", "term"])
+    rows = found.groupBy("chunk_id").agg(F.collect_list(F.struct("term", "weight")).alias("found"))
+    return sparse_search(rows.select("chunk_id", F.col("found.term").alias("terms"), F.col("found.weight").alias("weights")), asked, k)

@@ -191,3 +191,17 @@ def test_best_rows_equal_a_sort_of_everything():
         for j in range(3):
             every[j] += [(-s, i) for s, i in zip(scores[:, j], range(start + 29, start - 1, -1)) if s > -np.inf]
     assert [ids.tolist() for ids in best.ids] == [[i for _, i in sorted(e)[:4]] for e in every]
+
+
+def test_postings_are_scored_where_their_rows_meet(spark, tmp_path):
+    """A term that all queries ask for costs one row a posting, not one for each query."""
+    from paperloom.sources.store import search_postings, write_postings
+
+    docs = spark.createDataFrame([(i, ["the", f"w{i % 7}", f"x{i}"], [float(1 + i % 5), 2.0, 1.0]) for i in range(80)], "chunk_id long, terms array<string>, weights array<double>")
+    asked = [(f"q{j}", ["the", f"w{j % 7}", "the", "gone"], [1.0, 0.5, 1.0, 1.0]) for j in range(30)] + [("none", None, None), ("empty", [], [])]
+    queries = spark.createDataFrame(asked, "query_id string, terms array<string>, weights array<double>")
+    write_postings(docs, str(tmp_path / "index"), buckets=4)
+    hits = search_postings(spark, str(tmp_path / "index"), queries, 6, buckets=4)
+    want = search.sparse_search(docs, queries.where("terms IS NOT NULL"), 6)
+    assert {tuple(r) for r in hits.collect()} == {tuple(r) for r in want.collect()} and hits.count() == 180
+    assert "Aggregate(keys=[query_id" not in plan(hits)
