@@ -211,6 +211,11 @@ def text_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     ``docs`` is ``(chunk_id, terms)`` with repeats, ``queries`` is ``(query_id, terms)``.
     """
+    return _all_terms(docs, queries, k)
+
+
+def _all_terms(docs: DataFrame, queries: DataFrame, k: int, forms: DataFrame | None = None) -> DataFrame:
+    """``text_search``; with ``forms``, ``(word, term)``, the words of ``docs`` count as the terms they stand for."""
     source = docs.select("chunk_id", "terms")
     schema = _leg_schema(queries.schema["query_id"].dataType, source.schema["chunk_id"].dataType)
     asked = queries.select(
@@ -220,11 +225,29 @@ def text_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     )
     parts = []
     for rows in _blocks(asked, _term_row_bytes(asked)):
-        run = kernels.all_terms_scan(kernels.QueryTerms([tuple(r) for r in rows]), k, _arrow(schema))
+        known = None
+        if forms is not None:
+            # A stem has few forms, so these are a few times the terms of the block.
+            wanted = docs.sparkSession.createDataFrame(pa.table({"term": pa.array(sorted({t for r in rows for t in r["terms"]}), pa.string())}))
+            known = [tuple(r) for r in forms.join(F.broadcast(wanted), "term").select("word", "term").collect()]
+        run = kernels.all_terms_scan(kernels.QueryTerms([tuple(r) for r in rows], known), k, _arrow(schema))
         parts.append(source.mapInArrow(run, schema))
     return _finish(parts, k)
 
 
+def stemmed_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``text_search`` of the ``stemmed`` rows and queries, in which a word of the corpus is stemmed once, not at each occurrence.
+
+    A first pass gathers the corpus' distinct words; those with the stem of a query's word travel to
+    the second, which counts the words as they stand.  A larger query set takes both passes for each block.
+    """
+    asked = cut_lineage(stemmed(queries.where(F.col("terms").isNotNull())).select("query_id", "terms"))
+    each = docs.select(F.explode(F.array_distinct("terms")).alias("word")).distinct()
+    # Never null: the planner would test that of every occurrence's stem, below the distinct.
+    forms = each.select("word", F.coalesce(stems_of("word"), F.lit("")).alias("term"))
+    return _all_terms(without_stop_words(docs), asked, k, forms)
+
+
 def without_stop_words(docs: DataFrame) -> DataFrame:
     return docs.withColumn("terms", F.filter("terms", lambda t: ~t.isin(STOP_WORDS)))
 

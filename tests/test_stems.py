@@ -37,3 +37,29 @@ def test_stems_of_a_corpus_equal_those_of_its_rows(spark, monkeypatch):
     slow = search.stemmed(docs).select("chunk_id", F.explode("terms").alias("stem")).groupBy("stem").agg(F.count("*").alias("n"), F.countDistinct("chunk_id").alias("docs"))
     assert {tuple(r) for r in search.stem_counts(docs).collect()} == {tuple(r) for r in slow.collect()}
     assert search.stem_counts(docs.limit(0)).isEmpty()
+
+
+def test_a_search_stems_a_word_of_the_corpus_once(spark, monkeypatch):
+    """The search gives the rows of stemmed texts, but no row's list of words is stemmed, only distinct words are."""
+    words = ["the", "relations", "relating", "nation", "nations", "skies", "sky", "dying", "die", "ab12", "running", "run"]
+    rows = [(i, [words[(i * j + i // 12) % 12] for j in range(i % 9)]) for i in range(60)] + [(90, None), (91, []), (92, ["the"])]
+    docs = spark.createDataFrame(rows, "chunk_id int, terms array<string>")
+    asked = [(1, ["relation", "the"]), (2, ["nation", "skies", "nations"]), (3, ["died", "gone"]), (4, ["the"]), (5, []), (6, ["runs"]), (6, ["dies"])]
+    queries = spark.createDataFrame(asked, "query_id int, terms array<string>")
+    want = {tuple(r) for r in search.text_search(search.stemmed(docs), search.stemmed(queries), 4).collect()}
+    stemmed = search.stemmed
+    monkeypatch.setattr(search, "stemmed", lambda df: stemmed(df) if "query_id" in df.columns else 1 / 0)
+    assert want and {tuple(r) for r in search.stemmed_search(docs, queries, 4).collect()} == want
+    monkeypatch.setattr(search, "_term_row_bytes", lambda queries: search.DEFAULTS.search.query_block_bytes // 2)  # two queries a block
+    assert {tuple(r) for r in search.stemmed_search(docs, queries, 4).collect()} == want
+    assert search.stemmed_search(docs.limit(0), queries, 4).isEmpty() and search.stemmed_search(docs, queries.limit(0), 4).isEmpty()
+
+
+def test_stemmed_query_has_no_stem_of_a_row_in_its_plan(spark, tmp_path):
+    from conftest import plan
+    from paperloom.plans import catalog
+
+    spark.createDataFrame([(i, "Relations of nations, relating running skies") for i in range(9)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a relation runs")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    hits = catalog.queries()["text_search_stemmed"](spark, str(tmp_path))
+    assert hits.count() == 9 and "ization" not in plan(hits)
