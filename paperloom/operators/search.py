@@ -309,6 +309,8 @@ def trigram_search(docs: DataFrame, query: str, k: int, *, id_col: str = "chunk_
 
 GRAM_BUCKETS = 1 << 14
 CLASS_ROWS = 200_000
+BLOCK_IDS = 256
+PIECE_IDS = 16
 
 
 def _ordered_grams(texts: DataFrame, counts: list[int]) -> DataFrame:
@@ -328,7 +330,7 @@ def trigram_join(
     order both follow.  The order puts rare grams first, by counts of ``GRAM_BUCKETS`` hash buckets
     over the corpus, so common grams join nothing; sizes and places rule out more pairs before any
     set is compared.  Null texts have no partner.  ``threshold`` is above 0 and at most 1.
-    Every pair is a row: of tables with many equal texts join the ``text_classes``.
+    Every pair is a row: of tables with many equal texts join the ``text_classes``, ``member_pairs`` gives the rows.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
@@ -362,16 +364,50 @@ def trigram_join(
 def text_classes(docs: DataFrame, asked: Column, *, id_col: str = "chunk_id", text_col: str = "content") -> tuple[DataFrame, DataFrame]:
     """Texts that are equal but for their case, and whose they are.
 
-    Classes are ``(class_id, text, asked)``: the smallest id of a text and whether ``asked`` holds
-    for any row of it.  Members are ``(class_id, id)``, one for every row; a row without a text has
-    no class.  Rows are combined in their tasks, so the copies of a text cost its reducer one row a task.
+    Classes are ``(class_id, text, asked)``: a number of the class, as ids may repeat or be null, and
+    whether ``asked`` holds for any row of it.  Members are ``(class_id, id, asked, n, n_asked)``, one
+    for every row, with the rows and the asked ones of its class; a row without a text has no class.
+    Rows are combined in their tasks, so the copies of a text cost its reducer one row a task.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"), asked.alias("asked"))
-    grouped = rows.where(F.col("text").isNotNull()).groupBy("text").agg(F.min("id").alias("class_id"), F.max("asked").alias("asked"))
-    classes = cut_lineage(grouped.select("class_id", "text", "asked"))
+    grouped = rows.where(F.col("text").isNotNull()).groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.count_if("asked").alias("n_asked"))
+    # The checkpoint fixes the numbers.
+    classes = cut_lineage(grouped.select(F.monotonically_increasing_id().alias("class_id"), "text", "n", "n_asked"))
     # A few hot texts may own all rows: their classes are sent to the rows when they are few, else AQE splits the hot partitions.
-    small = broadcast_if_small(classes.select("class_id", "text"), CLASS_ROWS)
-    return classes, rows.select("id", "text").join(small, "text", "left").select("class_id", "id")
+    small = broadcast_if_small(classes, CLASS_ROWS)
+    members = rows.join(small, "text", "left").select("class_id", "id", "asked", "n", "n_asked")
+    return classes.select("class_id", "text", (F.col("n_asked") > 0).alias("asked")), members
+
+
+def _id_blocks(members: DataFrame, size: str) -> DataFrame:
+    """``class_id, block, ids``: the ids of a class, cut into blocks of some ``BLOCK_IDS`` by the hash of the id.
+
+    ``size`` is the column with the rows of the class.  An id is listed as often as it comes, ``PIECE_IDS``
+    times in one place at most, so an id of many rows goes to several blocks.
+    """
+    counted = members.where(F.col("class_id").isNotNull()).groupBy("class_id", size, "id").agg(F.count(F.lit(1)).alias("copies"))
+    cut = counted.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / PIECE_IDS).cast("int"))))
+    listed = F.array_repeat("id", F.least(F.lit(PIECE_IDS), F.col("copies") - F.col("piece") * PIECE_IDS).cast("int"))
+    block = F.pmod(F.xxhash64("id", "piece"), F.ceil(F.col(size) / BLOCK_IDS))
+    return cut.select("class_id", block.alias("block"), listed.alias("ids")).groupBy("class_id", "block").agg(F.flatten(F.collect_list("ids")).alias("ids"))
+
+
+def member_pairs(hits: DataFrame, members: DataFrame) -> DataFrame:
+    """``(query_id, chunk_id, score)`` of every asked member and every member of the classes that ``hits`` pairs.
+
+    Members meet as blocks of ids, so a shuffled row stands for some ``BLOCK_IDS`` squared pairs; a task holds
+    the pairs of one such row at a time.  The rows are dealt to the tasks by class and block: also a class that
+    owns all members is spread over all of them.
+    """
+    parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = _id_blocks(members.where("asked"), "n_asked").select(F.col("class_id").alias("query_id"), F.col("block").alias("query_block"), F.col("ids").alias("query_ids"))
+    every = _id_blocks(members, "n").select(F.col("class_id").alias("chunk_id"), F.col("block").alias("chunk_block"), F.col("ids").alias("chunk_ids"))
+    # As in ``trigram_join``, lists are not broadcast.
+    met = hits.join(asked.hint("merge"), "query_id").join(every.hint("merge"), "chunk_id")
+    # The number is given, as the bytes of a row, by which AQE would merge partitions, say little of its pairs.
+    dealt = met.repartition(parts, "query_id", "query_block", "chunk_id", "chunk_block")
+    each = dealt.select("score", "chunk_ids", F.explode("query_ids").alias("query_id"))
+    return each.select("query_id", F.explode("chunk_ids").alias("chunk_id"), "score")
 
 
 def maxsim_long(vectors: DataFrame, query_tokens: list[list[float]], k: int, *, doc_col: str, vector_col: str, dim: int) -> DataFrame:

@@ -1,6 +1,7 @@
 """The trigram set-similarity join against scores of all pairs."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -39,18 +40,16 @@ def test_common_grams_join_nothing(spark):
         search.trigram_join(docs, asked, 0.0)
 
 
-def test_copies_are_members_and_no_pair_of_rows_is_lost(spark, tmp_path):
+def test_copies_are_members_and_no_pair_of_rows_is_lost(spark):
     """Three hundred copies of four names: rows grow with the parts, all pairs follow from classes and members."""
-    from paperloom.plans.search_queries import trigram_matches
-
     names = ["red bold nut", "Red bold nut", "red bold bolt", "zinc", None]
     rows = [(i + 1, names[(i + 1) * 7 // 10 % 5]) for i in range(300)]
-    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
-    out = trigram_matches(spark, str(tmp_path)).collect()
-    owner = {r["p_partkey"]: r["class_id"] for r in out if r["kind"] == "member"}
-    pairs = [r for r in out if r["kind"] == "pair"]
+    parts = spark.createDataFrame(rows, "p_partkey long, p_name string")
+    classes, members = search.text_classes(parts, parts["p_partkey"] % 20 == 0, id_col="p_partkey", text_col="p_name")
+    owner = {r["id"]: r["class_id"] for r in members.collect()}
+    pairs = search.trigram_join(classes, classes.where("asked"), 0.45, id_col="class_id", text_col="text", query_id="class_id", query_text="text").collect()
     assert len(owner) == 300 and len(pairs) <= 9 and all(owner[i] is None for i, n in rows if n is None)
-    near = {(r["class_id"], r["p_partkey"]): r["score"] for r in pairs}
+    near = {(r["query_id"], r["chunk_id"]): r["score"] for r in pairs}
     got = {(q, d): near[owner[q], owner[d]] for q in owner if q % 20 == 0 for d in owner if (owner[q], owner[d]) in near}
     want = {}
     for q, a in rows:
@@ -60,3 +59,27 @@ def test_copies_are_members_and_no_pair_of_rows_is_lost(spark, tmp_path):
                 if score >= 0.45:
                     want[q, d] = score
     assert got == want and len(want) > 1000
+
+
+@pytest.mark.parametrize("sizes", [None, (4, 3)])
+def test_the_query_has_a_row_for_each_pair_of_parts(spark, tmp_path, monkeypatch, sizes):
+    """Also for copies of a name, keys that come twice, under one name or two, and keys or names that are null."""
+    from paperloom.plans.search_queries import trigram_matches
+
+    if sizes:
+        monkeypatch.setattr(search, "BLOCK_IDS", sizes[0])
+        monkeypatch.setattr(search, "PIECE_IDS", sizes[1])
+    names = ["red bold nut", "Red bold nut", "red bold bolt", "zinc", None, ""]
+    rows = [(i + 1, names[(i + 1) * 7 // 10 % 6]) for i in range(200)]
+    rows += [(20, "red bold nut")] * 9 + [(20, "zinc"), (40, "red bold nuts"), (1, "zinc"), (1, "red bold")] + [(None, "zinc")] * 10 + [(None, None), (60, None)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    out = trigram_matches(spark, str(tmp_path))
+    want = Counter()
+    for q, a in rows:
+        for d, b in rows:
+            if q is not None and q % 20 == 0 and a is not None and b is not None:
+                score = round(len(grams(a) & grams(b)) / len(grams(a) | grams(b)), 10)
+                if score >= 0.45:
+                    want[q, d, score] += 1
+    assert out.columns == ["query_id", "p_partkey", "score"]
+    assert Counter(map(tuple, out.collect())) == want and want.total() > 500
