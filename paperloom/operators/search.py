@@ -309,8 +309,8 @@ def trigram_search(docs: DataFrame, query: str, k: int, *, id_col: str = "chunk_
 
 GRAM_BUCKETS = 1 << 14
 CLASS_ROWS = 200_000
-BLOCK_IDS = 256
-PIECE_IDS = 16
+BLOCK_IDS = 128
+PIECE_IDS = 8
 
 
 def _ordered_grams(texts: DataFrame, counts: list[int]) -> DataFrame:
